@@ -1,9 +1,592 @@
-"""Queries of the segmentation operators and their SQL."""
+"""Queries of the segmentation operators on the driver's tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from .operators import agglomeration, contingency, grid, kernels, learning, priorities, rag
+from .plans import segmentation
+from .sources import volumes
+from .sources.volumes import events_cube, events_line, events_volume
 
-def oracle_sql():
-    return {}
+#: The image of sources.volumes.events_volume() in SQL.
+VOX = """vox AS (SELECT event_id AS idx, event_id // 100 AS y, event_id % 100 AS x,
+  (event_id // 100 // 5) * 20 + (event_id % 100) // 5 + 1 AS label, (event_id // 100 // 7) * 15 + (event_id % 100) // 7 + 1 AS gt,
+  CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
+CT = VOX + ", t AS (SELECT label AS s, gt AS g, count(*) AS n FROM vox GROUP BY 1, 2)"
+#: Each voxel with each voxel of its neighbourhood, itself included.
+NEAR = VOX + """, near AS (SELECT a.idx, a.y, a.x, a.label, a.gt, a.cents, b.label AS o, b.cents AS oc FROM vox a JOIN vox b
+  ON (b.y = a.y AND b.x BETWEEN a.x - 1 AND a.x + 1) OR (b.x = a.x AND b.y IN (a.y - 1, a.y + 1)))"""
+FOOT = NEAR.replace("ON (b.y = a.y AND b.x BETWEEN a.x - 1 AND a.x + 1) OR (b.x = a.x AND b.y IN (a.y - 1, a.y + 1))", "ON (b.idx = a.idx OR (b.idx = a.idx + 1 AND b.y = a.y) OR (b.idx = a.idx - 1 AND b.y = a.y) OR b.idx = a.idx + 100 OR b.idx = a.idx - 100)")
+FOOT = VOX + """, d(k) AS (VALUES (0), (1), (-1), (100), (-100)),
+near AS (SELECT a.idx, a.y, a.x, a.label, a.gt, a.cents, b.label AS o, b.cents AS oc FROM (SELECT vox.*, k, idx + k AS j FROM vox, d) a JOIN vox b
+  ON b.idx = a.j WHERE abs(a.k) <> 1 OR b.y = a.y),
+foot AS (SELECT idx, y, x, label, gt, cents, min(o) AS lo, max(o) AS hi, count(*) AS cells FROM near GROUP BY ALL)"""
+MINMAX = FOOT + """, bv AS (SELECT lo AS u, label AS v, idx, y, x, cents FROM foot WHERE lo <> label UNION ALL SELECT label, hi, idx, y, x, cents FROM foot WHERE hi <> label)"""
+EXACT = FOOT + """, bv AS (SELECT DISTINCT least(label, o) AS u, greatest(label, o) AS v, idx, y, x, cents FROM near WHERE label <> o)"""
+EDGES = EXACT + ", e AS (SELECT u, v, count(*) AS n, sum(cents) AS total FROM bv GROUP BY 1, 2)"
+NODES = ", nd AS (SELECT label AS node, count(*) AS size, sum(cents) AS total FROM vox GROUP BY 1)"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"WITH {sql}" if not sql.lstrip().upper().startswith(("WITH", "SELECT")) else sql
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir):
+    return contingency.contingency(events_volume(spark, sf_dir))
+
+
+def _exact(spark, sf_dir):
+    return rag.boundary_voxels(events_volume(spark, sf_dir), "exact", keep=("idx", "cents"))
+
+
+def _edges(spark, sf_dir):
+    return rag.edges(_exact(spark, sf_dir))
+
+
+def _nodes(spark, sf_dir):
+    return rag.nodes(events_volume(spark, sf_dir))
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Logarithms differ in the last bits between engines; -0.0 becomes 0.0."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+# Comparing labellings
+
+
+@query(CT + " SELECT s, g, n FROM t")
+def contingency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir)
+
+
+@query(VOX + " SELECT label AS s, gt AS g, count(*) AS n FROM vox WHERE label <> 1 AND gt NOT IN (2, 3) GROUP BY 1, 2")
+def contingency_ignoring(spark, sf_dir):
+    return contingency.contingency(events_volume(spark, sf_dir), ignore_s=(1,), ignore_g=(2, 3))
+
+
+@query(CT + " SELECT s, g, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS p FROM t")
+def contingency_normalised(spark, sf_dir):
+    return contingency.normalised(_table(spark, sf_dir))
+
+
+@query("SELECT lang AS s, source AS g, count(*) AS n FROM documents GROUP BY 1, 2")
+def contingency_lang_source(spark, sf_dir):
+    return contingency.contingency(spark.read.parquet(f"{sf_dir}/documents.parquet"), "lang", "source")
+
+
+@query("SELECT o_orderstatus AS s, o_orderpriority AS g, count(*) AS n FROM orders GROUP BY 1, 2")
+def contingency_orders(spark, sf_dir):
+    return contingency.contingency(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderstatus", "o_orderpriority")
+
+
+@query(CT + " SELECT s, g FROM (SELECT s, g, row_number() OVER (PARTITION BY s ORDER BY n DESC, g) AS r FROM t) WHERE r = 1")
+def assignment(spark, sf_dir):
+    return contingency.assignment(_table(spark, sf_dir))
+
+
+_SPLIT = """, tt AS (SELECT sum(n) AS t FROM t), c AS (SELECT sum(n * log2(n)) AS c FROM t),
+r AS (SELECT sum(x * log2(x)) AS r FROM (SELECT sum(n) AS x FROM t GROUP BY s)), k AS (SELECT sum(x * log2(x)) AS k FROM (SELECT sum(n) AS x FROM t GROUP BY g))"""
+
+
+@query(CT + _SPLIT + " SELECT round((r - c) / t, 6) + 0.0 AS under, round((k - c) / t, 6) + 0.0 AS over FROM tt, c, r, k")
+def split_vi(spark, sf_dir):
+    return _round(contingency.split_vi(_table(spark, sf_dir)), "under", "over")
+
+
+@query(CT + _SPLIT + " SELECT round((r + k - 2 * c) / t, 6) + 0.0 AS vi FROM tt, c, r, k")
+def vi(spark, sf_dir):
+    return _round(contingency.vi(_table(spark, sf_dir)), "vi")
+
+
+_ENTROPY = """, h AS (SELECT s AS label, CAST(sum(n) AS BIGINT) AS size, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM t GROUP BY s)"""
+
+
+@query(CT + _ENTROPY + " SELECT label, size, round(entropy, 6) + 0.0 AS entropy, round(entropy * size / (SELECT sum(n) FROM t), 6) + 0.0 AS bits FROM h")
+def vi_by_label(spark, sf_dir):
+    return _round(contingency.conditional_entropies(_table(spark, sf_dir)), "entropy", "bits")
+
+
+@query(CT + _ENTROPY + " SELECT label, size, round(entropy, 6) + 0.0 AS entropy, round(entropy * size / (SELECT sum(n) FROM t), 9) + 0.0 AS bits FROM h ORDER BY bits DESC, label LIMIT 25")
+def worst_labels(spark, sf_dir):
+    e = _round(contingency.conditional_entropies(_table(spark, sf_dir)), "entropy")
+    return _round(e, "bits", digits=9).orderBy(F.desc("bits"), "label").limit(25)
+
+
+@query(CT + """ SELECT g, n, CAST(n AS DOUBLE) / CAST(rs AS DOUBLE) AS of_s, CAST(n AS DOUBLE) / CAST(cg AS DOUBLE) AS of_g FROM
+  (SELECT s, g, n, sum(n) OVER (PARTITION BY s) AS rs, sum(n) OVER (PARTITION BY g) AS cg FROM t) WHERE s = 22 ORDER BY n DESC, g LIMIT 4""")
+def split_components(spark, sf_dir):
+    return contingency.overlaps_of(_table(spark, sf_dir), 22, 4)
+
+
+_RAND = """, q AS (SELECT sum(n * (n - 1)) // 2 AS cc, sum(n) AS t FROM t), rr AS (SELECT sum(x * (x - 1)) // 2 AS r FROM (SELECT sum(n) AS x FROM t GROUP BY s)),
+gg AS (SELECT sum(x * (x - 1)) // 2 AS k FROM (SELECT sum(n) AS x FROM t GROUP BY g)),
+rv AS (SELECT CAST(cc AS DOUBLE) AS a, CAST(r - cc AS DOUBLE) AS b, CAST(k - cc AS DOUBLE) AS c, CAST(t * (t - 1) // 2 - r - k + cc AS DOUBLE) AS d FROM q, rr, gg)"""
+
+
+@query(CT + _RAND + " SELECT a, b, c, d FROM rv")
+def rand_values(spark, sf_dir):
+    return contingency.rand_values(_table(spark, sf_dir))
+
+
+@query(CT + _RAND + """ SELECT round((a + d) / (a + b + c + d), 9) AS rand_index,
+  round(((a + b + c + d) * (a + d) - ((a + b) * (a + c) + (c + d) * (b + d))) / ((a + b + c + d) * (a + b + c + d) - ((a + b) * (a + c) + (c + d) * (b + d))), 9) AS adjusted_rand,
+  round(a / sqrt((a + b) * (a + c)), 9) AS fowlkes_mallows FROM rv""")
+def rand_measures(spark, sf_dir):
+    return _round(contingency.rand_measures(_table(spark, sf_dir)), "rand_index", "adjusted_rand", "fowlkes_mallows", digits=9)
+
+
+@query(CT + """, q AS (SELECT sum(n * n) AS cc, sum(n) AS t FROM t), r AS (SELECT sum(x * x) AS rr FROM (SELECT sum(n) AS x FROM t GROUP BY s)),
+k AS (SELECT sum(x * x) AS gg FROM (SELECT sum(n) AS x FROM t GROUP BY g)),
+pr AS (SELECT CAST(cc - t AS DOUBLE) / CAST(gg - t AS DOUBLE) AS p, CAST(cc - t AS DOUBLE) / CAST(rr - t AS DOUBLE) AS r FROM q, r, k)
+SELECT p AS precision, r AS recall, round(1 - 2 * p * r / (p + r), 9) AS error FROM pr""")
+def adapted_rand_error(spark, sf_dir):
+    return _round(contingency.adapted_rand_error(_table(spark, sf_dir)), "error", digits=9)
+
+
+@query(CT + """, b AS (SELECT s, g, CAST(n > 9 AS BIGINT) AS b FROM t WHERE s <> 0 AND g <> 0)
+SELECT (SELECT CAST(sum(x) AS BIGINT) FROM (SELECT sum(b) - 1 AS x FROM b GROUP BY s)) AS false_merges, (SELECT CAST(sum(x) AS BIGINT) FROM (SELECT sum(b) - 1 AS x FROM b GROUP BY g)) AS false_splits""")
+def edit_distance(spark, sf_dir):
+    return contingency.edit_distance(_table(spark, sf_dir), 9)
+
+
+def _three(spark, sf_dir):
+    return events_volume(spark, sf_dir).withColumn("cells", F.expr("y div 10 * 10 + x div 10"))
+
+
+@query(VOX + """, w AS (SELECT label, gt, y // 10 * 10 + x // 10 AS cells FROM vox),
+t AS (SELECT 'label' AS i, 'gt' AS j, label AS s, gt AS g, count(*) AS n FROM w GROUP BY 3, 4 UNION ALL SELECT 'label', 'cells', label, cells, count(*) FROM w GROUP BY 3, 4 UNION ALL SELECT 'gt', 'cells', gt, cells, count(*) FROM w GROUP BY 3, 4),
+c AS (SELECT i, j, sum(n * log2(n)) AS c, sum(n) AS t FROM t GROUP BY 1, 2),
+r AS (SELECT i, j, sum(x * log2(x)) AS r FROM (SELECT i, j, s, sum(n) AS x FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), k AS (SELECT i, j, sum(x * log2(x)) AS k FROM (SELECT i, j, g, sum(n) AS x FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT i, j, round((r - c) / t, 6) + 0.0 AS merges, round((k - c) / t, 6) + 0.0 AS splits FROM c JOIN r USING (i, j) JOIN k USING (i, j)""")
+def pairwise_vi(spark, sf_dir):
+    return _round(contingency.pairwise_vi(_three(spark, sf_dir), ["label", "gt", "cells"]), "merges", "splits")
+
+
+_BITS = """, w AS (SELECT CAST(cents >= 2500 AS BIGINT) AS pred, CAST((y % 7 = 0 OR x % 7 = 0) AS BIGINT) AS truth, cents FROM vox)"""
+
+
+def _predicted(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    return v.withColumn("pred", (F.col("cents") >= 2500).cast("long")).withColumn("truth", F.expr("CAST(y % 7 = 0 OR x % 7 = 0 AS BIGINT)"))
+
+
+@query(VOX + _BITS + " SELECT CAST(sum(pred * truth) AS DOUBLE) / CAST(sum(pred) AS DOUBLE) AS precision, CAST(sum(pred * truth) AS DOUBLE) / CAST(sum(truth) AS DOUBLE) AS recall FROM w")
+def pixel_precision_recall(spark, sf_dir):
+    return contingency.pixel_precision_recall(_predicted(spark, sf_dir), "pred", "truth")
+
+
+@query(VOX + _BITS + """, g AS (SELECT cents // 1000 AS threshold, sum(truth) AS p, count(*) AS n FROM w GROUP BY 1)
+SELECT threshold, CAST(sum(p) OVER (ORDER BY threshold DESC) AS DOUBLE) / CAST(sum(n) OVER (ORDER BY threshold DESC) AS DOUBLE) AS precision, CAST(sum(p) OVER (ORDER BY threshold DESC) AS DOUBLE) / CAST(sum(p) OVER () AS DOUBLE) AS recall FROM g""")
+def precision_recall_curve(spark, sf_dir):
+    return contingency.precision_recall(_predicted(spark, sf_dir).withColumn("score", F.expr("cents div 1000")), "score", "truth")
+
+
+@query(VOX + """, d AS (SELECT DISTINCT cents AS value FROM vox), r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS c FROM d)
+SELECT value FROM r WHERE r % (CASE WHEN c < 20 THEN 1 ELSE c // 10 END) = 0""")
+def stratified_sample(spark, sf_dir):
+    return contingency.stratified_sample(events_volume(spark, sf_dir), "cents", 10)
+
+
+@query(VOX + " SELECT old, CASE WHEN old = 0 THEN 0 ELSE row_number() OVER (PARTITION BY old = 0 ORDER BY old) END AS new FROM (SELECT DISTINCT gt * 3 - 3 AS old FROM vox)")
+def relabel_sequential(spark, sf_dir):
+    return contingency.relabel_sequential(events_volume(spark, sf_dir).withColumn("label", F.col("gt") * 3 - 3))
+
+
+@query(CT + " SELECT s // 3 AS s, g, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1, 2")
+def contingency_after_merges(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    return contingency.merged(t, t.select(F.col("s").alias("old"), F.expr("s div 3").alias("new")).distinct())
+
+
+# The graph
+
+
+@query(MINMAX + " SELECT u, v, count(*) AS n FROM bv GROUP BY 1, 2")
+def rag_minmax(spark, sf_dir):
+    return rag.boundary_voxels(events_volume(spark, sf_dir), "minmax", keep=("idx",)).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query(FOOT + """, bb AS (SELECT max(label) + 1 AS b FROM vox), f AS (SELECT idx, label, lo, CASE WHEN cells < 5 THEN b ELSE hi END AS hi FROM foot, bb)
+SELECT u, v, count(*) AS n FROM (SELECT lo AS u, label AS v FROM f WHERE lo <> label UNION ALL SELECT label, hi FROM f WHERE hi <> label) GROUP BY 1, 2""")
+def rag_padded(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    edge = v.agg(F.max("label")).first()[0] + 1
+    return rag.boundary_voxels(v, "minmax", keep=("idx",), boundary=edge).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query(EDGES + " SELECT u, v, n, CAST(total AS BIGINT) AS total, CAST(total AS DOUBLE) / CAST(n AS DOUBLE) AS weight FROM e")
+def rag_exact(spark, sf_dir):
+    return _edges(spark, sf_dir).withColumn("weight", priorities.boundary_mean())
+
+
+@query(VOX + """, d(dy, dx) AS (VALUES (0, 1), (1, 0), (1, 1), (1, -1)), p AS (SELECT a.label AS u, b.label AS v, a.idx AS i, b.idx AS j FROM (SELECT vox.*, dy, dx, y + dy AS yy, x + dx AS xx FROM vox, d) a JOIN vox b ON b.y = a.yy AND b.x = a.xx WHERE a.label <> b.label)
+SELECT u, v, count(*) AS n FROM (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v, i FROM p UNION SELECT DISTINCT least(u, v), greatest(u, v), j FROM p) GROUP BY 1, 2""")
+def rag_diagonal(spark, sf_dir):
+    return rag.boundary_voxels(events_volume(spark, sf_dir), "exact", keep=("idx",), connectivity=2).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query("""w AS (SELECT event_id AS idx, CAST(user_id AS BIGINT) AS label, lag(CAST(user_id AS BIGINT)) OVER (ORDER BY event_id) AS p FROM events), s AS (SELECT idx, label, p, lead(label) OVER (ORDER BY idx) AS q FROM w),
+f AS (SELECT idx, label, least(label, coalesce(p, label), coalesce(q, label)) AS lo, greatest(label, coalesce(p, label), coalesce(q, label)) AS hi FROM s)
+SELECT u, v, count(*) AS n FROM (SELECT lo AS u, label AS v FROM f WHERE lo <> label UNION ALL SELECT label, hi FROM f WHERE hi <> label) GROUP BY 1, 2""")
+def rag_line(spark, sf_dir):
+    return rag.boundary_voxels(events_line(spark, sf_dir), "minmax", keep=("idx",), axes=("x",)).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query("""c AS (SELECT event_id AS idx, event_id // 400 AS z, event_id % 400 // 20 AS y, event_id % 20 AS x, (event_id // 400 // 4) * 25 + (event_id % 400 // 20 // 4) * 5 + event_id % 20 // 4 + 1 AS label FROM events),
+d(dz, dy, dx) AS (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0)), p AS (SELECT a.label AS u, b.label AS v, a.idx AS i, b.idx AS j FROM (SELECT c.*, z + dz AS zz, y + dy AS yy, x + dx AS xx FROM c, d) a JOIN c b ON b.z = a.zz AND b.y = a.yy AND b.x = a.xx WHERE a.label <> b.label)
+SELECT u, v, count(*) AS n FROM (SELECT least(u, v) AS u, greatest(u, v) AS v, i FROM p UNION SELECT least(u, v), greatest(u, v), j FROM p) GROUP BY 1, 2""")
+def rag_cube(spark, sf_dir):
+    return rag.boundary_voxels(events_cube(spark, sf_dir), "exact", keep=("idx",), axes=("z", "y", "x")).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query(VOX + " SELECT label AS node, count(*) AS size, min(idx) AS first_idx FROM vox GROUP BY 1")
+def node_sizes(spark, sf_dir):
+    return _nodes(spark, sf_dir)
+
+
+@query(VOX + " SELECT DISTINCT label AS node FROM vox, (SELECT min(y) AS a, max(y) AS b, min(x) AS c, max(x) AS d FROM vox) WHERE y IN (a, b) OR x IN (c, d)")
+def face_labels(spark, sf_dir):
+    return rag.face_labels(events_volume(spark, sf_dir))
+
+
+@query(VOX + " SELECT DISTINCT label AS node FROM vox WHERE label NOT IN (SELECT label FROM vox, (SELECT min(y) AS a, max(y) AS b, min(x) AS c, max(x) AS d FROM vox) WHERE y IN (a, b) OR x IN (c, d))")
+def orphans(spark, sf_dir):
+    return rag.orphans(events_volume(spark, sf_dir))
+
+
+@query(VOX + " SELECT label, CAST(count(*) AS DOUBLE) AS m0, CAST(sum(cents) AS DOUBLE) AS m1, CAST(sum(cents * cents) AS DOUBLE) AS m2 FROM vox GROUP BY 1")
+def node_moments(spark, sf_dir):
+    return rag.moment_sums(events_volume(spark, sf_dir), ["label"], F.col("cents").cast("double"), 2)
+
+
+@query(EXACT + " SELECT u, v, CAST(count(*) AS DOUBLE) AS m0, CAST(sum(cents) AS DOUBLE) AS m1, CAST(sum(cents * cents) AS DOUBLE) AS m2 FROM bv GROUP BY 1, 2")
+def edge_moments(spark, sf_dir):
+    return rag.moment_sums(_exact(spark, sf_dir), ["u", "v"], F.col("cents").cast("double"), 2)
+
+
+@query(VOX + " SELECT label, round(avg(cents / 50000.0), 6) AS mean, round(var_pop(cents / 50000.0), 6) AS c2 FROM vox GROUP BY 1")
+def central_moments(spark, sf_dir):
+    sums = rag.moment_sums(events_volume(spark, sf_dir), ["label"], F.col("cents") / 50000.0, 4)
+    return _round(rag.central_moments(sums, 4).select("label", "mean", "c2"), "mean", "c2")
+
+
+@query(EXACT + """, b AS (SELECT u, v, least(cents * 5 // 50000, 4) AS b FROM bv WHERE cents BETWEEN 0 AND 50000)
+SELECT u, v, count(*) FILTER (b = 0) AS h0, count(*) FILTER (b = 1) AS h1, count(*) FILTER (b = 2) AS h2, count(*) FILTER (b = 3) AS h3, count(*) FILTER (b = 4) AS h4 FROM b GROUP BY 1, 2""")
+def edge_histograms(spark, sf_dir):
+    h = rag.histogram(_exact(spark, sf_dir), ["u", "v"], "cents", 5, 0, 50000)
+    return h.select("u", "v", *[F.col("h")[i].alias(f"h{i}") for i in range(5)])
+
+
+@query(EXACT + " SELECT u, v, median(cents) AS weight FROM bv GROUP BY 1, 2")
+def edge_median(spark, sf_dir):
+    return priorities.boundary_median(_exact(spark, sf_dir))
+
+
+@query(EXACT + " SELECT u, v, round(avg(cents) - 6 * stddev_samp(cents) / sqrt(count(*)), 4) AS weight FROM bv GROUP BY 1, 2 HAVING count(*) > 1")
+def edge_mean_plus_sem(spark, sf_dir):
+    b = _exact(spark, sf_dir)
+    many = b.groupBy("u", "v").agg(F.count("*").alias("k")).where("k > 1").select("u", "v")
+    return _round(priorities.mean_plus_sem(b).join(many, ["u", "v"]), "weight", digits=4)
+
+
+@query(EDGES + """, b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), dg AS (SELECT u AS node, count(*) AS degree FROM b GROUP BY 1)
+SELECT dg.node, dg.degree, CAST(sum(q.degree) AS BIGINT) AS neighbour_degree_sum FROM dg JOIN b ON b.u = dg.node JOIN dg q ON q.node = b.v GROUP BY 1, 2""")
+def node_degrees(spark, sf_dir):
+    return rag.degrees(_edges(spark, sf_dir))
+
+
+@query(EDGES + """, b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)
+SELECT e.u, e.v, count(q.v) AS common FROM e LEFT JOIN b p ON p.u = e.u LEFT JOIN b q ON q.u = e.v AND q.v = p.v GROUP BY 1, 2""")
+def common_neighbours(spark, sf_dir):
+    return rag.common_neighbours(_edges(spark, sf_dir))
+
+
+@query(EDGES + """, b AS (SELECT u, v, n FROM e UNION ALL SELECT v, u, n FROM e), r AS (SELECT u, n, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM b)
+SELECT u AS node, CAST(sum(n) AS BIGINT) AS total, max(n) FILTER (r = 1) AS longest, coalesce(max(n) FILTER (r = 2), 0) AS second FROM r GROUP BY 1""")
+def inclusiveness(spark, sf_dir):
+    return rag.inclusiveness(_edges(spark, sf_dir))
+
+
+def _located(spark, sf_dir):
+    return rag.boundary_voxels(events_volume(spark, sf_dir), "exact", keep=("idx",))
+
+
+@query(EXACT + " SELECT u, v, count(DISTINCT idx) AS voxels, CAST(0 AS INT) AS lo_z, CAST(0 AS INT) AS hi_z, CAST(min(y) AS INT) AS lo_y, CAST(max(y) AS INT) AS hi_y, CAST(min(x) AS INT) AS lo_x, CAST(max(x) AS INT) AS hi_x FROM bv GROUP BY 1, 2")
+def edge_boxes(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    b = _located(spark, sf_dir).join(v.select("idx", "z", "y", "x"), "idx")
+    return rag.edge_boxes(b)
+
+
+@query(EXACT + """, py AS (SELECT u, v, y, row_number() OVER (PARTITION BY u, v ORDER BY count(*) DESC, y) AS r FROM bv GROUP BY 1, 2, 3), px AS (SELECT u, v, x, row_number() OVER (PARTITION BY u, v ORDER BY count(*) DESC, x) AS r FROM bv GROUP BY 1, 2, 3)
+SELECT u, v, CAST(0 AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT * FROM py WHERE r = 1) JOIN (SELECT u, v, x FROM px WHERE r = 1) USING (u, v)""")
+def edge_places(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    return rag.edge_places(_located(spark, sf_dir).join(v.select("idx", "z", "y", "x"), "idx"))
+
+
+@query(EXACT + """, s AS (SELECT label, count(*) FILTER (cents > 5000) AS s0, count(*) FILTER (cents > 20000) AS s1 FROM vox GROUP BY 1), b AS (SELECT u, v, count(*) FILTER (cents > 5000) AS b0, count(*) FILTER (cents > 20000) AS b1 FROM bv GROUP BY 1, 2)
+SELECT u, v, b0 + 1 AS b0, b1 + 1 AS b1, p.s0 + 1 AS p0, p.s1 + 1 AS p1, q.s0 + 1 AS q0, q.s1 + 1 AS q1 FROM b JOIN s p ON p.label = u JOIN s q ON q.label = v""")
+def contact_features(spark, sf_dir):
+    return rag.contact_features(_exact(spark, sf_dir), events_volume(spark, sf_dir), (5000, 20000))
+
+
+@query(VOX + " SELECT label AS node, list_sort(list(DISTINCT idx % 11) FILTER (idx % 97 = 3 AND idx % 11 <> 0))::VARCHAR AS exclusions FROM vox GROUP BY 1 HAVING count(*) FILTER (idx % 97 = 3 AND idx % 11 <> 0) > 0")
+def exclusion_sets(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("excl", F.expr("CASE WHEN idx % 97 = 3 THEN idx % 11 ELSE 0 END"))
+    e = rag.exclusions(v).where(F.size("exclusions") > 0)
+    return e.select("node", F.concat(F.lit("["), F.array_join(F.transform("exclusions", lambda x: x.cast("string")), ", "), F.lit("]")).alias("exclusions"))
+
+
+# Priorities
+
+
+@query(EDGES + NODES + """ SELECT u, v, CASE WHEN (p.size < 25) <> (q.size < 25) THEN CAST(e.total AS DOUBLE) / CAST(n AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS weight FROM e JOIN nd p ON p.node = u JOIN nd q ON q.node = v""")
+def ladder_priority(spark, sf_dir):
+    return priorities.ladder(_edges(spark, sf_dir), _nodes(spark, sf_dir), priorities.boundary_mean(), 25, 2)
+
+
+@query(EDGES + " SELECT u, v, CASE WHEN u % 7 = 0 OR v % 7 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(total AS DOUBLE) / CAST(n AS DOUBLE) END AS weight FROM e")
+def frozen_priority(spark, sf_dir):
+    frozen = _nodes(spark, sf_dir).where("node % 7 = 0").select("node")
+    out = priorities.without_frozen(_edges(spark, sf_dir).withColumn("weight", priorities.boundary_mean()), frozen)
+    return out.select("u", "v", "weight")
+
+
+@query(EDGES + NODES + """, b AS (SELECT u AS node, sum(n) AS length FROM (SELECT u, n FROM e UNION ALL SELECT v, n FROM e) GROUP BY 1)
+SELECT e.u, e.v, CASE WHEN u % 7 = 0 AND v % 7 <> 0 AND p.size <= q.size THEN 1 - CAST(n AS DOUBLE) / CAST(bu.length AS DOUBLE) WHEN v % 7 = 0 AND u % 7 <> 0 AND q.size <= p.size THEN 1 - CAST(n AS DOUBLE) / CAST(bw.length AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS weight
+FROM e JOIN nd p ON p.node = u JOIN nd q ON q.node = v JOIN b bu ON bu.node = u JOIN b bw ON bw.node = v""")
+def mito_priority(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return priorities.mito_merge(_edges(spark, sf_dir), n, n.where("node % 7 = 0").select("node"))
+
+
+@query(EDGES + CT.split("FROM events)", 1)[1] + """, z AS (SELECT s, sum(n) AS x FROM t GROUP BY 1), tt AS (SELECT sum(n) AS t FROM t),
+c AS (SELECT e.u, e.v, sum((a.n + b.n) * log2(a.n + b.n) - a.n * log2(a.n) - b.n * log2(b.n)) AS c FROM e JOIN t a ON a.s = u JOIN t b ON b.s = v AND b.g = a.g GROUP BY 1, 2)
+SELECT e.u, e.v, round(((p.x + q.x) * log2(p.x + q.x) - p.x * log2(p.x) - q.x * log2(q.x) - 2 * coalesce(c, 0)) / t, 8) + 0.0 AS delta_vi FROM e JOIN z p ON p.s = u JOIN z q ON q.s = v LEFT JOIN c ON c.u = e.u AND c.v = e.v, tt""")
+def delta_vi_true(spark, sf_dir):
+    return _round(priorities.true_delta_vi(_edges(spark, sf_dir), _table(spark, sf_dir)), "delta_vi", digits=8)
+
+
+@query(EDGES + CT.split("FROM events)", 1)[1] + """, z AS (SELECT s, sum(n) AS x FROM t GROUP BY 1), tt AS (SELECT sum(n) AS t FROM t),
+c AS (SELECT e.u, e.v, sum(a.n * b.n) AS c FROM e JOIN t a ON a.s = u JOIN t b ON b.s = v AND b.g = a.g GROUP BY 1, 2)
+SELECT e.u, e.v, CAST(2 * coalesce(c, 0) - p.x * q.x AS DOUBLE) / CAST(t * (t - 1) // 2 AS DOUBLE) AS delta_rand FROM e JOIN z p ON p.s = u JOIN z q ON q.s = v LEFT JOIN c ON c.u = e.u AND c.v = e.v, tt""")
+def delta_rand_true(spark, sf_dir):
+    return priorities.true_delta_rand(_edges(spark, sf_dir), _table(spark, sf_dir))
+
+
+@query(EDGES + NODES + """, tt AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM vox), w AS (SELECT u, v, CAST(p.size AS DOUBLE) AS a, CAST(q.size AS DOUBLE) AS b, t FROM e JOIN nd p ON p.node = u JOIN nd q ON q.node = v, tt)
+SELECT u, v, round(-(a / t * log2(a / t) + b / t * log2(b / t) - (a + b) / t * log2((a + b) / t)), 9) AS local_vi, round(a * b / (t * (t - 1) / 2), 12) AS local_rand FROM w""")
+def local_changes(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    side = lambda k: n.select(F.col("node").alias(k), F.col("size").cast("double").alias(f"s{k}"))
+    e = _edges(spark, sf_dir).join(side("u"), "u").join(side("v"), "v").crossJoin(F.broadcast(n.agg(F.sum("size").cast("double").alias("t"))))
+    e = e.select("u", "v", priorities.local_vi_change(F.col("su"), F.col("sv"), F.col("t")).alias("local_vi"), priorities.local_rand_change(F.col("su"), F.col("sv"), F.col("t")).alias("local_rand"))
+    return _round(_round(e, "local_vi", digits=9), "local_rand", digits=12)
+
+
+# Maps and morphology
+
+
+@query(VOX + " SELECT idx, CASE WHEN label % 3 = 0 THEN label // 3 ELSE 0 END AS label FROM vox")
+def apply_map(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    m = v.where("label % 3 = 0").select(F.col("label").alias("old"), F.expr("label div 3").alias("new")).distinct()
+    return volumes.apply_map(v, m).select("idx", "label")
+
+
+@query(VOX + " SELECT DISTINCT label AS sp, gt AS body FROM vox")
+def sp_to_body_map(spark, sf_dir):
+    return events_volume(spark, sf_dir).select(F.col("label").alias("sp"), F.col("gt").alias("body")).distinct()
+
+
+@query(VOX + " SELECT idx, CASE label WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 22 THEN 3 ELSE 0 END AS segment FROM vox")
+def extract_segments(spark, sf_dir):
+    ids = F.array(*[F.lit(i).cast("long") for i in (7, 3, 22)])
+    return events_volume(spark, sf_dir).select("idx", F.array_position(ids, F.col("label")).cast("int").alias("segment"))
+
+
+@query(VOX + " SELECT idx, CASE WHEN count(*) OVER (PARTITION BY gt) < 40 THEN 0 ELSE gt END AS gt FROM vox")
+def remove_small(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    size = v.groupBy("gt").agg(F.count("*").alias("c"))
+    return v.join(size, "gt").select("idx", F.when(F.col("c") < 40, 0).otherwise(F.col("gt")).alias("gt"))
+
+
+@query(VOX + " SELECT idx, CAST(sum(cents) OVER (PARTITION BY label) AS DOUBLE) / CAST(count(*) OVER (PARTITION BY label) AS DOUBLE) AS colour FROM vox")
+def draw_segments(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    mean = v.groupBy("label").agg((F.sum("cents").cast("double") / F.count("*")).alias("colour"))
+    return v.join(mean, "label").select("idx", "colour")
+
+
+@query(FOOT + " SELECT idx, lo <> hi AS border FROM foot")
+def seg_to_boundary(spark, sf_dir):
+    return grid.borders(events_volume(spark, sf_dir))
+
+
+@query(FOOT + " SELECT idx, max(oc) AS cents FROM near GROUP BY 1")
+def dilate(spark, sf_dir):
+    return grid.dilate(events_volume(spark, sf_dir).select("z", "y", "x", "idx", "cents"), "cents").select("idx", "cents")
+
+
+@query(FOOT + " SELECT idx, min(oc) AS cents FROM near GROUP BY 1")
+def erode(spark, sf_dir):
+    return grid.erode(events_volume(spark, sf_dir).select("z", "y", "x", "idx", "cents"), "cents").select("idx", "cents")
+
+
+@query(FOOT + """, w AS (SELECT idx, max(CASE WHEN o % 4 = 0 THEN 0 ELSE o END) AS hi, min(CASE WHEN o % 4 <> 0 THEN o END) AS lo, max(CASE WHEN label % 4 = 0 THEN 0 ELSE label END) AS label FROM near GROUP BY 1)
+SELECT idx, CASE WHEN label = 0 AND lo = hi THEN hi ELSE label END AS label FROM w""")
+def remove_merged_boundaries(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("label", F.expr("CASE WHEN label % 4 = 0 THEN 0L ELSE label END"))
+    return grid.close_merged_gaps(v)
+
+
+@query(VOX + """, w AS (SELECT idx, y, x, CASE WHEN y % 10 = 4 AND x % 10 = 4 THEN idx + 1000000 ELSE label // 400 * 400 END AS label FROM vox), d(k) AS (VALUES (1), (-1), (100), (-100)),
+p AS (SELECT DISTINCT a.label AS a, b.label AS b FROM (SELECT w.*, k, idx + k AS j FROM w, d) a JOIN w b ON b.idx = a.j WHERE (abs(a.k) <> 1 OR b.y = a.y) AND a.label <> b.label), s AS (SELECT a, min(b) AS t FROM p GROUP BY 1 HAVING count(*) = 1)
+SELECT idx, coalesce(t, label) AS label FROM w LEFT JOIN s ON a = label""")
+def despeckle(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("label", F.expr("CASE WHEN y % 10 = 4 AND x % 10 = 4 THEN idx + 1000000 ELSE label div 400 * 400 END"))
+    return grid.despeckle(v).select("idx", "label")
+
+
+@query(VOX + " SELECT (SELECT count(*) FROM vox WHERE y BETWEEN 1 AND (SELECT max(y) - 1 FROM vox) AND x BETWEEN 1 AND 98) AS inside, (SELECT count(*) FROM vox WHERE y IN (0, (SELECT max(y) FROM vox)) OR x IN (0, 99)) AS crust")
+def crust_counts(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    f = grid.faces(v).agg(F.count("*").alias("crust"))
+    return v.agg(F.count("*").alias("n")).crossJoin(f).select((F.col("n") - F.col("crust")).alias("inside"), "crust")
+
+
+@query(VOX + """, z AS (SELECT y AS z, gt FROM vox GROUP BY 1, 2), r AS (SELECT z, gt AS old, row_number() OVER (PARTITION BY z ORDER BY gt) AS k FROM z), m AS (SELECT z, max(k) AS top FROM r GROUP BY 1), o AS (SELECT z, coalesce(sum(top) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM m)
+SELECT r.z, old, CAST(k + o AS BIGINT) AS new FROM r JOIN o USING (z)""")
+def serial_section_map(spark, sf_dir):
+    planes = events_volume(spark, sf_dir).select(F.col("y").cast("long").alias("z"), F.col("gt").alias("old")).distinct()
+    r = planes.withColumn("k", F.row_number().over(W.Window.partitionBy("z").orderBy("old")))
+    before = W.Window.orderBy("z").rowsBetween(W.Window.unboundedPreceding, -1)
+    o = r.groupBy("z").agg(F.max("k").alias("top")).select("z", F.coalesce(F.sum("top").over(before), F.lit(0)).alias("o"))
+    return r.join(o, "z").select("z", "old", (F.col("k") + F.col("o")).cast("long").alias("new"))
+
+
+@query(VOX + " SELECT idx, cents FROM vox WHERE y >= 2 AND y < 8 AND x >= 10 AND x < 90")
+def crop(spark, sf_dir):
+    return volumes.crop(events_volume(spark, sf_dir), {"y": (2, 8), "x": (10, 90)}).select("idx", "cents")
+
+
+@query(EDGES + """, h AS (SELECT least(100, CAST(total AS BIGINT) * 100 // (n * 50000)) AS bin, CAST(a.gt <> b.gt AS BIGINT) AS apart FROM e JOIN (SELECT label, min(gt) AS gt FROM vox GROUP BY 1) a ON a.label = u JOIN (SELECT label, min(gt) AS gt FROM vox GROUP BY 1) b ON b.label = v)
+SELECT b.bin, count(h.bin) AS edges, CAST(coalesce(sum(apart), 0) AS BIGINT) AS apart FROM (SELECT range AS bin FROM range(101)) b LEFT JOIN h ON h.bin = b.bin GROUP BY 1""")
+def priority_histogram(spark, sf_dir):
+    g = events_volume(spark, sf_dir).groupBy("label").agg(F.min("gt").alias("gt"))
+    side = lambda k: g.select(F.col("label").alias(k), F.col("gt").alias(f"g{k}"))
+    h = _edges(spark, sf_dir).join(side("u"), "u").join(side("v"), "v").select(F.least(F.lit(100), F.expr("total * 100 div (n * 50000)")).alias("bin"), (F.col("gu") != F.col("gv")).cast("long").alias("apart"))
+    h = h.groupBy("bin").agg(F.count("*").alias("edges"), F.sum("apart").alias("apart"))
+    return spark.range(101).select(F.col("id").alias("bin")).join(h, "bin", "left").na.fill(0)
+
+
+@query(VOX + " SELECT idx, 3 - CAST(sum(CAST(cents > 20000 AS BIGINT)) OVER (ORDER BY idx) AS BIGINT) AS \"left\" FROM vox WHERE y = 3")
+def conditional_countdown(spark, sf_dir):
+    rows = events_volume(spark, sf_dir).where("y = 3").withColumn("hit", F.col("cents") > 20000)
+    return agglomeration.countdown(rows, "idx", "hit", 3).select("idx", "left")
+
+
+# Components and agglomeration
+
+
+_PARTS = """, l AS (SELECT u, v FROM e WHERE {} UNION SELECT v, u FROM e WHERE {}), reach(a, b) AS (SELECT label, label FROM vox UNION SELECT r.a, l.v FROM reach r JOIN l ON l.u = r.b)
+SELECT a AS node, min(b) AS segment FROM reach GROUP BY 1"""
+
+
+@query("WITH RECURSIVE " + EDGES + _PARTS.format(*["CAST(total AS DOUBLE) / CAST(n AS DOUBLE) < 3000"] * 2))
+def threshold_segments(spark, sf_dir):
+    return agglomeration.threshold_segments(_edges(spark, sf_dir), _nodes(spark, sf_dir), 3000.0)
+
+
+@query("WITH RECURSIVE " + EDGES + ", t AS (SELECT label AS s, gt AS g, count(*) AS n FROM vox GROUP BY 1, 2), asg AS (SELECT s, g FROM (SELECT s, g, row_number() OVER (PARTITION BY s ORDER BY n DESC, g) AS r FROM t) WHERE r = 1)" + _PARTS.format(*["(SELECT g FROM asg WHERE s = u) = (SELECT g FROM asg WHERE s = v)"] * 2))
+def best_segments(spark, sf_dir):
+    return agglomeration.best_segments(_edges(spark, sf_dir), _nodes(spark, sf_dir), contingency.assignment(_table(spark, sf_dir)))
+
+
+@query(EDGES + " SELECT least(a, b) AS u, greatest(a, b) AS v, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM (SELECT u // 4 AS a, v // 4 AS b, n, total FROM e) WHERE a <> b GROUP BY 1, 2")
+def contract_edges(spark, sf_dir):
+    m = _nodes(spark, sf_dir).select("node", F.expr("node div 4").alias("segment"))
+    return agglomeration.contract(_edges(spark, sf_dir), m)
+
+
+@query()
+def agglomerate(spark, sf_dir):
+    return agglomeration.agglomerate(_edges(spark, sf_dir), 2800.0)
+
+
+@query()
+def agglomerated_segments(spark, sf_dir):
+    return segmentation.segment(events_volume(spark, sf_dir), segmentation.Options((2000.0, 2800.0)))
+
+
+@query()
+def agglomerated_by_rounds(spark, sf_dir):
+    return agglomeration.rounds(_edges(spark, sf_dir), _nodes(spark, sf_dir), 2800.0)
+
+
+@query()
+def agglomerated_vi(spark, sf_dir):
+    cut = segmentation.segment(events_volume(spark, sf_dir), segmentation.Options((2800.0,)))
+    return _round(contingency.split_vi(contingency.merged(_table(spark, sf_dir), cut.select(F.col("node").alias("old"), F.col("segment").alias("new")))), "under", "over")
+
+
+@query()
+def watershed_planes(spark, sf_dir):
+    return kernels.watershed_sequence(events_volume(spark, sf_dir).withColumn("z", F.expr("CAST(y div 25 AS INT)")))
+
+
+@query()
+def connected_bright(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("bright", (F.col("cents") > 8000).cast("int"))
+    return grid.connected(v, "bright")
+
+
+@query()
+def flat_training(spark, sf_dir):
+    nodes = learning.node_table(events_volume(spark, sf_dir))
+    return learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
+
+
+@query("""b(block, lz, ly, lx, hz, hy, hx) AS (SELECT c_custkey, c_custkey % 3 * 10, c_custkey // 3 % 3 * 10, c_custkey // 9 % 3 * 10, c_custkey % 3 * 10 + 9, c_custkey // 3 % 3 * 10 + 9, c_custkey // 9 % 3 * 10 + 9 FROM customer WHERE c_custkey <= 27),
+p AS (SELECT a.block AS a, b.block AS b, a.hz + 1 = b.lz AND a.hy >= b.ly AND b.hy >= a.ly AND a.hx >= b.lx AND b.hx >= a.lx AS z, a.hy + 1 = b.ly AND a.hz >= b.lz AND b.hz >= a.lz AND a.hx >= b.lx AND b.hx >= a.lx AS y, a.hx + 1 = b.lx AND a.hz >= b.lz AND b.hz >= a.lz AND a.hy >= b.ly AND b.hy >= a.ly AS x FROM b a, b)
+SELECT a, b, CAST(0 AS INT) AS axis FROM p WHERE z UNION ALL SELECT a, b, 1 FROM p WHERE y UNION ALL SELECT a, b, 2 FROM p WHERE x""")
+def adjacent_blocks(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 27")
+    lo = [F.expr(f"CAST(c_custkey {e} % 3 * 10 AS INT)") for e in ("", "div 3", "div 9")]
+    return segmentation.adjacent_blocks(c.select(F.col("c_custkey").alias("block"), F.array(*lo).alias("lo"), F.array(*[x + 9 for x in lo]).alias("hi")))
+
+
+@query("""q AS (SELECT event_id AS id, user_id % 5 AS region, event_id // 400 AS z, event_id % 400 // 20 AS y, event_id % 20 AS x FROM events WHERE event_id % 7 = 0)
+SELECT DISTINCT b.region, b.id FROM q b JOIN q a ON a.z BETWEEN b.z - 3 AND b.z + 3 AND a.y BETWEEN b.y - 3 AND b.y + 3 AND a.region < b.region AND (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4""")
+def near_points(spark, sf_dir):
+    p = events_cube(spark, sf_dir).where("idx % 7 = 0").join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"), (F.col("user_id") % 5).alias("region")), "idx")
+    return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
+
+
+@query()
+def stitched_blocks(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("block", F.expr("x div 50")).withColumn("label", F.expr("gt + block * 1000000"))
+    return segmentation.stitch(v, "x")
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

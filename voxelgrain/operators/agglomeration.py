@@ -79,7 +79,7 @@ def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | N
 
     if excluded is None:
         return inner.groupBy("component").applyInPandas(run, LOG)
-    sets = excluded.join(part, "node").select("component", "node", F.explode("exclusions").cast("long").alias("e"))
+    sets = excluded.join(part, "node").select("component", "node", F.explode(F.col("exclusions").cast("array<bigint>")).alias("e"))
 
     def run_with(pdf: pd.DataFrame, ex: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:

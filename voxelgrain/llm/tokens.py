@@ -5,51 +5,94 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
+
+import numpy as np
 
 #: A space beside other white space: there a text isn't cut.
 _BESIDE = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Stands between new pieces that are encoded as one text; no other character gives its id.
+_MARK = "\x1e"
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode(text)`` of the whole text.
 
     Both pre-tokenizers in use, the byte-level one and the one that drops white space, never form a token that spans
     a single space between two other characters, save as its first character. Texts are cut there; each piece, with
-    its space, is encoded once and remembered. Other pre-tokenizers get whole texts.
+    its space, is encoded once and remembered. Of what is remembered, what hasn't been met for long is forgotten.
+    Other pre-tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, remember: int = 250_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 400_000, longest: int = 32):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cuts = "ByteLevel" in str(self.tokenizer.pre_tokenizer)
-        self.remember, self.longest, self.known = remember, longest, {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        self.remember, self.longest, self.known, self.older = remember, longest, {}, {}
+        self.mark = self.tokenizer.encode(f" {_MARK}", add_special_tokens=False).ids
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each with a space before it: 2,000 to a text, with marks between."""
+        out = []
+        for i in range(0, len(pieces), 2000):
+            lot = pieces[i : i + 2000]
+            text = f" {_MARK} ".join(lot)
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {text} {_MARK}"], add_special_tokens=False)[0].ids, "<u4")
+            ends, k = np.flatnonzero(ids == self.mark[-1]) + 1, len(self.mark)
+            if text.count(_MARK) != len(lot) - 1 or len(ends) != len(lot):
+                out += self._each([f" {p}" for p in lot])
+                continue
+            data, ends = ids.tobytes(), ends * 4
+            out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], (ends - 4 * k).tolist(), strict=True)]
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         if not self.cuts:
             return [text]
         return _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        older, plain, odd, got = self.older.get, [], [], {}
+        for p in new:
+            v = older(p)
+            if v is not None:
+                got[p] = v
+            elif p and p[-1] > " " and not p[-1].isspace():
+                plain.append(p)
+            else:
+                odd.append(p)
+        got.update(zip(plain, self._together(plain), strict=True))
+        got.update(zip(odd, self._each([f" {p}" for p in odd]), strict=True))
         if len(self.known) > self.remember:
-            self.known = {}
+            self.known, self.older = {}, self.known
+        self.known.update((k, v) for k, v in got.items() if len(k) <= self.longest)
+        return got
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        new = set()
-        for pieces in cut:
-            new.update(pieces[1:])
-        new -= self.known.keys()
-        new = list(new)
-        got = dict(zip(new, self._ids([f" {p}" for p in new]), strict=True)) if new else {}
-        first = self._ids([p[0] for p in cut])
-        short = {k: v for k, v in got.items() if len(k) <= self.longest}
-        self.known.update(short)
-        look = self.known if len(short) == len(got) else self.known | got
-        return [a + b"".join(map(look.__getitem__, p[1:])) for a, p in zip(first, cut, strict=True)]
+        first = self._each([p[0] for p in cut])
+        get = self.known.get
+        rows = [list(map(get, p)) for p in cut]
+        new: set[str] = set()
+        for p, row in zip(cut, rows, strict=True):
+            row[0] = b""
+            if None in row:
+                new.update(compress(p, map(is_, row, repeat(None))))
+        if new:
+            got = self._learn(new)
+            for i, row in enumerate(rows):
+                if None in row:
+                    rows[i] = [got[p] if v is None else v for p, v in zip(cut[i], row, strict=True)]
+        return [a + b"".join(row) for a, row in zip(first, rows, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

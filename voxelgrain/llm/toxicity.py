@@ -16,16 +16,24 @@ from .common import held_out
 _WORD = re.compile(r"\w+")
 
 
+#: Signs of ASCII other than letters and digits count as spaces; letters in other scripts stay.
+_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
 def windows(text: str | None, size: int) -> list[bytes]:
-    """The whole text, in lower case and with single spaces, cut at spaces into windows of at most size bytes."""
-    data = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split())
-    out, i, n = [], 0, len(data)
+    """The whole text's words, in lower case and with a space before and after, in windows of about ``size`` bytes.
+
+    A window ends at the last space within the size, so it holds whole words; a longer word is cut."""
+    data = b" " + b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()) + b" "
+    out, i, n = [], 0, len(data) - 1
     while i < n:
         j = i + size
         if j < n:
             k = data.rfind(b" ", i + 1, j)
             j = k if k > 0 else j
-        out.append(data[i:j])
+        else:
+            j = n
+        out.append(data[i : j + 1])
         i = j
     return out
 
@@ -40,11 +48,14 @@ def _contexts(texts: list[str]) -> dict[str, int]:
     return {w: len(x) for w, x in seen.items()}
 
 
+PRM = None
+
+
 class CompressionModel:
-    """Two zstandard dictionaries of one base, one with the marks of the toxic class and one with ordinary words, and a
-    logistic calibration of the differences of window lengths."""
+    """Two zstandard dictionaries, the toxic one with the marks of the toxic class besides what the ordinary one has, and
+    a logistic calibration of the differences of window lengths."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 32, base_bytes: int = 32768, mark_bytes: int = 4096, seed: int = 1):
+    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 32, base_bytes: int = 16384, mark_bytes: int = 4096, hard_bytes: int = 24576, hard_windows: int = 150_000, seed: int = 1):
         import zstandard
 
         self.window = window
@@ -61,16 +72,28 @@ class CompressionModel:
         a, b = a / 100, b / 100
 
         def strength(w):
-            x, y = bad[w], good.get(w, 0)
-            return (x / a - y / b) / math.sqrt((x + y) / (a + b) * (1 / a + 1 / b))
+            """Poisson log-likelihood ratio of the contexts in the toxic class against those expected from the other."""
+            x, e = bad[w], (good.get(w, 0) + 0.5) * a / b
+            return x * math.log(x / e) - x + e if x > e else 0.0
 
-        marks = [w for w, x in bad.items() if x >= 4 and (x + 0.5) / a >= 8 * (good.get(w, 0) + 0.5) / b and strength(w) >= 3]
+        marks = [w for w, x in bad.items() if x >= 5 and strength(w) >= 13 and x * b >= 8 * (good.get(w, 0) + 0.5) * a]
         marks.sort(key=lambda w: (strength(w), w))
-        words = sorted((w for w in good if len(w) >= 5 and w not in marks), key=lambda w: (-good[w], w))
-        join = lambda ws: b"".join(f" {w} ".encode() for w in ws)
-        add = join(marks)[-mark_bytes:]
-        plain = join(words[: 4 * len(marks) + 1])[: len(add)]
-        self.toxic_dict, self.ordinary_dict = base + add, base + plain.rjust(len(add), b" ")
+        add = b"".join(f" {w} ".encode() for w in marks)[-mark_bytes:]
+        # The last bytes of a dictionary aren't found by zstandard.
+        add += b" " * 16
+        # Ordinary windows that the marks shorten, by parts of words in common, go into both dictionaries; twice.
+        some = [w for t in ordinary for w in windows(t, window)]
+        some = [some[i] for i in rng.permutation(len(some))[:hard_windows]]
+        hard: dict[bytes, None] = {}
+        for _ in range(2):
+            self.ordinary_dict = b"".join(hard)[:hard_bytes] + base
+            self.toxic_dict = self.ordinary_dict + add
+            shorter, toxic_ = self._compressors()
+            gains = [(len(shorter(w)) - len(toxic_(w)), w) for w in some]
+            hard.update(dict.fromkeys(w for g, w in sorted(gains, reverse=True) if g >= 3))
+            del self._made
+        self.ordinary_dict = b"".join(hard)[:hard_bytes] + base
+        self.toxic_dict = self.ordinary_dict + add
         self.mean, self.scale, self.weights = np.zeros(0), np.ones(0), np.zeros(0)
         self.calibrate(toxic, ordinary)
 
@@ -81,6 +104,7 @@ class CompressionModel:
             out = []
             for data in (self.ordinary_dict, self.toxic_dict):
                 params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+                params = PRM or params
                 d = zstandard.ZstdCompressionDict(data or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
@@ -91,25 +115,26 @@ class CompressionModel:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def features(self, text: str | None) -> np.ndarray:
-        """From the windows' gains in bytes: the three largest, how many reach 5, 6 and 7, and the number of windows."""
+        """From the windows' gains in bytes: the two largest, how many reach 3 to 8 bytes, in all and for each window."""
         ordinary, toxic = self._compressors()
         parts = windows(text, self.window)
         gains = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in parts), np.int64, len(parts))
-        top = np.sort(np.r_[gains, 0, 0, 0])[::-1][:3] if len(gains) < 3 else -np.partition(-gains, 2)[:3]
-        top = np.sort(top)[::-1]
-        return np.array([*top, *(math.log1p(int((gains >= k).sum())) for k in (5, 6, 7)), math.log1p(len(parts))])
+        top = sorted([0, 0, *gains[gains > 0].tolist()])[-2:]
+        reach = np.array([(gains >= k).sum() for k in range(3, 9)], float)
+        n = math.log1p(len(parts))
+        return np.r_[top, np.log1p(reach), np.sqrt(reach / max(1, len(parts))), n]
 
-    def calibrate(self, toxic: list[str], ordinary: list[str], ridge: float = 0.05) -> None:
-        x = np.array([self.features(t) for t in toxic + ordinary]).reshape(-1, 7)
+    def calibrate(self, toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> None:
+        x = np.array([self.features(t) for t in toxic + ordinary]).reshape(-1, 15)
         y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
         if not len(x):
-            x, y = np.zeros((1, 7)), np.zeros(1)
+            x, y = np.zeros((1, 15)), np.zeros(1)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        w = np.zeros(8)
+        w = np.zeros(16)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(8), z.T @ (p - y) + ridge * w)
+            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(16), z.T @ (p - y) + ridge * w)
         self.weights = w
 
     def score(self, text: str | None) -> float:

@@ -13,87 +13,94 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-_WORD = re.compile(r"\w+")
-
-
 #: Signs of ASCII other than letters and digits count as spaces; letters in other scripts stay.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+#: Bytes of a word's start that stand twice in what is compressed.
+START = 6
+
+
 def windows(text: str | None, size: int) -> list[bytes]:
     """The whole text's words, in lower case and with a space before and after, in windows of about ``size`` bytes.
 
-    A window ends at the last space within the size, so it holds whole words; a longer word is cut."""
-    data = b" " + b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()) + b" "
+    Each word follows its own first START bytes, so that even a short word or start of a word that a dictionary holds
+    is a match long enough to change a window's length. A window ends at the last space within the size, so it holds
+    whole words; a longer word is cut."""
+    data = b" " + b" ".join([w[:START] + w for w in _words(text)]) + b" "
     out, i, n = [], 0, len(data) - 1
     while i < n:
-        j = i + size
-        if j < n:
-            k = data.rfind(b" ", i + 1, j)
-            j = k if k > 0 else j
+        j = n if i + size >= n else data.rfind(b" ", i + 1, i + size)
+        if j > 0:
+            out.append(data[i : j + 1])
         else:
-            j = n
-        out.append(data[i : j + 1])
+            j = i + size
+            out.append(data[i:j])
         i = j
     return out
 
 
-def _contexts(texts: list[str]) -> dict[str, int]:
-    """In how many different contexts (word before, word after) each word stands; copies of a text count once."""
+def _contexts(texts: list[str], shortest: int = 5) -> dict[str, int]:
+    """In how many different contexts (word before, what follows) each word and each start of a word stands.
+
+    A word has a space before and after, a start only one before. Copies of a text count once, as their contexts are
+    the same."""
     seen = defaultdict(set)
     for t in texts:
-        words = _WORD.findall(t.lower())
+        words = [w.decode("utf-8", "surrogatepass") for w in _words(t)]
         for a, b, c in zip(["", *words], words, [*words[1:], ""], strict=False):
-            seen[b].add((a, c))
+            seen[f" {b} "].add((a, c))
+            for k in range(shortest, min(len(b), 24)):
+                seen[f" {b[:k]}"].add((a, b[k:]))
     return {w: len(x) for w, x in seen.items()}
 
 
-PRM = None
+def _marks(toxic: list[str], ordinary: list[str], least: int = 5, times: int = 8, ratio: float = 13.0) -> list[str]:
+    """Words and starts of words that stand in at least ``least`` contexts of the toxic class, and there ``times`` as
+    often as elsewhere, by a Poisson log-likelihood ratio of at least ``ratio``; the weakest first.
+
+    Of those that start alike the strongest is taken, or the longest of equals."""
+    bad, good = _contexts(toxic), _contexts(ordinary)
+    share = max(1, sum(bad.values())) / max(1, sum(good.values()))
+    found = []
+    for w, x in bad.items():
+        e = (good.get(w, 0) + 0.5) * share
+        if x >= least and x >= times * e and (strength := x * math.log(x / e) - x + e) >= ratio:
+            found.append((strength, len(w), w))
+    taken: dict[str, None] = {}
+    starts: set[str] = set()
+    for _, _, w in sorted(found, reverse=True):
+        if w not in starts and not any(w[:k] in taken for k in range(2, len(w))):
+            taken[w] = None
+            starts.update(w[:k] for k in range(2, len(w) + 1))
+    return list(taken)[::-1]
 
 
 class CompressionModel:
     """Two zstandard dictionaries, the toxic one with the marks of the toxic class besides what the ordinary one has, and
     a logistic calibration of the differences of window lengths."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 32, base_bytes: int = 16384, mark_bytes: int = 4096, hard_bytes: int = 24576, hard_windows: int = 150_000, seed: int = 1):
+    def __init__(self, toxic: list[str], ordinary: list[str], window: int = 96, steps: tuple[int, ...] = (3, 5, 7, 9, 11, 13), min_match: int = 6, base_bytes: int = 16384, mark_bytes: int = 4096, seed: int = 1):
         import zstandard
 
-        self.window = window
+        self.window, self.min_match, self.steps = window, min_match, steps
         rng = np.random.default_rng(seed)
-        samples = [w for t in ordinary + toxic for w in windows(t, window)]
+        # What the toxic dictionary adds. The last bytes of a dictionary aren't found by zstandard.
+        marks = [b" " + w[1 : 1 + START].rstrip() + w[1:] for w in (w.encode("utf-8", "surrogatepass") for w in _marks(toxic, ordinary))]
+        add = b" ".join(marks)[-mark_bytes:] + b" " * 16
+        # The ordinary dictionary is trained on windows without a mark, of both classes: a mark that it held would no longer tell.
+        marked = re.compile(b"|".join(map(re.escape, marks)) or b"(?!)").search
+        samples = [w for t in ordinary + toxic for w in windows(t, window) if not marked(w)]
         samples = [samples[i] for i in rng.permutation(len(samples))[:100_000]]
         try:
             base = zstandard.train_dictionary(base_bytes, samples, k=32, d=8, threads=1).as_bytes()
         except zstandard.ZstdError:  # too few samples
             base = b"".join(samples)[-base_bytes:]
-        # What the toxic dictionary adds: words in several contexts there and far fewer, for their number, elsewhere.
-        bad, good = _contexts(toxic), _contexts(ordinary)
-        a, b = max(1, sum(bad.values())), max(1, sum(good.values()))
-        a, b = a / 100, b / 100
-
-        def strength(w):
-            """Poisson log-likelihood ratio of the contexts in the toxic class against those expected from the other."""
-            x, e = bad[w], (good.get(w, 0) + 0.5) * a / b
-            return x * math.log(x / e) - x + e if x > e else 0.0
-
-        marks = [w for w, x in bad.items() if x >= 5 and strength(w) >= 13 and x * b >= 8 * (good.get(w, 0) + 0.5) * a]
-        marks.sort(key=lambda w: (strength(w), w))
-        add = b"".join(f" {w} ".encode() for w in marks)[-mark_bytes:]
-        # The last bytes of a dictionary aren't found by zstandard.
-        add += b" " * 16
-        # Ordinary windows that the marks shorten, by parts of words in common, go into both dictionaries; twice.
-        some = [w for t in ordinary for w in windows(t, window)]
-        some = [some[i] for i in rng.permutation(len(some))[:hard_windows]]
-        hard: dict[bytes, None] = {}
-        for _ in range(2):
-            self.ordinary_dict = b"".join(hard)[:hard_bytes] + base
-            self.toxic_dict = self.ordinary_dict + add
-            shorter, toxic_ = self._compressors()
-            gains = [(len(shorter(w)) - len(toxic_(w)), w) for w in some]
-            hard.update(dict.fromkeys(w for g, w in sorted(gains, reverse=True) if g >= 3))
-            del self._made
-        self.ordinary_dict = b"".join(hard)[:hard_bytes] + base
-        self.toxic_dict = self.ordinary_dict + add
+        self.ordinary_dict, self.toxic_dict = base, base + add
         self.mean, self.scale, self.weights = np.zeros(0), np.ones(0), np.zeros(0)
         self.calibrate(toxic, ordinary)
 
@@ -103,8 +110,8 @@ class CompressionModel:
         if "_made" not in self.__dict__:
             out = []
             for data in (self.ordinary_dict, self.toxic_dict):
-                params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
-                params = PRM or params
+                # The fast strategy with a target length leaves literals as they are, so that matches alone change a length.
+                params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=self.min_match, window_log=17, hash_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
                 d = zstandard.ZstdCompressionDict(data or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
@@ -115,26 +122,27 @@ class CompressionModel:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def features(self, text: str | None) -> np.ndarray:
-        """From the windows' gains in bytes: the two largest, how many reach 3 to 8 bytes, in all and for each window."""
+        """From the windows' gains in bytes: the two largest, how many reach each of ``steps``, in all and for each window."""
         ordinary, toxic = self._compressors()
         parts = windows(text, self.window)
         gains = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in parts), np.int64, len(parts))
         top = sorted([0, 0, *gains[gains > 0].tolist()])[-2:]
-        reach = np.array([(gains >= k).sum() for k in range(3, 9)], float)
+        reach = np.array([(gains >= k).sum() for k in self.steps], float)
         n = math.log1p(len(parts))
         return np.r_[top, np.log1p(reach), np.sqrt(reach / max(1, len(parts))), n]
 
     def calibrate(self, toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> None:
-        x = np.array([self.features(t) for t in toxic + ordinary]).reshape(-1, 15)
+        k = 3 + 2 * len(self.steps)
+        x = np.array([self.features(t) for t in toxic + ordinary]).reshape(-1, k)
         y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
         if not len(x):
-            x, y = np.zeros((1, 15)), np.zeros(1)
+            x, y = np.zeros((1, k)), np.zeros(1)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        w = np.zeros(16)
+        w = np.zeros(k + 1)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(16), z.T @ (p - y) + ridge * w)
+            w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(k + 1), z.T @ (p - y) + ridge * w)
         self.weights = w
 
     def score(self, text: str | None) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -44,35 +44,40 @@ def windows(text: str | None, size: int) -> list[bytes]:
     return out
 
 
-def _contexts(texts: list[str], shortest: int = 5) -> dict[str, int]:
-    """In how many different contexts (word before, what follows) each word and each start of a word stands.
+def _contexts(texts: list[str], only: Counter | None = None, shortest: int = 5, longest: int = 24) -> Counter:
+    """After how many different words each word and each start of a word stands, or those in ``only`` alone.
 
-    A word has a space before and after, a start only one before. Copies of a text count once, as their contexts are
-    the same."""
-    seen = defaultdict(set)
+    A word has a space before and after, a start only one before. Copies of a text count once, as their pairs of
+    words are the same."""
+    pairs: set[bytes] = set()
     for t in texts:
-        words = [w.decode("utf-8", "surrogatepass") for w in _words(t)]
-        for a, b, c in zip(["", *words], words, [*words[1:], ""], strict=False):
-            seen[f" {b} "].add((a, c))
-            for k in range(shortest, min(len(b), 24)):
-                seen[f" {b[:k]}"].add((a, b[k:]))
-    return {w: len(x) for w, x in seen.items()}
-
-
-def _marks(toxic: list[str], ordinary: list[str], least: int = 5, times: int = 8, ratio: float = 13.0) -> list[str]:
-    """Words and starts of words that stand in at least ``least`` contexts of the toxic class, and there ``times`` as
+        words = _words(t)
+        pairs.update(map(b" ".join, zip([b"", *words], words, strict=False)))
+    seen: Counter = Counter()
+    for p in pairs:
+        w = p[p.index(b" ") :]
+        keys = [w + b" ", *(w[:k] for k in range(shortest + 1, min(len(w), longest)))]
+        seen.update(keys if only is None else [k for k in keys if k in only])
+    return seen
+
+
+def _marks(toxic: list[str], ordinary: list[str], least: int = 5, times: int = 8, ratio: float = 20.0) -> list[bytes]:
+    """Words and starts of words that stand after at least ``least`` words in the toxic class, and there ``times`` as
     often as elsewhere, by a Poisson log-likelihood ratio of at least ``ratio``; the weakest first.
 
     Of those that start alike the strongest is taken, or the longest of equals."""
-    bad, good = _contexts(toxic), _contexts(ordinary)
-    share = max(1, sum(bad.values())) / max(1, sum(good.values()))
+    bad = _contexts(toxic)
+    bad = Counter({w: n for w, n in bad.items() if n >= least or w.endswith(b" ")})
+    good = _contexts(ordinary, bad)
+    size = lambda c: sum(n for w, n in c.items() if w.endswith(b" "))
+    share = max(1, size(bad)) / max(1, size(good))
     found = []
     for w, x in bad.items():
         e = (good.get(w, 0) + 0.5) * share
         if x >= least and x >= times * e and (strength := x * math.log(x / e) - x + e) >= ratio:
             found.append((strength, len(w), w))
-    taken: dict[str, None] = {}
-    starts: set[str] = set()
+    taken: dict[bytes, None] = {}
+    starts: set[bytes] = set()
     for _, _, w in sorted(found, reverse=True):
         if w not in starts and not any(w[:k] in taken for k in range(2, len(w))):
             taken[w] = None
@@ -90,7 +95,7 @@ class CompressionModel:
         self.window, self.min_match, self.steps = window, min_match, steps
         rng = np.random.default_rng(seed)
         # What the toxic dictionary adds. The last bytes of a dictionary aren't found by zstandard.
-        marks = [b" " + w[1 : 1 + START].rstrip() + w[1:] for w in (w.encode("utf-8", "surrogatepass") for w in _marks(toxic, ordinary))]
+        marks = [b" " + w[1 : 1 + START].rstrip() + w[1:] for w in _marks(toxic, ordinary)]
         add = b" ".join(marks)[-mark_bytes:] + b" " * 16
         # The ordinary dictionary is trained on windows without a mark, of both classes: a mark that it held would no longer tell.
         marked = re.compile(b"|".join(map(re.escape, marks)) or b"(?!)").search
@@ -150,7 +155,7 @@ class CompressionModel:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(z @ self.weights[:-1] + self.weights[-1]))))))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_chars: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> CompressionModel:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2500, most_chars: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> CompressionModel:
     """A model from labelled rows outside the held-out fifth: at most most_rows of each class, those with the smallest
     hash of the id, and of each at most most_chars characters. These two bounds hold for training alone.
 

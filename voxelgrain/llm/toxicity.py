@@ -61,7 +61,7 @@ def _contexts(texts: list[str], only: Counter | None = None, shortest: int = 5,
     return seen
 
 
-def _marks(toxic: list[str], ordinary: list[str], least: int = 5, times: int = 8, ratio: float = 20.0) -> list[bytes]:
+def _marks(toxic: list[str], ordinary: list[str], least: int = 5, times: int = 8, ratio: float = 13.0) -> list[bytes]:
     """Words and starts of words that stand after at least ``least`` words in the toxic class, and there ``times`` as
     often as elsewhere, by a Poisson log-likelihood ratio of at least ``ratio``; the weakest first.
 

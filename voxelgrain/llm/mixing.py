@@ -148,10 +148,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with each row as often as mix_sources() takes it, 0 to 2 times; all columns stay as they are.
 
-    Rows of one id, source and size are all taken equally often, the mean of their copies. Rows of size 0 go."""
+    Rows of one id, source and size are all taken equally often, the mean of their copies. Rows of size 0 go. The
+    copies grow with the documents, so they are never broadcast: both sides are shuffled, at every size."""
     mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     copies = mix.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
     copies = keep(copies.where("_copies > 0"), "copies")
     same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    out = docs.withColumn("_size", word_count(F.col(text_col))).join(copies, same)
+    out = docs.withColumn("_size", word_count(F.col(text_col))).join(copies.hint("merge"), same)
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelgrain import catalog
 from voxelgrain.operators import agglomeration, contingency, grid, kernels, learning, priorities, rag
 from voxelgrain.plans import segmentation
 from voxelgrain.sources import volumes
@@ -274,3 +275,49 @@ def test_plans(spark, small):
     v = small.withColumn("block", F.expr("x div 2")).withColumn("label", F.expr("label + block * 10"))
     got = dict(labels_of(segmentation.stitch(v, "x"), "label", "stitched"))
     assert got[11] == 1 and got[22] == 12
+
+
+def test_countdown_over_ranges(spark):
+    hits = [i % 7 == 3 or i % 11 == 0 for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(hits)), "idx long, hit boolean").repartition(5, "hit")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = agglomeration.countdown(rows, "idx", "hit", 3)
+        assert out.columns == ["idx", "hit", "left"]
+        assert labels_of(out, "idx", "left") == list(enumerate((3 - np.cumsum(hits)).tolist()))
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_adjacent_blocks_of_all_sizes(spark):
+    rng = np.random.default_rng(4)
+    lo, size = rng.integers(-12, 12, (300, 3)), rng.integers(1, 6, (300, 3))
+    rows = [(i, a.tolist(), (a + s - 1).tolist()) for i, (a, s) in enumerate(zip(lo, size, strict=True))]
+    want = []
+    for i, al, ah in rows:
+        for j, bl, bh in rows:
+            for axis in range(3):
+                if ah[axis] + 1 == bl[axis] and all(ah[k] >= bl[k] and bh[k] >= al[k] for k in range(3) if k != axis):
+                    want.append((i, j, axis))
+    blocks = spark.createDataFrame(rows, "block long, lo array<int>, hi array<int>")
+    assert labels_of(segmentation.adjacent_blocks(blocks), "a", "b", "axis") == sorted(want)
+    assert segmentation.adjacent_blocks(blocks.limit(0)).count() == 0
+
+
+def test_whole_tables(spark, sf):
+    """The whole_ queries leave no row of their tables out."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value").toPandas().sort_values("event_id")
+    id_, region = ev.event_id.to_numpy(), (ev.user_id % 5).to_numpy()
+    at = np.stack([id_ // 400, id_ % 400 // 20, id_ % 20], 1)
+    near = ((at[:, None] - at[None]) ** 2).sum(2) <= 4
+    want = near & (region[None] < region[:, None])
+    assert labels_of(catalog.queries()["whole_near_points"](spark, sf), "region", "id") == sorted((int(r), int(i)) for r, i, w in zip(region, id_, want.any(1), strict=True) if w)
+
+    left = 3 - np.cumsum(np.round(ev.value.to_numpy() * 100) > 20000)
+    assert labels_of(catalog.queries()["whole_countdown"](spark, sf), "idx", "left") == list(zip(id_.tolist(), left.tolist(), strict=True))
+
+    keys = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    place = {(k % 30, k // 30 % 30, k // 900): k for k in keys}
+    want = [(k, place[q], axis) for p, k in place.items() for axis in range(3) if (q := tuple(c + (i == axis) for i, c in enumerate(p))) in place]
+    assert len(want) > len(keys) and labels_of(catalog.queries()["whole_adjacent_blocks"](spark, sf), "a", "b", "axis") == sorted(want)

@@ -501,6 +501,12 @@ def conditional_countdown(spark, sf_dir):
     return agglomeration.countdown(rows, "idx", "hit", 3).select("idx", "left")
 
 
+@query(VOX + " SELECT idx, 3 - CAST(sum(CAST(cents > 20000 AS BIGINT)) OVER (ORDER BY idx) AS BIGINT) AS \"left\" FROM vox")
+def whole_countdown(spark, sf_dir):
+    rows = events_volume(spark, sf_dir).withColumn("hit", F.col("cents") > 20000)
+    return agglomeration.countdown(rows, "idx", "hit", 3).select("idx", "left")
+
+
 # Components and agglomeration
 
 
@@ -571,6 +577,14 @@ def adjacent_blocks(spark, sf_dir):
     return segmentation.adjacent_blocks(c.select(F.col("c_custkey").alias("block"), F.array(*lo).alias("lo"), F.array(*[x + 9 for x in lo]).alias("hi")))
 
 
+@query()
+def whole_adjacent_blocks(spark, sf_dir):
+    """A block of every customer, in planes of 30 x 30 blocks."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lo = [F.expr(f"CAST({e} * 10 AS INT)") for e in ("c_custkey % 30", "c_custkey div 30 % 30", "c_custkey div 900")]
+    return segmentation.adjacent_blocks(c.select(F.col("c_custkey").alias("block"), F.array(*lo).alias("lo"), F.array(*[x + 9 for x in lo]).alias("hi")))
+
+
 @query("""q AS (SELECT event_id AS id, user_id % 5 AS region, event_id // 400 AS z, event_id % 400 // 20 AS y, event_id % 20 AS x FROM events WHERE event_id % 7 = 0)
 SELECT DISTINCT b.region, b.id FROM q b JOIN q a ON a.z BETWEEN b.z - 3 AND b.z + 3 AND a.y BETWEEN b.y - 3 AND b.y + 3 AND a.region < b.region AND (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4""")
 def near_points(spark, sf_dir):
@@ -578,6 +592,12 @@ def near_points(spark, sf_dir):
     return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
 
 
+@query()
+def whole_near_points(spark, sf_dir):
+    p = events_cube(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"), (F.col("user_id") % 5).alias("region")), "idx")
+    return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
+
+
 @query()
 def stitched_blocks(spark, sf_dir):
     v = events_volume(spark, sf_dir).withColumn("block", F.expr("x div 50")).withColumn("label", F.expr("gt + block * 1000000"))

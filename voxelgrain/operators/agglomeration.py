@@ -156,11 +156,19 @@ def contract(edge_table: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def countdown(rows: DataFrame, order: str, flag: str, start: int = 1) -> DataFrame:
-    """left: start less the number of true flags so far, by the order column."""
+    """left: start less the number of true flags so far, by the order column.
+
+    A prefix sum over ranges of the order column: each range counts by itself and adds what the ranges before it hold;
+    only the one row a range is counted in a single task."""
     from pyspark.sql import Window
 
-    so_far = F.sum(F.col(flag).cast("long")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("left", F.lit(start) - so_far)
+    ranges = written(rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("_range").agg(F.sum(F.col(flag).cast("long")).alias("_n"))
+    sums = sums.select("_range", F.sum("_n").over(earlier).alias("_before"))
+    here = F.sum(F.col(flag).cast("long")).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.coalesce(F.col("_before") + F.col("_here"), "_here", "_before")
+    return ranges.withColumn("_here", here).join(F.broadcast(sums), "_range").withColumn("left", F.lit(start) - so_far).select(*rows.columns, "left")
 
 
 def split_merge(log: DataFrame, component: int, f0: int, f1: int) -> DataFrame:

@@ -40,17 +40,23 @@ def segment(voxels: DataFrame, options: Options) -> DataFrame:
 
 
 def adjacent_blocks(blocks: DataFrame) -> DataFrame:
-    """(a, b, axis): blocks (block, lo, hi arrays, hi included) that touch: next to each other on one axis, overlapping on the others."""
+    """(a, b, axis): blocks (block, lo, hi arrays, hi included) that touch: next to each other on one axis, overlapping on the others.
+
+    An equi-join on the touching faces and, on the other two axes, on cells as wide as the widest block: blocks that
+    overlap start in the same cell or in neighbouring ones."""
     lo, hi = [f"lo{i}" for i in range(3)], [f"hi{i}" for i in range(3)]
     flat = blocks.select("block", *[F.element_at("lo", i + 1).alias(lo[i]) for i in range(3)], *[F.element_at("hi", i + 1).alias(hi[i]) for i in range(3)])
+    wide = flat.agg(*[F.max(F.col(hi[i]) - F.col(lo[i]) + 1) for i in range(3)]).first()
+    cell = [F.floor(F.col(lo[i]) / max(1, wide[i] or 1)) for i in range(3)]
     out = None
     for axis in range(3):
-        a = flat.select(F.col("block").alias("a"), (F.col(hi[axis]) + 1).alias("touch"), *[F.col(c).alias(f"a_{c}") for c in lo + hi])
-        b = flat.select(F.col("block").alias("b"), F.col(lo[axis]).alias("touch"), *[F.col(c).alias(f"b_{c}") for c in lo + hi])
-        pairs = a.join(b, "touch")
-        for i in range(3):
-            if i != axis:
-                pairs = pairs.where((F.col(f"a_hi{i}") >= F.col(f"b_lo{i}")) & (F.col(f"b_hi{i}") >= F.col(f"a_lo{i}")))
+        i, j = (k for k in range(3) if k != axis)
+        around = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
+        a = flat.withColumn("s", around).select(F.col("block").alias("a"), (F.col(hi[axis]) + 1).alias("touch"), (cell[i] + F.col("s.p")).alias("ci"), (cell[j] + F.col("s.q")).alias("cj"), *[F.col(c).alias(f"a_{c}") for c in lo + hi])
+        b = flat.select(F.col("block").alias("b"), F.col(lo[axis]).alias("touch"), cell[i].alias("ci"), cell[j].alias("cj"), *[F.col(c).alias(f"b_{c}") for c in lo + hi])
+        pairs = a.join(b, ["touch", "ci", "cj"])
+        for k in (i, j):
+            pairs = pairs.where((F.col(f"a_hi{k}") >= F.col(f"b_lo{k}")) & (F.col(f"b_hi{k}") >= F.col(f"a_lo{k}")))
         pairs = pairs.select("a", "b", F.lit(axis).alias("axis"))
         out = pairs if out is None else out.union(pairs)
     return out

@@ -412,6 +412,22 @@ def test_lines(request, which):
         assert sum(map(len, text.values())) - sum(map(len, out.values())) == gone > 0
 
 
+def test_passages_of_short_lines_and_of_scripts_without_spaces(spark):
+    short = " ".join(f"Go to {i}. Then back!" for i in range(20))
+    # No space between words or after a sentence.
+    dense = "".join(chr(0x4E00 + (i * 37) % 5000) + ("。" if i % 10 == 9 else "") for i in range(200))
+    rows = [(1, f"First of all. {short} An end."), (2, f"Well. So it is. Yes. {short} Another end of it."), (3, f"前の文。{dense}"), (4, f"別。の文。{dense}"), (5, "Go to 3. And stay there for a while."), (6, "Too short.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = linededup.repeated_units(df)
+    out = {r.doc_id: r.text for r in linededup.remove_spans(df, spans).collect()}
+    assert all(out[k] == t for k, t in rows if k not in (2, 4))
+    assert len(out[2].split()) <= 11 + 7 and out[2].startswith("Well. So it is. Yes.") and out[2].endswith("Another end of it.")
+    assert len(out[4]) <= 5 + 20 and out[4].startswith("別。の文。")
+    text = dict(rows)
+    for r in spans.collect():
+        assert text[r.doc_id][r.start : r.end] == text[r.keep_doc_id][r.keep_start : r.keep_start + r.end - r.start]
+
+
 def test_components_of_long_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

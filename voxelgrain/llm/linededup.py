@@ -11,28 +11,52 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: A unit ends at a line's end, or after a sentence's end that white space follows.
-_END = re.compile(r"[.!?][\"')\]»”]*(?=\s)|\n")
+#: A unit ends at a line's end, or after a sentence's end that white space follows, or after a full-width one.
+_END = re.compile(r"[.!?।॥؟۔።][\"')\]»”]*(?=\s)|[。！？｡][\"')\]»”」』）】]*|\n")
 _JUNK = re.compile(r"[\W_]+")
+#: Letters of scripts without spaces between words: Thai to Lao, Burmese, Khmer, kana, Han.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def count_words(text: str) -> int:
+    """Words between white space; of scripts that have no spaces, every two letters are one word."""
+    if text.isascii():
+        return len(text.split())
+    spaced, dense = _DENSE.subn(" ", text)
+    return len(_JUNK.sub(" ", spaced).split()) + (dense + 1) // 2 if dense else len(text.split())
 
 
 def units(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each line or sentence of at least min_words words; offsets are in characters.
+    """(start, end, words, digest) of each line or sentence; offsets are in characters, and units don't overlap.
 
     The digest (128 bits) is that of the unit in lower case, with each run of other signs than letters and digits as
-    one space."""
-    out, at = [], 0
+    one space. A unit under min_words words is digested with the units after it, as many as give min_words words, or
+    at the text's end with the ones before it; so it equals another only where both stand in a passage of min_words
+    words. Texts under min_words words have no units."""
+    found, at = [], 0
     ends = [m.end() for m in _END.finditer(text)]
     for end in [*ends, len(text)]:
         part = text[at:end]
-        words = len(part.split())
-        if words >= min_words:
+        plain = _JUNK.sub(" ", part.lower()).strip()
+        if plain:
             body = part.strip()
             start = at + len(part) - len(part.lstrip())
-            plain = _JUNK.sub(" ", body.lower()).strip()
-            if plain:
-                out.append((start, start + len(body), words, hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+            found.append((start, start + len(body), count_words(part), plain))
         at = end
+    out = []
+    for i, (start, end, words, plain) in enumerate(found):
+        if words < min_words:
+            n, first, last = words, i, i + 1
+            while n < min_words and last < len(found):
+                n, last = n + found[last][2], last + 1
+            while n < min_words and first > 0:
+                first -= 1
+                n += found[first][2]
+            if n < min_words:
+                break
+            # No plain text holds a zero: these keys are neither those of whole units nor, at the end, of each other.
+            plain = "\0".join(["", *([f"\0{i - first}"] if first < i else []), *[f[3] for f in found[first:last]]])
+        out.append((start, end, words, hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
     return out
 
 
@@ -64,19 +88,20 @@ def repeated_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
     """(doc_id, start, end, words, keep_doc_id, keep_start, copies): one row for each unit to remove, at its place in the text.
 
     Of units with one digest, the first by (doc_id, start) stays, in keep_doc_id at keep_start; copies counts all of
-    them. Lines shorter than min_words words are left alone: such lines recur by chance. The digests are summed before
-    the shuffle; a line that stands in a large part of all texts is one row for each task, and the join back to its
-    places is split by adaptive execution.
+    them. Lines shorter than min_words words recur by chance, so they count only with their neighbours, see units();
+    of the whole units of a repeated passage, its last ones of less than min_words words in all may stay for that. The
+    digests are summed before the shuffle; a line that stands in a large part of all texts is one row for each task,
+    and the join back to its places is split by adaptive execution.
 
     Null and empty texts have no units. Texts without an id come after all others and are removed like any copy;
     repeated rows of one id count as one, since their places are the same. An empty table gives an empty one; other
     columns are ignored."""
     places = keep(text_units(docs, min_words, id_col, text_col), "units")
     last = F.lit((1 << 63) - 1)
-    seen = places.groupBy("hi", "lo").agg(F.min(F.coalesce("doc_id", last)).alias("keep_doc_id"), F.count("*").alias("copies")).where("copies > 1")
-    copies = keep(places.join(seen, ["hi", "lo"]), "copies")
-    first = copies.where(F.coalesce("doc_id", last) == F.col("keep_doc_id")).groupBy("hi", "lo").agg(F.min("start").alias("keep_start"))
-    out = copies.join(first, ["hi", "lo"])
+    # Written, so that the join stands on two plain shuffles, which adaptive execution can split.
+    seen = places.groupBy("hi", "lo").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc"), "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    seen = keep(seen.select("hi", "lo", F.col("first.doc").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "copies"), "seen")
+    out = places.join(seen, ["hi", "lo"])
     out = out.where((F.coalesce("doc_id", last) != F.col("keep_doc_id")) | (F.col("start") != F.col("keep_start")))
     return out.select("doc_id", "start", "end", "words", F.nullif("keep_doc_id", last).alias("keep_doc_id"), "keep_start", "copies").distinct()
 

@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder, in_lots
+from .tokens import encode_column
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def piece_lengths(tokens: int, longest: int) -> list[int]:
-    """tokens as a sum of powers of two, none above longest, the largest first."""
-    rest = tokens % longest
-    return [longest] * (tokens // longest) + [1 << k for k in range(longest.bit_length(), -1, -1) if rest >> k & 1]
+def piece_lengths(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of all pieces: each number of tokens as powers of two, none above longest, the largest first."""
+    bits = np.arange(longest.bit_length() - 1, -1, -1)
+    # A column for each power; the largest may occur more than once.
+    times = np.c_[tokens // longest, tokens[:, None] >> bits[1:] & 1]
+    return np.repeat(np.arange(len(tokens)), times.sum(1)), np.repeat(np.tile(1 << bits, len(tokens)), times.reshape(-1))
 
 
 def pack_power_of_two(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,7 +28,8 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, longest: int = 4096, end_
     and a rerun of a task gives the same ones, without any shuffle. ids holds little-endian unsigned 32-bit ids.
 
     Null and empty texts give one piece with end_id alone. Repeated rows are packed each for itself, a null id stays
-    null, an empty table gives no row, and other columns are ignored."""
+    null, an empty table gives no row, and other columns are ignored. A very long text is held in memory whole, with
+    about 20 bytes for each of its own; no other rows are held beside it."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
@@ -34,20 +37,22 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str, longest: int = 4096, end_
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        ranks: dict[int, int] = {}
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        used = np.zeros(longest.bit_length(), np.int64)  # pieces so far, by log2 of the length
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, lot in in_lots(texts):
-                rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[at : at + len(lot)], encode(lot), strict=True):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    for length in piece_lengths(n, longest):
-                        rank = ranks[length] = ranks.get(length, -1) + 1
-                        rows.append((doc_id, start, length, n, (length.bit_length() - 1) << 56 | part << 32 | rank, 0, ids[4 * start : 4 * (start + length)]))
-                        start += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.binary()], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            for at, ids, tokens in encode_column(tokenizer, batch.column(1), end_id):
+                doc, length = piece_lengths(tokens, longest)
+                upto = np.cumsum(length)
+                start = upto - length - (np.cumsum(tokens) - tokens)[doc]
+                power = np.round(np.log2(length)).astype(np.int64)
+                rank = np.zeros(len(length), np.int64)
+                for k in range(len(used)):
+                    same = power == k
+                    rank[same] = used[k] + np.arange(same.sum())
+                    used[k] += same.sum()
+                bounds = np.append(0, 4 * upto).astype(np.int32)
+                pieces = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4", copy=False))])
+                columns = [batch.column(0).take(pa.array(at + doc)), start, length, tokens[doc], power << 56 | part << 32 | rank, np.zeros(len(length), np.int64), pieces]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, SCHEMA)
 

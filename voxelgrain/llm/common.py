@@ -16,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a folder of this process (local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this process, in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="voxelgrain-")
         atexit.register(shutil.rmtree, root, True)
         root = f"file://{root}"
@@ -47,22 +49,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 200_000) -> DataFrame:
-    """Rows of docs whose key isn't in ids. ids is broadcast if it has at most broadcast_rows rows, else both are shuffled.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as make them different from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    Rows with a null key stay."""
-    ids = ids.select(key).where(F.col(key).isNotNull()).distinct()
-    small = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if small else ids, key, "left_anti")
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def connected_components(links: DataFrame, max_rounds: int = 200, broadcast_rows: int = 200_000) -> DataFrame:
     """Component of each node of an undirected graph: (node long, component long), component the smallest node in it.
 
     links has long columns a and b. Alternates large-star and small-star steps, each an aggregation and a join on
-    the node, until the links no longer change; each round's links are written to the shared folder. Nodes without a
-    link to another node aren't returned. Null ends and self-links are ignored; an empty graph gives an empty table."""
-    pair = lambda x, y: [F.col(x).alias("u"), F.col(y).alias("v")]
+    the node, until the links no longer change; each round's links are written to the shared folder. The rounds grow
+    with the logarithm of the longest path; should max_rounds not do, an error is raised. Up to broadcast_rows least
+    neighbours are broadcast; beyond that they are written, so that the join stands on two plain shuffles, and
+    adaptive execution can split a node with very many links. Nodes without a link to another node aren't returned.
+    Null ends and self-links are ignored; an empty graph gives an empty table."""
+
+    def ready(least: DataFrame, most: int) -> DataFrame:
+        return F.broadcast(least) if most <= broadcast_rows else keep(least, "least")
+
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = keep(edges, "links")
     mark = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -70,17 +85,19 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         # Large star: every larger neighbour of u is tied to the smallest in u's neighbourhood.
-        both = edges.unionByName(edges.select(*pair("v", "u")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        edges = both.join(ready(least, 2 * mark[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours are tied to the smallest of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = ready(edges.groupBy("u").agg(F.min("v").alias("m")), 2 * mark[0])
         tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(tied.unionByName(least.select(*pair("u", "m"))).where("u <> v").distinct(), "links")
+        edges = keep(tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)

@@ -56,8 +56,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    groups = exactdedup.with_text_hash(exactdedup.exact_groups(docs), docs)
-    return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    groups = exactdedup.exact_groups(docs, hash_all=True)
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full")).alias("text_sha256"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

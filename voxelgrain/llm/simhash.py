@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_ids, keep
+from .common import connected_components, is_small, keep, unused
 
 BITS = 64
 
@@ -120,26 +121,54 @@ def near_links(fps: DataFrame, radius: int = 4, pairwise: int = 2048) -> DataFra
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4, pairwise: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long, component_id) of every row: component_id is the smallest doc_id to which links lead.
+    """(doc_id, fp long, component_id, component) of every row: component_id is the smallest doc_id to which links lead,
+    component the least fingerprint.
 
     Two rows link if their fingerprints differ in at most ``radius`` bits. Equal fingerprints are one node, so copies
     cost nothing more. Null, empty and blank texts have fingerprint 0 and link like any other; rows without an id take
-    no part and get a null component; repeated rows agree; an empty table gives an empty one; other columns are
-    ignored."""
+    no part and get a null component; repeated rows agree; rows of one id with different texts are different documents,
+    which that id alone doesn't link; an empty table gives an empty one; other columns are ignored. A very long text's
+    shingles are hashed in one task, in 8 bytes of memory for each."""
     fps = keep(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = keep(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    links = near_links(nodes.select("fp"), radius, pairwise)
-    links = links.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    parts = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    parts = connected_components(near_links(nodes.select("fp"), radius, pairwise))
+    joined = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    joined = keep(joined, "components")
+    least = keep(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    named = keep(joined.join(least, "component"), "named")
     out = fps.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each simhash_groups() component, that with the smallest id; rows without an id stay."""
-    groups = keep(simhash_groups(docs, radius, words, id_col=id_col, text_col=text_col), "groups")
-    return drop_ids(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), id_col)
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "fp", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("component")).alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, radius: int = 4, words: int = 4, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each simhash_groups() component, one with its smallest id; rows without an id stay.
+
+    All columns stay as they are, whatever their names. Null and empty texts are near copies of each other. An id that
+    occurs more than once, which needs each row's own fingerprint, has it computed again for its rows alone; of such
+    rows that are the first of their component one is left. An empty table gives an empty one. What goes is broadcast
+    up to broadcast_rows ids, else both sides are shuffled by the id."""
+    groups = keep(simhash_groups(docs, radius, words, id_col=id_col, text_col=text_col).where("doc_id is not null"), "groups")
+    c_id, c_fp, c_own, c_component, c_gone = unused(docs, "id", "fp", "own", "component", "gone")
+    ids = groups.groupBy(F.col("doc_id").alias(c_id)).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias(c_gone))
+    ids = keep(ids.where(F.col(c_gone) | (F.col("n") > 1)).select(c_id, F.when(F.col("n") == 1, F.col(c_gone)).alias(c_gone)), "ids")
+    ready = lambda df: F.broadcast(df) if is_small(df, broadcast_rows) else df
+    same = F.col(id_col).cast("long") == F.col(c_id)
+    out = docs.join(ready(ids.where(c_gone)), same, "left_anti")
+    again = ids.where(F.col(c_gone).isNull()).select(c_id)
+    if not again.limit(1).count():
+        return out.select(docs.columns)
+    rest = out.join(ready(again), same, "left_anti").select(docs.columns)
+
+    @F.pandas_udf("long")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+
+    first = groups.where("doc_id = component_id").join(again, F.col("doc_id") == F.col(c_id)).select(F.col("doc_id").alias(c_id), F.col("fp").alias(c_fp), F.col("component").alias(c_component)).distinct()
+    some = docs.join(ready(again), same).drop(c_id).withColumns({c_own: own(F.col(text_col))})
+    # Different texts of one frequent id are dealt out by their fingerprints.
+    some = some.join(first, (F.col(id_col).cast("long") == F.col(c_id)) & (F.col(c_own) == F.col(c_fp)))
+    return rest.unionByName(some.dropDuplicates([c_component]).select(docs.columns))
 
 
 def hex16(fp):

@@ -50,22 +50,45 @@ def texts(docs):
 def tokenizer(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def encode(path, text):
     return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
+#: Words, signs and white space that meet at every kind of place where texts may or may not be cut.
+PARTS = ["a", "Word", "I", "été", "É", "H\u0331", "e\u0301", "\u0301", "İ", "Σας", "ΣΑΣ", "中文", "ไทย", "𝔘", "😀", "1", "42", "²", "Ⅷ", "٣", "'", "'s", "'re", "'LL", ".", ",", "...", "!?", "_", "%", "’", "«", "\x00", "\x1c", "\x1e", "\x7f", "\u200b", "<|endoftext|>", "<|startoftext|>", "<|", "x" * 90]
+BLANKS = ["", "", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", " \n", "\n ", "\x0b", "\x0c", "\x85", "\u00a0", " \u00a0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000 "]
+
+
+def odd_texts(n=1500):
+    import random
+
+    r = random.Random(11)
+    return ["".join(r.choice(PARTS) + r.choice(BLANKS) for _ in range(r.randint(1, 14))) for _ in range(n)] + [b + p + c for p in PARTS for b in BLANKS[4:] for c in ("", " ", "\n", "a")]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_is_the_tokenizer(name, texts):
+    import pyarrow as pa
+
     path = tokens.tokenizer_path(name)
-    some = [*list(texts.values())[:60], *(t or "" for _, t, _, _ in ODD), "a\u00a0 b", "x \u2003y z", "a \x1c b", "trail ", " lead", "  two", "e\u0301 \u0301x", "İ Σας ΣΑΣ"]
-    e = tokens.Encoder(path, remember=100)
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(some)] == [encode(path, t) for t in some]
+    some = [*list(texts.values())[:60], *(t or "" for _, t, _, _ in ODD), "", None, "", *odd_texts()]
+    e = tokens._ENCODERS[path] = tokens.Encoder(path, remember=100)
+    assert e.mode == {"w": "drop", "b": "bytes"}[name[0]]
+    want = [x.ids for x in tokenizer(path).encode_batch([t or "" for t in some], add_special_tokens=False)]
+    for most in (200, 10**7):
+        for end in (None, 2):
+            got = [a.tolist() for _, ids, sizes in tokens.encode_column(path, pa.array(some, pa.string()).slice(0), end, most) for a in np.split(ids, np.cumsum(sizes)[:-1])]
+            assert [g for g, w in zip(got, want, strict=True) if g != w + [end] * (end is not None)] == []
+    part = [a.tolist() for _, ids, sizes in tokens.encode_column(path, pa.array(some, pa.large_string()).slice(7, 30)) for a in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert part == want[7:37]
+    e.mode = "whole"
+    e._forget()
+    got = [a.tolist() for _, ids, sizes in tokens.encode_column(path, pa.array(some, pa.string())) for a in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == want
+    del tokens._ENCODERS[path]
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
@@ -94,12 +117,15 @@ def test_packing(request, which):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for values in ([], [0], [0, 0, 0], [5], [2**40], np.sort(rng.integers(0, 10**9, 1000)), np.cumsum(rng.integers(0, 3, 700))):
+    one_long = np.r_[np.arange(300), np.arange(300) + 10**6]
+    for values in ([], [0], [0, 0, 0], [5], [2**40], one_long, np.r_[np.zeros(1000, int), np.arange(70) * 5000, 10**6], np.arange(5000), np.sort(rng.integers(0, 10**9, 1000)), np.cumsum(rng.integers(0, 3, 700))):
         e = tokenbin.EliasFano.of(np.array(values, np.uint64))
         data = e.to_bytes()
         e, at = tokenbin.EliasFano.read(memoryview(data), 0)
-        assert at == len(data) and e.all().tolist() == list(values) and [e.get(i) for i in range(len(values))] == list(values)
-    assert len(data) < 700
+        assert at == len(data) and e.slice(0, len(values)).tolist() == list(values) and [e.get(i) for i in range(len(values))] == list(values)
+        for i, j in rng.integers(0, len(values) + 1, (20, 2)).tolist():
+            assert e.slice(i, j).tolist() == list(values[i:j])
+    assert len(data) < 800
     with pytest.raises(ValueError):
         tokenbin.EliasFano.of(np.array([2, 1], np.uint64))
 
@@ -117,6 +143,9 @@ def test_token_binary(request, which, tmp_path):
         s = tokenbin.read_shard(f.read_bytes())
         for i in range(s["docs"]):
             assert tokenbin.document_ids(s, i)[-1] == 2
+    if rows:
+        with pytest.raises(ValueError):
+            tokenbin.token_binary(df, path, f"file://{tmp_path}/out")
 
 
 def test_source_targets(spark):
@@ -330,52 +359,115 @@ def test_toxicity(spark, odd, none):
         assert b" ".join(toxicity.windows(t, 32)).replace(b" ", b"") == b"".join(words)
 
 
-@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+HEAD = "the same two hundred and fifty-six characters " * 6
+#: Rows that share ids, lengths and the first characters, but not texts.
+ALIKE = [
+    (1, HEAD + "x", "en", "s1"), (1, HEAD + "y", "en", "s1"), (1, HEAD + "x", "en", "s2"), (None, HEAD + "x", "en", "s1"), (None, HEAD + "y", "en", "s1"), (None, HEAD + "z", "en", "s1"),
+    (None, HEAD + "w", "en", None), (None, HEAD + "w", "en", "s1"), (2, HEAD + "v", "en", "s1"), (3, HEAD + "v", "en", "s1"), (4, "", "en", "s1"), (5, None, "en", "s1"), (5, None, "en", "s1"), (2, "short", None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    extra = {c: F.lit(i) for i, c in enumerate(("len", "_len", "head", "_head", "full", "keep_id", "ties", "group_size", "_i", "_l", "_h", "again", "n", "id"))}
+    return spark.createDataFrame(ALIKE, SCHEMA).repartition(4).withColumns(extra)
+
+
+def squeeze(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none", "alike"])
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_exact(request, which, broadcast_rows):
     df = request.getfixturevalue(which)
-    got = exactdedup.with_text_hash(exactdedup.exact_groups(df, prefix=8, broadcast_rows=broadcast_rows), df, prefix=8).collect()
     groups = defaultdict(list)
     for r in df.collect():
-        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
+        groups[squeeze(r.text)].append(r.doc_id)
     want = []
     for text, ids in groups.items():
         first = min((i for i in ids if i is not None), default=None)
         want += [(i, first, len(ids), i == first, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
-    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in got)
+    for hash_all in (True, False):
+        rows = exactdedup.exact_groups(df, 8, broadcast_rows, hash_all).collect()
+        got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.full and r.full.hex()) for r in rows]
+        if hash_all:
+            assert sorted(map(str, want)) == sorted(map(str, got))
+        else:
+            assert sorted(str(w[:4]) for w in want) == sorted(str(g[:4]) for g in got)
+            assert {g[4] for g in got} - {None} <= {w[4] for w in want} and all(g[4] for g in got if g[2] > 1)
 
 
-def test_suffix_automaton():
+@pytest.mark.parametrize("which", ["docs", "odd", "none", "alike"])
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_drop_copies(request, which, broadcast_rows):
+    df = request.getfixturevalue(which)
+    rows = df.collect()
+    out = exactdedup.drop_copies(df, 8, broadcast_rows)
+    got = out.collect()
+    assert out.columns == df.columns
+    least = {}
+    for r in rows:
+        key = (r.doc_id is None, r.doc_id or 0)
+        least[squeeze(r.text)] = min(least.get(squeeze(r.text), key), key)
+    assert sorted((squeeze(r.text), (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(least.items())
+    every = list(map(tuple, rows))
+    assert all(tuple(r) in every for r in got)
+
+
+def brute_phrases(text, source, stretch):
+    """Longest matches of each stretch of text in source, from the left; a sign that source lacks is one phrase."""
+    n = 0
+    for i in range(0, len(text), stretch):
+        part, at = text[i : i + stretch], 0
+        while at < len(part):
+            k = 1
+            while at + k < len(part) and part[at : at + k + 1] in source:
+                k += 1
+            n, at = n + 1, at + k
+    return n
+
+
+@pytest.mark.parametrize("dense", [96, 1, 0])
+def test_suffix_automaton(dense):
     rng = np.random.default_rng(1)
     signs = rng.integers(3, 6, 200).tolist()
-    table = langid.SuffixAutomaton(signs, 8).next
+    automaton = langid.SuffixAutomaton(signs, 8, dense)
     joined = "".join(map(str, signs))
     for _ in range(300):
-        q, s = rng.integers(3, 6, 7).tolist(), 0
+        q, s = rng.integers(2, 7, 7).tolist(), np.zeros(1, np.int64)
         for c in q:
-            s = table[s, c]
-            if not s:
+            s = automaton.step(s, np.array([c]))
+            if not s[0]:
                 break
-        assert bool(s) == ("".join(map(str, q)) in joined)
+        assert bool(s[0]) == ("".join(map(str, q)) in joined)
 
 
 def test_cross_parser_counts_phrases():
-    p = langid.CrossParser({"a": ["abcabd"], "b": ["xyzxy"]}, stretch=4)
-
-    def brute(text, source):
-        n = 0
-        for i in range(0, len(text), 4):
-            part, at = text[i : i + 4], 0
-            while at < len(part):
-                k = 1
-                while at + k < len(part) and part[at : at + k + 1] in source:
-                    k += 1
-                n, at = n + 1, at + k
-        return n
-
-    for t in ("abcabd", "abdabc", "xyab", "aaaaaaaaa", "xyzxyab"):
-        counts, _ = p.phrases([t])
-        assert counts[0].tolist() == [brute(t, "abcabd"), brute(t, "xyzxy")]
+    rng = np.random.default_rng(3)
+    sources = {"a": ["abcabd"], "b": ["xyzxy"], "zh": ["".join(chr(0x4E00 + i) for i in rng.integers(0, 300, 900))], "é": ["éaé bé", "ça y"]}
+    p = langid.CrossParser(sources, stretch=4)
+    assert p.automata[2].keys.size  # more letters than columns
+    odd = ["".join(rng.choice(list("abcdqxyz é,中𝔘") + [sources["zh"][0][5:9]], 9)) for _ in range(200)]
+    for t in ("abcabd", "abdabc", "xyab", "aaaaaaaaa", "xyzxyab", "aqb", "qqqq", "", sources["zh"][0][100:160], *odd):
+        plain = re.sub(r"[^\W\d_]", lambda m: m[0], re.sub(r"[\W\d_]+", " ", t))
+        counts, sizes = p.phrases([t, "ab"])
+        want = [brute_phrases(plain, "\n".join(re.sub(r"[\W\d_]+", " ", x) for x in sources[k]), 4) for k in p.languages]
+        assert counts[0].tolist() == want and sizes[0] == len(plain), t
+        got = p.predict([t])[0]
+        lengths = [sum(len(x) + 1 for x in sources[k]) for k in p.languages]
+        entropy = [n * np.log(m) for n, m in zip(want, lengths, strict=True)]
+        order = sorted(entropy)
+        letters = any(c.isalpha() for c in t)
+        assert got[0] == (p.languages[entropy.index(order[0])] if letters else "und")
+        assert got[1] == pytest.approx(1 - order[0] / order[1] if letters else 0.0)
+
+
+def test_languages_of_short_texts_and_other_scripts(spark):
+    rows = [(i, "".join(chr(c + (i * 7 + k * 5) % 20) for k in range(9)), name) for i, (name, c) in enumerate([("ja", 0x3042), ("zh", 0x4E10), ("got", 0x10330), ("ru", 0x430)] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs, langid.train(docs)).collect()}
+    assert got == {i: name for i, _, name in rows}
 
 
 def test_language(docs, odd, none, spark):

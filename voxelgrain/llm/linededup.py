@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, unused
 
 #: A unit ends at a line's end, or after a sentence's end that white space follows, or after a full-width one.
 _END = re.compile(r"[.!?।॥؟۔።][\"')\]»”]*(?=\s)|[。！？｡][\"')\]»”」』）】]*|\n")
@@ -107,8 +107,12 @@ def repeated_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the spans (doc_id, start, end) taken out of their texts; rows with a null id or text stay as they are."""
-    each = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    """docs with the spans (doc_id, start, end) taken out of their texts; rows with a null id or text stay as they are.
+
+    Spans hold for every row of their id. Other columns stay as they are, whatever their names; spans beyond a text's
+    end take nothing; no spans, or an empty table, change nothing."""
+    c_id, c_spans = unused(docs, "id", "spans")
+    each = spans.groupBy(F.col("doc_id").alias(c_id)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(c_spans))
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -126,5 +130,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(each, F.col(id_col) == F.col("_id"), "left")
-    return joined.select(*[cut(F.col(text_col), F.col("_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = docs.join(each, F.col(id_col) == F.col(c_id), "left")
+    return joined.select(*[cut(F.col(text_col), F.col(c_spans)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

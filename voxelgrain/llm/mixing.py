@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WORD, keep
+from .common import WORD, keep, unused
 
 
 def word_count(text: Column) -> Column:
@@ -33,11 +33,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return s.select("source", "source_size", F.least(F.coalesce(level, F.lit(float("inf"))) * F.col("w"), F.col("cap")).alias("target"))
 
 
-def uniform(*columns) -> Column:
-    """A number in (0, 1) that depends on the columns alone."""
-    return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / float(1 << 53)
-
-
 #: One step of the rounding: the unit at hand (res) meets the next (x); words move between them, in the direction drawn, until one has 0 or 1 copies.
 _UNIT = "struct<size: bigint, unit: bigint, copy: int, part: double>"
 _FOLD = f"""
@@ -71,15 +66,18 @@ def _meet(open_units: DataFrame, group: list, seed: int) -> DataFrame:
 
 
 def pivotal_rounding(units: DataFrame, arity: int = 64, seed: int = 7) -> DataFrame:
-    """(sid, unit, copy, up 0 or 1): rounds the fractions of units (sid, unit, copy, size, part) source by source.
+    """(sid, unit, copy, size, up 0 or 1): rounds the fractions of units (sid, unit, copy, size, part) source by source.
+
+    (unit, copy, size) tells the units of a source apart.
 
     Units of one source and one size class (log2) are dealt by a hash into groups of about ``arity``. In a group two
     units at a time are paired and words move between them, at random but with each part's mean kept, until one has a
     whole number; the source's words stay the same. Each group leaves one open unit, and these meet again in the next
     level of the tree, class by class, then across classes; a level has 1 / arity of the rows of the one before, and
     no group outgrows a few arities however frequent the source. The last open unit of a source goes to the nearer
-    whole number; then, class by class from the largest size, at most one unit of each class is turned over where
-    that brings the source's words nearer to their sum."""
+    whole number. Then units are turned over where that brings the source's words nearer to their sum, from the largest
+    size on, and at last one up and one down; the largest unit of each quarter of a class is a candidate, at most some
+    200 of a source."""
     size_class = F.floor(F.log2(F.col("size"))).cast("int")
     start = units.select("sid", "unit", "copy", "size", "part", size_class.alias("class"))
     level, left, done = 0, start, []
@@ -109,15 +107,21 @@ def pivotal_rounding(units: DataFrame, arity: int = 64, seed: int = 7) -> DataFr
     want = units.groupBy("sid").agg(F.sum(F.col("part") * F.col("size")).alias("want"))
     have = rounded.groupBy("sid").agg(F.sum(F.col("up") * F.col("size")).alias("have"))
     pick = F.max_by(F.struct("size", "unit", "copy", "up"), F.struct("size", F.xxhash64("unit", "copy"), "unit", "copy"))
-    choice = rounded.groupBy("sid", "up", F.floor(F.log2("size")).alias("class")).agg(pick.alias("c"))
+    choice = rounded.groupBy("sid", "up", F.floor(4 * F.log2("size")).alias("class")).agg(pick.alias("c"))
     choice = choice.groupBy("sid").agg(F.sort_array(F.collect_list("c"), asc=False).alias("cs"))
-    settle = """aggregate(cs, struct(gap AS gap, cast(array() AS array<struct<size: bigint, unit: bigint, copy: int, up: int>>) AS turned),
+    greedy = """aggregate(cs, struct(gap AS gap, cast(array() AS array<struct<size: bigint, unit: bigint, copy: int, up: int>>) AS turned),
       (acc, c) -> CASE WHEN abs(acc.gap - (1 - 2 * c.up) * c.size) < abs(acc.gap)
-        THEN struct(acc.gap - (1 - 2 * c.up) * c.size AS gap, concat(acc.turned, array(c)) AS turned) ELSE acc END).turned"""
+        THEN struct(acc.gap - (1 - 2 * c.up) * c.size AS gap, concat(acc.turned, array(c)) AS turned) ELSE acc END)"""
+    none = "array(named_struct('size', 0L, 'unit', 0L, 'copy', 0, 'up', -1))"
+    pair = f"""array_min(flatten(transform(concat({none}, filter(rest, c -> c.up = 0)),
+      x -> transform(concat({none}, filter(rest, c -> c.up = 1)), y -> named_struct('off', abs(g.gap - x.size + y.size), 'x', x, 'y', y)))))"""
     gaps = choice.join(want.join(have, "sid").select("sid", (F.col("want") - F.col("have")).alias("gap")), "sid")
-    turned = gaps.select("sid", F.explode(F.expr(settle)).alias("t")).select("sid", "t.unit", "t.copy", F.lit(True).alias("turn"))
-    out = rounded.join(turned, ["sid", "unit", "copy"], "left")
-    return out.select("sid", "unit", "copy", F.when(F.col("turn"), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
+    gaps = gaps.select("sid", "cs", F.expr(greedy).alias("g")).withColumn("rest", F.array_except("cs", "g.turned"))
+    best = gaps.select("sid", "g.turned", F.expr(pair).alias("b"))
+    best = best.select("sid", F.explode(F.concat("turned", F.array("b.x", "b.y"))).alias("t")).where("t.up >= 0")
+    turned = best.select("sid", "t.unit", "t.copy", "t.size", F.lit(True).alias("turn"))
+    out = rounded.join(turned, ["sid", "unit", "copy", "size"], "left")
+    return out.select("sid", "unit", "copy", "size", F.when(F.col("turn"), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -136,23 +140,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     sid = F.xxhash64(F.col("source").isNull(), "source")
     targets = keep(targets.withColumn("sid", sid).withColumn("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "targets")
     each = rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    each = each.withColumn("sid", sid).withColumn("unit", F.coalesce("doc_id", F.lit(-1 << 63)).cast("long"))
+    # Rows without an id have negative numbers, so that no id is mistaken for theirs.
+    known = F.col("doc_id").isNotNull()
+    each = each.select("doc_id", "source", "size", sid.alias("sid"), F.when(known, F.col("doc_id")).otherwise(0).cast("long").alias("unit"), F.when(known, F.col("copy")).otherwise(-F.col("copy")).alias("copy"))
     units = each.join(targets.select("sid", (F.col("e") - F.floor("e")).alias("part")), "sid").where("size > 0")
-    # Rows of one id that differ in source or size stay apart in the join below by (sid, unit, copy, size).
-    rounded = pivotal_rounding(units.select("sid", F.xxhash64("unit", "size").alias("unit"), "copy", "size", "part"), seed=seed)
-    out = each.withColumn("unit", F.xxhash64("unit", "size")).join(targets.select("sid", "source_size", "target", "e"), "sid").join(rounded, ["sid", "unit", "copy"], "left")
+    rounded = pivotal_rounding(units.select("sid", "unit", "copy", "size", "part"), seed=seed)
+    out = each.join(targets.select("sid", "source_size", "target", "e"), "sid").join(rounded, ["sid", "unit", "copy", "size"], "left")
     copies = F.when(F.col("size") > 0, F.floor("e") + F.coalesce("up", F.lit(0))).otherwise(0).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as mix_sources() takes it, 0 to 2 times; all columns stay as they are.
+    """docs with each row as often as mix_sources() takes it, 0 to 2 times; all columns stay as they are, whatever their names.
 
-    Rows of one id, source and size are all taken equally often, the mean of their copies. Rows of size 0 go. The
-    copies grow with the documents, so they are never broadcast: both sides are shuffled, at every size."""
+    Rows of one id, source and size, null ids too, are taken as often in all as their draws say, in an order of their
+    texts' hashes. Rows of size 0, so null and empty texts, go; a null source is one of its own; an empty table gives
+    an empty one. The copies grow with the documents, so they are never broadcast: both sides are shuffled, at every
+    size, very long texts too."""
     mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = mix.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    copies = keep(copies.where("_copies > 0"), "copies")
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    out = docs.withColumn("_size", word_count(F.col(text_col))).join(copies.hint("merge"), same)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    c_id, c_source, c_size, c_words, c_rows, c_copies, c_rank = unused(docs, "id", "source_", "size", "words", "rows", "copies", "rank")
+    copies = mix.groupBy(F.col("doc_id").alias(c_id), F.col("source").alias(c_source), F.col("size").alias(c_size)).agg(F.count(F.lit(1)).alias(c_rows), F.sum("copies").alias(c_copies))
+    copies = keep(copies.where(F.col(c_copies) > 0), "copies")
+    same = F.col(id_col).eqNullSafe(F.col(c_id)) & F.col(source_col).eqNullSafe(F.col(c_source)) & (F.col(c_words) == F.col(c_size))
+    out = docs.withColumn(c_words, word_count(F.col(text_col))).join(copies.hint("merge"), same)
+    times = F.col(c_copies)
+    if copies.where(F.col(c_rows) > 1).limit(1).count():
+        alike = W.Window.partitionBy(c_id, c_source, c_size).orderBy(F.xxhash64(F.col(text_col)))
+        many = out.where(F.col(c_rows) > 1).withColumn(c_rank, F.row_number().over(alike))
+        out = out.where(F.col(c_rows) == 1).withColumn(c_rank, F.lit(1)).unionByName(many)
+        times = F.floor(times / F.col(c_rows)) + F.when(F.col(c_rank) <= times % F.col(c_rows), 1).otherwise(0)
+    out = out.withColumn(c_copies, times.cast("int")).where(F.col(c_copies) > 0)
+    return out.withColumn(c_rank, F.explode(F.sequence(F.lit(1), F.col(c_copies)))).select(docs.columns)

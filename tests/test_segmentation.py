@@ -306,18 +306,18 @@ def test_adjacent_blocks_of_all_sizes(spark):
 
 
 def test_whole_tables(spark, sf):
-    """The whole_ queries leave no row of their tables out."""
+    """These queries leave no row of their tables out."""
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value").toPandas().sort_values("event_id")
     id_, region = ev.event_id.to_numpy(), (ev.user_id % 5).to_numpy()
     at = np.stack([id_ // 400, id_ % 400 // 20, id_ % 20], 1)
     near = ((at[:, None] - at[None]) ** 2).sum(2) <= 4
     want = near & (region[None] < region[:, None])
-    assert labels_of(catalog.queries()["whole_near_points"](spark, sf), "region", "id") == sorted((int(r), int(i)) for r, i, w in zip(region, id_, want.any(1), strict=True) if w)
+    assert labels_of(catalog.queries()["near_points"](spark, sf), "region", "id") == sorted((int(r), int(i)) for r, i, w in zip(region, id_, want.any(1), strict=True) if w)
 
     left = 3 - np.cumsum(np.round(ev.value.to_numpy() * 100) > 20000)
-    assert labels_of(catalog.queries()["whole_countdown"](spark, sf), "idx", "left") == list(zip(id_.tolist(), left.tolist(), strict=True))
+    assert labels_of(catalog.queries()["conditional_countdown"](spark, sf), "idx", "left") == list(zip(id_.tolist(), left.tolist(), strict=True))
 
     keys = {r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
     place = {(k % 30, k // 30 % 30, k // 900): k for k in keys}
     want = [(k, place[q], axis) for p, k in place.items() for axis in range(3) if (q := tuple(c + (i == axis) for i, c in enumerate(p))) in place]
-    assert len(want) > len(keys) and labels_of(catalog.queries()["whole_adjacent_blocks"](spark, sf), "a", "b", "axis") == sorted(want)
+    assert len(want) > len(keys) and labels_of(catalog.queries()["adjacent_blocks"](spark, sf), "a", "b", "axis") == sorted(want)

@@ -495,14 +495,8 @@ def priority_histogram(spark, sf_dir):
     return spark.range(101).select(F.col("id").alias("bin")).join(h, "bin", "left").na.fill(0)
 
 
-@query(VOX + " SELECT idx, 3 - CAST(sum(CAST(cents > 20000 AS BIGINT)) OVER (ORDER BY idx) AS BIGINT) AS \"left\" FROM vox WHERE y = 3")
-def conditional_countdown(spark, sf_dir):
-    rows = events_volume(spark, sf_dir).where("y = 3").withColumn("hit", F.col("cents") > 20000)
-    return agglomeration.countdown(rows, "idx", "hit", 3).select("idx", "left")
-
-
 @query(VOX + " SELECT idx, 3 - CAST(sum(CAST(cents > 20000 AS BIGINT)) OVER (ORDER BY idx) AS BIGINT) AS \"left\" FROM vox")
-def whole_countdown(spark, sf_dir):
+def conditional_countdown(spark, sf_dir):
     rows = events_volume(spark, sf_dir).withColumn("hit", F.col("cents") > 20000)
     return agglomeration.countdown(rows, "idx", "hit", 3).select("idx", "left")
 
@@ -568,32 +562,21 @@ def flat_training(spark, sf_dir):
     return learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
 
 
-@query("""b(block, lz, ly, lx, hz, hy, hx) AS (SELECT c_custkey, c_custkey % 3 * 10, c_custkey // 3 % 3 * 10, c_custkey // 9 % 3 * 10, c_custkey % 3 * 10 + 9, c_custkey // 3 % 3 * 10 + 9, c_custkey // 9 % 3 * 10 + 9 FROM customer WHERE c_custkey <= 27),
-p AS (SELECT a.block AS a, b.block AS b, a.hz + 1 = b.lz AND a.hy >= b.ly AND b.hy >= a.ly AND a.hx >= b.lx AND b.hx >= a.lx AS z, a.hy + 1 = b.ly AND a.hz >= b.lz AND b.hz >= a.lz AND a.hx >= b.lx AND b.hx >= a.lx AS y, a.hx + 1 = b.lx AND a.hz >= b.lz AND b.hz >= a.lz AND a.hy >= b.ly AND b.hy >= a.ly AS x FROM b a, b)
-SELECT a, b, CAST(0 AS INT) AS axis FROM p WHERE z UNION ALL SELECT a, b, 1 FROM p WHERE y UNION ALL SELECT a, b, 2 FROM p WHERE x""")
+@query("""b AS (SELECT c_custkey AS block, c_custkey % 30 * 10 AS lz, c_custkey // 30 % 30 * 10 AS ly, c_custkey // 900 * 10 AS lx FROM customer)
+SELECT a.block AS a, b.block AS b, CAST(0 AS INT) AS axis FROM b a JOIN b ON a.lz + 10 = b.lz AND a.ly = b.ly AND a.lx = b.lx
+UNION ALL SELECT a.block, b.block, 1 FROM b a JOIN b ON a.lz = b.lz AND a.ly + 10 = b.ly AND a.lx = b.lx
+UNION ALL SELECT a.block, b.block, 2 FROM b a JOIN b ON a.lz = b.lz AND a.ly = b.ly AND a.lx + 10 = b.lx""")
 def adjacent_blocks(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 27")
-    lo = [F.expr(f"CAST(c_custkey {e} % 3 * 10 AS INT)") for e in ("", "div 3", "div 9")]
-    return segmentation.adjacent_blocks(c.select(F.col("c_custkey").alias("block"), F.array(*lo).alias("lo"), F.array(*[x + 9 for x in lo]).alias("hi")))
-
-
-@query()
-def whole_adjacent_blocks(spark, sf_dir):
     """A block of every customer, in planes of 30 x 30 blocks."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     lo = [F.expr(f"CAST({e} * 10 AS INT)") for e in ("c_custkey % 30", "c_custkey div 30 % 30", "c_custkey div 900")]
     return segmentation.adjacent_blocks(c.select(F.col("c_custkey").alias("block"), F.array(*lo).alias("lo"), F.array(*[x + 9 for x in lo]).alias("hi")))
 
 
-@query("""q AS (SELECT event_id AS id, user_id % 5 AS region, event_id // 400 AS z, event_id % 400 // 20 AS y, event_id % 20 AS x FROM events WHERE event_id % 7 = 0)
-SELECT DISTINCT b.region, b.id FROM q b JOIN q a ON a.z BETWEEN b.z - 3 AND b.z + 3 AND a.y BETWEEN b.y - 3 AND b.y + 3 AND a.region < b.region AND (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4""")
+@query("""q AS (SELECT event_id AS id, user_id % 5 AS region, event_id // 400 AS z, event_id % 400 // 20 AS y, event_id % 20 AS x FROM events),
+d(k) AS (VALUES (-2), (-1), (0), (1), (2)), s AS (SELECT q.*, z + i.k AS zz, y + j.k AS yy, x + l.k AS xx FROM q, d i, d j, d l WHERE i.k * i.k + j.k * j.k + l.k * l.k <= 4)
+SELECT DISTINCT s.region, s.id FROM s JOIN q ON q.z = s.zz AND q.y = s.yy AND q.x = s.xx WHERE q.region < s.region""")
 def near_points(spark, sf_dir):
-    p = events_cube(spark, sf_dir).where("idx % 7 = 0").join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"), (F.col("user_id") % 5).alias("region")), "idx")
-    return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
-
-
-@query()
-def whole_near_points(spark, sf_dir):
     p = events_cube(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"), (F.col("user_id") % 5).alias("region")), "idx")
     return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
 

@@ -12,22 +12,27 @@ from voxelgrain.llm.tokens import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows below the toxicity threshold, of a model trained on docs with the labels of sf_dir; a null text is scored like an empty one."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each normalised text, that with the smallest id."""
     return exactdedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near copies, that with the smallest id; rows without an id stay."""
     return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row 0 to 2 times, as the sources' target weights say; texts without a word go."""
     return mixing.repeat_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids in pieces of power-of-two lengths."""
     return packing.pack_power_of_two(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -38,6 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on the documents of sf_dir, each written to the shared folder and read again.
+
+    Null texts and ids, repeated rows and ids, and columns of any name are handled as each stage's operator says; no
+    documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)

@@ -321,3 +321,81 @@ def test_whole_tables(spark, sf):
     place = {(k % 30, k // 30 % 30, k // 900): k for k in keys}
     want = [(k, place[q], axis) for p, k in place.items() for axis in range(3) if (q := tuple(c + (i == axis) for i, c in enumerate(p))) in place]
     assert len(want) > len(keys) and labels_of(catalog.queries()["adjacent_blocks"](spark, sf), "a", "b", "axis") == sorted(want)
+
+
+def brute_moments(x, k=4):
+    return [len(x), x.mean(), *[((x - x.mean()) ** i).mean() for i in range(2, k + 1)]]
+
+
+def brute_percentiles(counts, wanted, lo, hi):
+    if not counts.sum():
+        return [lo] * len(wanted)
+    step, upto = (hi - lo) / len(counts), np.cumsum(counts) / counts.sum()
+    out = []
+    for p in wanted:
+        b = int(np.argmax(upto >= p))
+        before = upto[b - 1] if b else 0.0
+        out.append(lo + b * step + (step / 2 if upto[b] == before else step * (p - before) / (upto[b] - before)))
+    return out
+
+
+def test_edge_feature_lists(spark):
+    from voxelgrain.operators import features
+
+    rng = np.random.default_rng(2)
+    label = np.repeat(np.repeat(np.array([[1, 2, 3], [4, 5, 5]]), 3, 0), 4, 1)
+    label[0, :3] = 2
+    p = rng.random(label.shape)
+    p[label == 3] = 2.0  # beyond the histogram
+    v = volumes.from_arrays(spark, label=label.astype(np.int64), p=p)
+    wanted, bins = (0.1, 0.5, 0.9), 5
+    rows = features.edge_features(v, rag.boundary_voxels(v, "exact", keep=("idx", "p")), "p", bins, 0.0, 1.0, wanted).collect()
+    touching = {}
+    for i in range(label.shape[0]):
+        for j in range(label.shape[1]):
+            for a, b in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if 0 <= a < label.shape[0] and 0 <= b < label.shape[1] and label[a, b] != label[i, j]:
+                    touching.setdefault((min(label[a, b], label[i, j]), max(label[a, b], label[i, j])), set()).add((i, j))
+    near = {n: {b if a == n else a for a, b in touching if n in (a, b)} for n in range(1, 6)}
+
+    def described(x):
+        h = np.histogram(x, bins, (0, 1))[0]
+        return [*brute_moments(x), *(h / max(1, h.sum())), *brute_percentiles(h, wanted, 0.0, 1.0)], np.array(brute_moments(x)), h / max(1, h.sum())
+
+    def kl(a, b):
+        some = a * b > 0
+        return (a[some] * np.log(a[some] / b[some])).sum()
+
+    assert {(r.u, r.v) for r in rows} == set(touching)
+    for r in rows:
+        first, second = sorted((r.u, r.v), key=lambda n: ((label == n).sum(), n))
+        (fa, ma, ha), (fb, mb, hb) = described(p[label == first]), described(p[label == second])
+        own, _, _ = described(np.array([p[q] for q in touching[r.u, r.v]] * 1))
+        graph = lambda n: np.array([len(near[n]), np.mean([len(near[k]) for k in near[n]])])
+        m = (ha + hb) / 2
+        want = [*fa, *graph(first), *fb, *graph(second), *own, len(near[r.u] & near[r.v]), *abs(ma - mb), (kl(ha, m) + kl(hb, m)) / 2, *(graph(first) - graph(second))]
+        assert len(r.features) == len(want)
+        assert np.allclose(r.features, want, atol=1e-9), (r.u, r.v)
+
+
+def test_percentiles_of_odd_histograms(spark):
+    from voxelgrain.operators import features
+
+    hs = [[0, 0, 0], [5, 0, 0], [0, 0, 2], [1, 0, 1], [1, 1, 1]]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(hs)], "i int, h array<bigint>").select("i", features.percentiles(F.col("h"), (0.0, 0.25, 0.5, 1.0), 1.0, 4.0, 3).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(brute_percentiles(np.array(hs[r.i]), (0.0, 0.25, 0.5, 1.0), 1.0, 4.0))
+
+
+def test_cuts_at_many_thresholds(spark):
+    e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.4), (4, 5, 0.2), (3, 4, 0.9)], "u long, v long, weight double")
+    n = spark.createDataFrame([(i,) for i in range(0, 7)], "node long")
+    got = labels_of(agglomeration.threshold_cuts(e, n, [0.05, 0.3, 0.5, 1.0]), "threshold", "node", "segment")
+    parts = {0.05: [0, 1, 2, 3, 4, 5, 6], 0.3: [0, 1, 1, 3, 4, 4, 6], 0.5: [0, 1, 1, 1, 4, 4, 6], 1.0: [0, 1, 1, 1, 1, 1, 6]}
+    assert got == sorted((t, i, s) for t, ss in parts.items() for i, s in enumerate(ss))
+    table = spark.createDataFrame([(1, 1, 4), (2, 1, 4), (3, 2, 4), (4, 2, 4)], "s long, g long, n long")
+    cuts = agglomeration.threshold_cuts(e, n, [0.05, 0.3, 0.5])
+    vi = {r.threshold: (r.under, r.over) for r in contingency.vi_by_threshold(table, cuts).collect()}
+    assert vi[0.05] == pytest.approx((0.0, 1.0)) and vi[0.3] == pytest.approx((0.0, 0.5)) and vi[0.5][0] > 0
+    stats = contingency.vi_statistics(contingency.vi_by_threshold(table, cuts).withColumn("threshold", F.lit(0))).collect()[0]
+    assert stats.mean_over == pytest.approx(np.mean([o for _, o in vi.values()])) and stats.median_over == pytest.approx(np.median([o for _, o in vi.values()]))

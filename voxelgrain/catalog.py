@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .operators import agglomeration, contingency, grid, kernels, learning, priorities, rag
+from .operators import agglomeration, contingency, features, grid, kernels, learning, priorities, rag
 from .plans import segmentation
 from .sources import volumes
 from .sources.volumes import events_cube, events_line, events_volume
@@ -290,6 +290,51 @@ def edge_histograms(spark, sf_dir):
     return h.select("u", "v", *[F.col("h")[i].alias(f"h{i}") for i in range(5)])
 
 
+#: The 0.1, 0.5 and 0.9 percentiles of 5 bins over 0 to 50000, from rows x(<keys>, cents).
+_PERCENTILES = """, xb AS (SELECT {k}, least(cents * 5 // 50000, 4) AS b FROM x WHERE cents BETWEEN 0 AND 50000), xk AS (SELECT DISTINCT {k} FROM x),
+xh AS (SELECT {k}, r.b, (SELECT count(*) FROM xb WHERE {same} AND xb.b = r.b) AS c FROM xk, (SELECT range AS b FROM range(5)) r),
+xc AS (SELECT {k}, b, c, sum(c) OVER (PARTITION BY {k} ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {k}) AS total FROM xh),
+xp AS (SELECT {k}, p, min(b) AS b FROM xc, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) w(p) WHERE upto / total >= p GROUP BY ALL)
+SELECT {k}, round(max(val) FILTER (p = 0.1::DOUBLE), 4) AS p10, round(max(val) FILTER (p = 0.5::DOUBLE), 4) AS p50, round(max(val) FILTER (p = 0.9::DOUBLE), 4) AS p90
+FROM (SELECT {k}, p, b * 10000 + 10000.0::DOUBLE * (p - (upto - c) / total) / (upto / total - (upto - c) / total) AS val FROM xp JOIN xc USING ({k}, b)) GROUP BY {k}"""
+
+
+def _percentile_columns(h, *keys):
+    ps = features.percentiles(F.col("h"), (0.1, 0.5, 0.9), 0, 50000, 5)
+    return h.select(*keys, ps.alias("ps")).select(*keys, *[F.round(F.element_at("ps", i + 1), 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+
+
+@query(VOX + ", x AS (SELECT label, cents FROM vox)" + _PERCENTILES.format(k="label", same="xb.label = xk.label"))
+def node_percentiles(spark, sf_dir):
+    return _percentile_columns(rag.histogram(events_volume(spark, sf_dir), ["label"], "cents", 5, 0, 50000), "label")
+
+
+@query(EXACT + ", x AS (SELECT u, v, cents FROM bv)" + _PERCENTILES.format(k="u, v", same="xb.u = xk.u AND xb.v = xk.v"))
+def edge_percentiles(spark, sf_dir):
+    return _percentile_columns(rag.histogram(_exact(spark, sf_dir), ["u", "v"], "cents", 5, 0, 50000), "u", "v")
+
+
+@query(EDGES + """, m AS (SELECT label, count(*) AS n, avg(cents / 50000.0) AS mean, var_pop(cents / 50000.0) AS c2 FROM vox GROUP BY 1),
+b AS (SELECT label, least(cents * 5 // 50000, 4) AS b, count(*)::DOUBLE AS c FROM vox WHERE cents BETWEEN 0 AND 50000 GROUP BY 1, 2),
+h AS (SELECT label, b, c / sum(c) OVER (PARTITION BY label) AS h FROM b),
+j AS (SELECT e.u, e.v, r.b, coalesce(p.h, 0) AS p, coalesce(q.h, 0) AS q FROM e CROSS JOIN (SELECT range AS b FROM range(5)) r LEFT JOIN h p ON p.label = e.u AND p.b = r.b LEFT JOIN h q ON q.label = e.v AND q.b = r.b),
+js AS (SELECT u, v, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS js FROM j GROUP BY 1, 2)
+SELECT u, v, CAST(abs(x.n - y.n) AS DOUBLE) AS d_size, round(abs(x.mean - y.mean), 6) AS d_mean, round(abs(x.c2 - y.c2), 6) AS d_c2, round(js.js, 6) AS js FROM js JOIN m x ON x.label = u JOIN m y ON y.label = v""")
+def edge_differences(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("p", F.col("cents") / 50000.0)
+    node = features.described(v, ["label"], "p", 5, 0, 1, (0.5,), 2)
+    side = lambda k: node.select(F.col("label").alias(k), F.col("moments").alias(f"m{k}"), F.col("h").alias(f"h{k}"))
+    e = _edges(spark, sf_dir).select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    d = e.select("u", "v", features.difference_features(F.col("mu"), F.col("mv"), F.col("hu"), F.col("hv")).alias("d"))
+    return d.select("u", "v", F.col("d")[0].alias("d_size"), *[F.round(F.col("d")[i], 6).alias(n) for i, n in ((1, "d_mean"), (2, "d_c2"), (3, "js"))])
+
+
+@query()
+def edge_feature_list(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("p", F.col("cents") / 50000.0)
+    return features.edge_features(v, rag.boundary_voxels(v, "exact", keep=("idx", "p")), "p", **features.PRESETS["paper_em"])
+
+
 @query(EXACT + " SELECT u, v, median(cents) AS weight FROM bv GROUP BY 1, 2")
 def edge_median(spark, sf_dir):
     return priorities.boundary_median(_exact(spark, sf_dir))
@@ -534,6 +579,27 @@ def agglomerated_segments(spark, sf_dir):
     return segmentation.segment(events_volume(spark, sf_dir), segmentation.Options((2000.0, 2800.0)))
 
 
+_CUTS = "WITH RECURSIVE " + EDGES + """, cut(t) AS (VALUES (1500.0::DOUBLE), (2500.0::DOUBLE), (3000.0::DOUBLE)), l0 AS (SELECT u, v, t FROM e, cut WHERE CAST(total AS DOUBLE) / CAST(n AS DOUBLE) < t), l AS (SELECT u, v, t FROM l0 UNION SELECT v, u, t FROM l0),
+reach(t, a, b) AS (SELECT t, label, label FROM vox, cut UNION SELECT r.t, r.a, l.v FROM reach r JOIN l ON l.u = r.b AND l.t = r.t), seg AS (SELECT t, a, min(b) AS s FROM reach GROUP BY 1, 2),
+c AS (SELECT t, s, gt AS g, count(*) AS n FROM vox JOIN seg ON a = label GROUP BY 1, 2, 3), rs AS (SELECT t, s, sum(n) AS x FROM c GROUP BY 1, 2), cg AS (SELECT t, g, sum(n) AS x FROM c GROUP BY 1, 2)"""
+
+
+def _cuts(spark, sf_dir):
+    e = _edges(spark, sf_dir).withColumn("weight", priorities.boundary_mean())
+    return agglomeration.threshold_cuts(e, _nodes(spark, sf_dir), [1500.0, 2500.0, 3000.0])
+
+
+@query(_CUTS + """ SELECT t AS threshold, round(((SELECT sum(x * log2(x)) FROM rs WHERE rs.t = c.t) - sum(n * log2(n))) / sum(n), 6) AS under, round(((SELECT sum(x * log2(x)) FROM cg WHERE cg.t = c.t) - sum(n * log2(n))) / sum(n), 6) AS over FROM c GROUP BY t""")
+def vi_by_threshold(spark, sf_dir):
+    return _round(contingency.vi_by_threshold(_table(spark, sf_dir), _cuts(spark, sf_dir)), "under", "over")
+
+
+@query(_CUTS + """, q AS (SELECT t, sum(n * (n - 1) / 2.0::DOUBLE) AS cc, sum(n) * (sum(n) - 1) / 2.0::DOUBLE AS nk, (SELECT sum(x * (x - 1) / 2.0::DOUBLE) FROM rs WHERE rs.t = c.t) AS rr, (SELECT sum(x * (x - 1) / 2.0::DOUBLE) FROM cg WHERE cg.t = c.t) AS gg FROM c GROUP BY t)
+SELECT t AS threshold, round((nk + 2 * cc - rr - gg) / nk, 6) AS rand_index, round((cc - rr * gg / nk) / ((rr + gg) / 2 - rr * gg / nk), 6) AS adjusted_rand FROM q""")
+def rand_by_threshold(spark, sf_dir):
+    return _round(contingency.rand_by_threshold(_table(spark, sf_dir), _cuts(spark, sf_dir)), "rand_index", "adjusted_rand")
+
+
 @query()
 def agglomerated_by_rounds(spark, sf_dir):
     return agglomeration.rounds(_edges(spark, sf_dir), _nodes(spark, sf_dir), 2800.0)

@@ -141,6 +141,22 @@ def threshold_segments(edge_table: DataFrame, nodes: DataFrame, threshold: float
     return components(nodes.select("node"), low.select("u", "v")).select("node", F.col("component").alias("segment"))
 
 
+def threshold_cuts(edge_table: DataFrame, nodes: DataFrame, thresholds: list[float], weight: str = "weight") -> DataFrame:
+    """(threshold, node, segment): threshold_segments() at every threshold, all in the same rounds.
+
+    edge_table has u, v and a weight, nodes are not negative. A node is known as (number of the threshold, node), packed
+    into one long, so that the graphs of all thresholds settle side by side, each as fast as it alone would."""
+    stride = (nodes.agg(F.max("node")).first()[0] or 0) + 1
+    if len(thresholds) * stride >= 1 << 63:
+        raise ValueError("too many nodes for so many thresholds")
+    numbered = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])).alias("c")
+    all_nodes = nodes.select("node", numbered).select((F.col("c.i") * stride + F.col("node")).alias("node"))
+    links = edge_table.select("u", "v", F.col(weight).alias("w"), numbered).where("w < c.t")
+    parts = components(all_nodes, links.select((F.col("c.i") * stride + F.col("u")).alias("u"), (F.col("c.i") * stride + F.col("v")).alias("v")))
+    threshold = F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), (F.floor(F.col("node") / stride) + 1).cast("int"))
+    return parts.select(threshold.alias("threshold"), (F.col("node") % stride).alias("node"), (F.col("component") % stride).alias("segment"))
+
+
 def best_segments(edge_table: DataFrame, nodes: DataFrame, assigned: DataFrame) -> DataFrame:
     """(node, segment): fragments of one ground-truth label, as far as they hang together."""
     side = lambda k: assigned.select(F.col("s").alias(k), F.col("g").alias(f"g{k}"))

@@ -114,6 +114,43 @@ def edit_distance(table: DataFrame, size_threshold: int = 1000) -> DataFrame:
     return merges.crossJoin(splits)
 
 
+def tables_by_threshold(table: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(threshold, s, g, n): the contingency tables after labels s are merged as cuts (threshold, node, segment) say."""
+    m = cuts.select("threshold", F.col("node").alias("s"), "segment")
+    return table.join(m, "s").groupBy("threshold", F.col("segment").alias("s"), "g").agg(F.sum("n").alias("n"))
+
+
+def vi_by_threshold(table: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(threshold, under, over): split_vi() at every threshold, in one pass."""
+    t = tables_by_threshold(table, cuts)
+    log = lambda x: F.sum(F.col(x) * F.log2(x))
+    c = t.groupBy("threshold").agg(log("n").alias("c"), F.sum("n").alias("t"))
+    r = t.groupBy("threshold", "s").agg(F.sum("n").alias("x")).groupBy("threshold").agg(log("x").alias("r"))
+    k = t.groupBy("threshold", "g").agg(F.sum("n").alias("x")).groupBy("threshold").agg(log("x").alias("k"))
+    return c.join(r, "threshold").join(k, "threshold").select("threshold", ((F.col("r") - F.col("c")) / F.col("t")).alias("under"), ((F.col("k") - F.col("c")) / F.col("t")).alias("over"))
+
+
+def rand_by_threshold(table: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(threshold, rand_index, adjusted_rand) at every threshold, in one pass."""
+    t = tables_by_threshold(table, cuts)
+    pairs = lambda x: F.sum(_pairs(F.col(x)))
+    c = t.groupBy("threshold").agg(pairs("n").alias("cc"), F.sum("n").alias("t"))
+    r = t.groupBy("threshold", "s").agg(F.sum("n").alias("x")).groupBy("threshold").agg(pairs("x").alias("rr"))
+    k = t.groupBy("threshold", "g").agg(F.sum("n").alias("x")).groupBy("threshold").agg(pairs("x").alias("gg"))
+    cc, rr, gg, nk = F.col("cc"), F.col("rr"), F.col("gg"), _pairs(F.col("t"))
+    expected = rr * gg / nk
+    adjusted = (cc - expected) / ((rr + gg) / 2 - expected)
+    return c.join(r, "threshold").join(k, "threshold").select("threshold", ((nk + 2 * cc - rr - gg) / nk).alias("rand_index"), adjusted.alias("adjusted_rand"))
+
+
+def vi_statistics(evaluations: DataFrame, by: str = "threshold") -> DataFrame:
+    """Mean, standard error and median of under and over, by threshold, over the samples of a table of evaluations."""
+    out = []
+    for c in ("under", "over"):
+        out += [F.avg(c).alias(f"mean_{c}"), (F.stddev_pop(c) / F.sqrt(F.count(c))).alias(f"sem_{c}"), F.percentile(c, 0.5).alias(f"median_{c}")]
+    return evaluations.groupBy(by).agg(*out)
+
+
 def pairwise_contingency(voxels: DataFrame, columns: list[str]) -> DataFrame:
     """(i, j, s, g, n) of every two label columns, i < j, in one pass and one shuffle."""
     pairs = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(a).cast("long").alias("s"), F.col(b).cast("long").alias("g")) for k, a in enumerate(columns) for b in columns[k + 1 :]]

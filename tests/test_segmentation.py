@@ -399,3 +399,36 @@ def test_cuts_at_many_thresholds(spark):
     assert vi[0.05] == pytest.approx((0.0, 1.0)) and vi[0.3] == pytest.approx((0.0, 0.5)) and vi[0.5][0] > 0
     stats = contingency.vi_statistics(contingency.vi_by_threshold(table, cuts).withColumn("threshold", F.lit(0))).collect()[0]
     assert stats.mean_over == pytest.approx(np.mean([o for _, o in vi.values()])) and stats.median_over == pytest.approx(np.median([o for _, o in vi.values()]))
+
+
+def test_merge_history_is_the_replay(spark):
+    rng = np.random.default_rng(9)
+    pairs = {tuple(sorted(p)) for p in rng.integers(1, 40, (110, 2)).tolist() if p[0] != p[1]}
+    rows = [(u, v, int(rng.integers(1, 9)), float(rng.integers(1, 10**6))) for u, v in sorted(pairs)]
+    e = spark.createDataFrame(rows, "u long, v long, n long, total double")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 41)], "node long")
+    log = agglomeration.history(e, nodes)
+    want = agglomeration.replay(rows, float("inf"), first_id=1000)
+    assert [r.weight for r in log.orderBy("weight").collect()] == pytest.approx([w for *_, w in want])
+
+    def parts(merges):
+        members = {i: {i} for i in range(1, 41)}
+        for _, a, b, p, _ in merges:
+            members[p] = members.pop(a) | members.pop(b)
+        return sorted((n, min(ns)) for ns in members.values() for n in ns)
+
+    for k in (0, 1, 7, len(want)):
+        assert labels_of(agglomeration.cut_history(log, nodes, merges=k), "node", "segment") == parts(want[:k])
+    t = want[len(want) // 2][4]
+    assert labels_of(agglomeration.cut_history(log, nodes, threshold=t), "node", "segment") == parts([m for m in want if m[4] < t]) == labels_of(agglomeration.rounds(e, nodes, t), "node", "segment")
+    assert agglomeration.history(e.limit(0), nodes).count() == 0
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b)) for a, b in zip(rng.permutation(500), rng.integers(0, 9, 500), strict=True)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    got = labels_of(grid.ranked(df, ["a"], "rank", upto="b"), "a", "rank", "upto")
+    rows.sort()
+    assert got == [(a, i + 1, s) for i, ((a, _), s) in enumerate(zip(rows, np.cumsum([b for _, b in rows]).tolist(), strict=True))]
+    assert grid.ranked(df.limit(0), ["a"], "rank").count() == 0

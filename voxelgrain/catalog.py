@@ -605,6 +605,24 @@ def agglomerated_by_rounds(spark, sf_dir):
     return agglomeration.rounds(_edges(spark, sf_dir), _nodes(spark, sf_dir), 2800.0)
 
 
+@query()
+def merge_history(spark, sf_dir):
+    return agglomeration.history(_edges(spark, sf_dir), _nodes(spark, sf_dir), 3000.0)
+
+
+@query()
+def agglomerated_by_count(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes), nodes, merges=200)
+
+
+@query()
+def vi_along_merges(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    log = agglomeration.history(_edges(spark, sf_dir), nodes, 3000.0)
+    return _round(agglomeration.vi_history(log, nodes, _table(spark, sf_dir), [2000.0, 2500.0, 3000.0]), "under", "over")
+
+
 @query()
 def agglomerated_vi(spark, sf_dir):
     cut = segmentation.segment(events_volume(spark, sf_dir), segmentation.Options((2800.0,)))

@@ -64,7 +64,7 @@ def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | N
 
     edge_table has (u, v, n, total). One task replays each connected part of the edges under the threshold, together
     with the edges within it above; ids of merged nodes start after the part's own largest node, so they are unique in
-    a part only. Use rounds() where a part is too large for a task."""
+    a part only. This keeps the exact order and takes exclusions; rounds() and history() need no task for a part."""
     low = edge_table.where(F.col("total") / F.col("n") < threshold)
     nodes = low.select(F.col("u").alias("node")).union(low.select("v")).distinct()
     part = components(nodes, low.select("u", "v"))
@@ -112,29 +112,74 @@ def segments(log: DataFrame, nodes: DataFrame, threshold: float = float("inf"))
     return nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("segment", "node").alias("segment"))
 
 
-def rounds(edge_table: DataFrame, nodes: DataFrame, threshold: float, most_rounds: int = 200) -> DataFrame:
-    """(node, segment) as segments(agglomerate()) gives it, by rounds over the whole table instead of a task a part.
+def merge_rounds(live: DataFrame, names: DataFrame, threshold: float, most_rounds: int = 200) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Merges all that meets under the threshold: (edges left, (node, segment), the merges of each round).
 
     Each node points at its best edge, least (weight, u, v); edges that both ends point at and whose weight is under
-    the threshold merge. Edges are then renamed and summed, one aggregation a round."""
-    names = written(nodes.select("node", F.col("node").alias("segment")), "names")
-    live = written(edge_table.select("u", "v", "n", F.col("total").cast("double").alias("total")), "edges")
+    the threshold merge, in one round all over the table. Edges are then renamed and summed, one aggregation a round.
+    A merge is (left, right, weight), named by the least fragments of what it joins; the right one takes the left's
+    name. No task ever holds more than its share of the edges, however much of the graph hangs together."""
+    merges = []
     for _ in range(most_rounds):
         scored = live.withColumn("w", F.col("total") / F.col("n"))
         best = F.min(F.struct("w", "u", "v"))
         a = scored.groupBy(F.col("u").alias("node")).agg(best.alias("b"))
         b = scored.groupBy(F.col("v").alias("node")).agg(best.alias("b"))
         top = a.union(b).groupBy("node").agg(F.min("b").alias("b"))
-        pairs = written(top.where(F.col("b.w") < threshold).groupBy("b").agg(F.count("*").alias("k")).where("k = 2").select(F.col("b.u").alias("keep"), F.col("b.v").alias("gone")), "pairs")
+        pairs = top.where(F.col("b.w") < threshold).groupBy("b").agg(F.count("*").alias("k")).where("k = 2")
+        pairs = written(pairs.select(F.col("b.u").alias("left"), F.col("b.v").alias("right"), F.col("b.w").alias("weight")), "pairs")
         if not pairs.limit(1).count():
-            return names
-        to = lambda c: pairs.select(F.col("gone").alias(c), F.col("keep").alias(f"_{c}"))
+            return live, names, merges
+        merges.append(pairs)
+        to = lambda c: pairs.select(F.col("right").alias(c), F.col("left").alias(f"_{c}"))  # noqa: E731, B023
         moved = live.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b"), "n", "total").where("a <> b")
         live = written(moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "edges")
         names = written(names.join(to("segment"), "segment", "left").select("node", F.coalesce("_segment", "segment").alias("segment")), "names")
     raise RuntimeError("the merges did not end")
 
 
+def start(edge_table: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What merge_rounds() begins with: the edges, and every node as its own segment."""
+    edges = written(edge_table.select("u", "v", "n", F.col("total").cast("double").alias("total")), "edges")
+    return edges, written(nodes.select("node", F.col("node").alias("segment")), "names")
+
+
+def rounds(edge_table: DataFrame, nodes: DataFrame, threshold: float, most_rounds: int = 200) -> DataFrame:
+    """(node, segment) as segments(agglomerate()) gives it, by rounds over the whole table instead of a task a part."""
+    return merge_rounds(*start(edge_table, nodes), threshold, most_rounds)[1]
+
+
+def history(edge_table: DataFrame, nodes: DataFrame, threshold: float = float("inf"), most_rounds: int = 200) -> DataFrame:
+    """(left, right, weight): all merges under the threshold, made in rounds.
+
+    By weight they are in the order in which one merge at a time would make them, since a merge never makes a lower
+    weight; each joins the segments of two fragments, which are the least of theirs. An edge table without an edge
+    under the threshold gives no row."""
+    merges = merge_rounds(*start(edge_table, nodes), threshold, most_rounds)[2]
+    out = edge_table.sparkSession.createDataFrame([], "left long, right long, weight double")
+    for m in merges:
+        out = out.unionByName(m)
+    return out
+
+
+def cut_history(log: DataFrame, nodes: DataFrame, threshold: float | None = None, merges: int | None = None) -> DataFrame:
+    """(node, segment) after the merges of a history() under a threshold, or after its first so many."""
+    kept = log
+    if threshold is not None:
+        kept = kept.where(F.col("weight") < threshold)
+    if merges is not None:
+        kept = kept.orderBy("weight", "left", "right").limit(merges)
+    return components(nodes.select("node"), kept.select(F.col("left").alias("u"), F.col("right").alias("v"))).select("node", F.col("component").alias("segment"))
+
+
+def vi_history(log: DataFrame, nodes: DataFrame, table: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, under, over) along a history(): split VI of its cuts against a ground truth."""
+    from .contingency import vi_by_threshold
+
+    cuts = threshold_cuts(log.select(F.col("left").alias("u"), F.col("right").alias("v"), "weight"), nodes, thresholds)
+    return vi_by_threshold(table, cuts)
+
+
 def threshold_segments(edge_table: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(node, segment): the connected parts of the edges under the threshold, without new weights."""
     low = edge_table.where(F.col("total") / F.col("n") < threshold)

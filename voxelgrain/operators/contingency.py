@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from .grid import ranked
 
 
 def contingency(pairs: DataFrame, s: str = "label", g: str = "gt", ignore_s: tuple = (), ignore_g: tuple = ()) -> DataFrame:
@@ -170,9 +171,9 @@ def pairwise_vi(voxels: DataFrame, columns: list[str]) -> DataFrame:
 def precision_recall(scores: DataFrame, score: str, truth: str) -> DataFrame:
     """(threshold, precision, recall) at each distinct score: positions at or above it are predicted."""
     s = scores.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    above = W.Window.orderBy(F.desc("threshold")).rowsBetween(W.Window.unboundedPreceding, 0)
-    all_p = F.sum("p").over(W.Window.partitionBy())
-    return s.select("threshold", (F.sum("p").over(above) / F.sum("n").over(above)).alias("precision"), (F.sum("p").over(above) / all_p).alias("recall"))
+    s = ranked(s, [F.desc("threshold")], "rank", above_p="p", above_n="n")
+    total = s.agg(F.sum("p").alias("all_p"))
+    return s.crossJoin(F.broadcast(total)).select("threshold", (F.col("above_p") / F.col("above_n")).alias("precision"), (F.col("above_p") / F.col("all_p")).alias("recall"))
 
 
 def pixel_precision_recall(voxels: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -183,16 +184,16 @@ def pixel_precision_recall(voxels: DataFrame, pred: str, truth: str) -> DataFram
 def stratified_sample(values: DataFrame, column: str, n: int) -> DataFrame:
     """Sorted distinct values: all if fewer than 2 n, else every (count div n)-th, from the first on."""
     distinct = values.select(F.col(column).alias("value")).distinct()
-    ranked = distinct.select("value", (F.row_number().over(W.Window.orderBy("value")) - 1).alias("r"))
+    places = ranked(distinct, ["value"], "rank").select("value", (F.col("rank") - 1).alias("r"))
     step = F.when(F.col("c") < 2 * n, 1).otherwise(F.expr(f"c div {n}"))
-    return ranked.crossJoin(F.broadcast(distinct.agg(F.count("*").alias("c")))).where(F.col("r") % step == 0).select("value")
+    return places.crossJoin(F.broadcast(distinct.agg(F.count("*").alias("c")))).where(F.col("r") % step == 0).select("value")
 
 
 def relabel_sequential(labels: DataFrame, column: str = "label") -> DataFrame:
     """(old, new): the distinct labels but 0 numbered from 1 in order; 0 stays."""
     some = labels.select(F.col(column).alias("old")).distinct()
-    ranked = some.where("old <> 0").select("old", F.row_number().over(W.Window.orderBy("old")).cast("long").alias("new"))
-    return ranked.union(some.where("old = 0").select("old", F.lit(0).cast("long")))
+    numbered = ranked(some.where("old <> 0"), ["old"], "new")
+    return numbered.union(some.where("old = 0").select("old", F.lit(0).cast("long")))
 
 
 def merged(table: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -103,6 +103,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, order: list, name: str, **sums) -> DataFrame:
+    """rows with ``name``, their rank from 1 in an order of columns, and the running sum of a column by each name in sums.
+
+    Rows are dealt out by ranges of the order; each range counts by itself and adds what the ranges before it hold, so
+    only one row a range is summed in a single task."""
+    from pyspark.sql import Window
+
+    columns = rows.columns
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n0"), *[F.sum(c).alias(f"_n{i + 1}") for i, c in enumerate(sums.values())])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_n{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(sums) + 1)])
+    here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(before), "_range")  # one row for each shuffle partition at most
+    counted = [(F.row_number().over(here) + F.col("_b0")).cast("long").alias(name)]
+    counted += [(F.sum(c).over(here) + F.col(f"_b{i + 1}")).alias(n) for i, (n, c) in enumerate(sums.items())]
+    return out.select(*columns, *counted)
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node that links lead to, for every row of nodes.
 

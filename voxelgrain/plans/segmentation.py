@@ -27,14 +27,13 @@ class Options:
 
 
 def segment(voxels: DataFrame, options: Options) -> DataFrame:
-    """(threshold, node, segment): one agglomeration up to the last threshold, cut at each of them."""
+    """(threshold, node, segment): one agglomeration in rounds up to the last threshold, which stops at each of them."""
     boundary = rag.boundary_voxels(voxels, keep=("idx", options.value), label=options.label, axes=options.axes, connectivity=options.connectivity)
-    edges = rag.edges(boundary, options.value)
-    nodes = rag.nodes(voxels, options.label)
-    log = agglomeration.written(agglomeration.agglomerate(edges, options.thresholds[-1]), "merges")
+    live, names = agglomeration.start(rag.edges(boundary, options.value), rag.nodes(voxels, options.label))
     out = None
     for t in options.thresholds:
-        cut = agglomeration.segments(log, nodes, t).select(F.lit(float(t)).alias("threshold"), "node", "segment")
+        live, names, _ = agglomeration.merge_rounds(live, names, t)
+        cut = names.select(F.lit(float(t)).alias("threshold"), "node", "segment")
         out = cut if out is None else out.union(cut)
     return out
 
@@ -65,10 +64,13 @@ def adjacent_blocks(blocks: DataFrame) -> DataFrame:
 def stitch(voxels: DataFrame, axis: str, least_overlap: float = 0.5) -> DataFrame:
     """(label, stitched): labels of blocks (column block) joined across the faces on one axis.
 
-    Face voxels side by side in different blocks are counted by label pair; a pair joins if it is at least the given
-    share of the smaller of the two faces. Labels are unique over all blocks; joined ones take the least."""
-    here = voxels.select(*AXES, F.col("block").alias("ba"), F.col("label").alias("u"))
-    there = voxels.select(*[(F.col(a) - (1 if a == axis else 0)).alias(a) for a in AXES], F.col("block").alias("bb"), F.col("label").alias("v"))
+    Blocks are boxes, so only the voxels of their first and last planes on the axis are shuffled. Face voxels side by
+    side in different blocks are counted by label pair; a pair joins if it is at least the given share of the smaller
+    of the two faces. Labels are unique over all blocks; joined ones take the least."""
+    ends = voxels.groupBy("block").agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
+    flat = voxels.join(ends, "block").where((F.col(axis) == F.col("_lo")) | (F.col(axis) == F.col("_hi")))
+    here = flat.where(F.col(axis) == F.col("_hi")).select(*AXES, F.col("block").alias("ba"), F.col("label").alias("u"))
+    there = flat.where(F.col(axis) == F.col("_lo")).select(*[(F.col(a) - (1 if a == axis else 0)).alias(a) for a in AXES], F.col("block").alias("bb"), F.col("label").alias("v"))
     touching = here.join(there, list(AXES)).where("ba <> bb and u <> 0 and v <> 0").groupBy("u", "v").agg(F.count("*").alias("n"))
     fu, fv = (touching.groupBy(k).agg(F.sum("n").alias(f"f{k}")) for k in "uv")
     links = touching.join(fu, "u").join(fv, "v").where(F.col("n") >= least_overlap * F.least("fu", "fv")).select("u", "v")

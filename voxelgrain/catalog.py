@@ -634,16 +634,27 @@ def watershed_planes(spark, sf_dir):
     return kernels.watershed_sequence(events_volume(spark, sf_dir).withColumn("z", F.expr("CAST(y div 25 AS INT)")))
 
 
-@query()
+@query("WITH RECURSIVE " + VOX + """, b AS (SELECT idx, y, x FROM vox WHERE cents > 8000), d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+l AS (SELECT p.idx AS u, q.idx AS v FROM (SELECT idx, y + dy AS yy, x + dx AS xx FROM b, d) p JOIN b q ON q.y = p.yy AND q.x = p.xx),
+reach(a, b) AS (SELECT idx, idx FROM b UNION SELECT r.a, l.v FROM reach r JOIN l ON l.u = r.b) SELECT a AS idx, min(b) AS component FROM reach GROUP BY 1""")
 def connected_bright(spark, sf_dir):
     v = events_volume(spark, sf_dir).withColumn("bright", (F.col("cents") > 8000).cast("int"))
     return grid.connected(v, "bright")
 
 
-@query()
+@query(EDGES + NODES + """, t AS (SELECT label AS s, gt AS g, count(*) AS n FROM vox GROUP BY 1, 2), best AS (SELECT s, arg_max(g, n * 1000000 - g) AS g FROM t GROUP BY 1), w AS (SELECT count(*)::DOUBLE AS t FROM vox),
+c AS (SELECT u, v, sum((p.n + q.n) * log2(p.n + q.n) - p.n * log2(p.n) - q.n * log2(q.n)) AS cells, sum(p.n * q.n) AS shared FROM e JOIN t p ON p.s = u JOIN t q ON q.s = v AND q.g = p.g GROUP BY 1, 2),
+f AS (SELECT e.u, e.v, e.n, e.total / e.n AS m, a.size AS su, b.size AS sv, a.total / a.size AS mu, b.total / b.size AS mv, coalesce(cells, 0) AS cells, coalesce(shared, 0) AS shared FROM e JOIN nd a ON a.node = e.u JOIN nd b ON b.node = e.v LEFT JOIN c ON c.u = e.u AND c.v = e.v),
+o AS (SELECT *, least(su, sv)::DOUBLE AS lo, greatest(su, sv)::DOUBLE AS hi, CASE WHEN su <= sv THEN mu ELSE mv END AS ml, CASE WHEN su <= sv THEN mv ELSE mu END AS mh FROM f, w)
+SELECT o.u, o.v, round(lo, 6) AS f1, round(ml, 6) AS f2, round(hi, 6) AS f3, round(mh, 6) AS f4, round(o.n::DOUBLE, 6) AS f5, round(m, 6) AS f6, round(hi - lo, 6) AS f7, round(abs(ml - mh), 6) AS f8,
+CAST(CASE WHEN x.g = y.g THEN -1 ELSE 1 END AS INT) AS by_assignment, CAST(CASE WHEN (lo + hi) * log2(lo + hi) - lo * log2(lo) - hi * log2(hi) - 2 * cells < 0 THEN -1 ELSE 1 END AS INT) AS by_vi, CAST(CASE WHEN 2 * shared > lo * hi THEN -1 ELSE 1 END AS INT) AS by_rand,
+round(-(lo / t * log2(lo / t) + hi / t * log2(hi / t) - (lo + hi) / t * log2((lo + hi) / t)), 6) AS w_vi, round(lo * hi / (t * (t - 1) / 2), 6) AS w_rand FROM o JOIN best x ON x.s = o.u JOIN best y ON y.s = o.v""")
 def flat_training(spark, sf_dir):
     nodes = learning.node_table(events_volume(spark, sf_dir))
-    return learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
+    out = learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
+    fs = [f"f{i + 1}" for i in range(8)]
+    out = out.select("u", "v", *[F.col("features")[i].alias(f) for i, f in enumerate(fs)], "by_assignment", "by_vi", "by_rand", "w_vi", "w_rand")
+    return _round(out, *fs, "w_vi", "w_rand")
 
 
 @query("""b AS (SELECT c_custkey AS block, c_custkey % 30 * 10 AS lz, c_custkey // 30 % 30 * 10 AS ly, c_custkey // 900 * 10 AS lx FROM customer)
@@ -665,7 +676,9 @@ def near_points(spark, sf_dir):
     return segmentation.near_points(p.select("region", F.col("idx").alias("id"), "z", "y", "x"), 2.0)
 
 
-@query()
+@query("WITH RECURSIVE " + VOX + """, k AS (SELECT y, x, x // 50 AS block, gt + x // 50 * 1000000 AS label FROM vox), n AS (SELECT a.label AS u, b.label AS v, count(*) AS n FROM k a JOIN k b ON b.y = a.y AND b.x = a.x + 1 AND b.block <> a.block GROUP BY 1, 2),
+l0 AS (SELECT u, v FROM (SELECT u, v, n, sum(n) OVER (PARTITION BY u) AS fu, sum(n) OVER (PARTITION BY v) AS fv FROM n) WHERE n >= 0.5::DOUBLE * least(fu, fv)), l AS (SELECT u, v FROM l0 UNION SELECT v, u FROM l0),
+reach(a, b) AS (SELECT DISTINCT label, label FROM k UNION SELECT r.a, l.v FROM reach r JOIN l ON l.u = r.b) SELECT a AS label, min(b) AS stitched FROM reach GROUP BY 1""")
 def stitched_blocks(spark, sf_dir):
     v = events_volume(spark, sf_dir).withColumn("block", F.expr("x div 50")).withColumn("label", F.expr("gt + block * 1000000"))
     return segmentation.stitch(v, "x")

@@ -240,10 +240,11 @@ def store_payloads(rows: DataFrame, frame_rows: int = 128) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_frames(rows: DataFrame, canvas: bool = True) -> DataFrame:
+def media_frames(rows: DataFrame, canvas: bool = True, joined: bool = False) -> DataFrame:
     """(doc_id, n_bytes, media, frames): decodes each GIF into its timed frames with their histograms.
 
-    With canvas, a frame's pixels are the whole canvas; else the drawn area alone. Null media give null frames."""
+    With canvas, a frame's pixels are the whole canvas; else the drawn area alone. With joined, payload holds the drawn
+    areas of all frames one after the other, and the frames hold no pixels. Null media give null frames."""
     fields = pa.list_(pa.struct([("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("delay_ms", pa.int32()), ("mode", pa.string()), ("pixels", pa.binary()), ("histogram", pa.list_(pa.int32()))]))
     what = "pixels" if canvas else "drawn"
 
@@ -251,21 +252,22 @@ def media_frames(rows: DataFrame, canvas: bool = True) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                frames = [None if m is None else [{**{k: f[k] for k in ("left", "top", "width", "height", "delay_ms", "mode", "histogram")}, "pixels": f[what]} for f in decode_gif(m)] for m in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(frames, fields)], names=["doc_id", "n_bytes", "media", "frames"])
+                decoded = [None if m is None else decode_gif(m) for m in part.column(2).to_pylist()]
+                named = ("left", "top", "width", "height", "delay_ms", "mode", "histogram")
+                frames = [fs and [{**{k: f[k] for k in named}, "pixels": None if joined else f[what]} for f in fs] for fs in decoded]
+                payload = [pa.array([fs and b"".join(f["drawn"] for f in fs) for fs in decoded], pa.binary())] if joined else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(frames, fields), *payload], names=["doc_id", "n_bytes", "media", "frames", "payload"][: 4 + joined])
 
-    return rows.mapInArrow(run, f"doc_id long, n_bytes long, media binary, frames {FRAMES}")
+    return rows.mapInArrow(run, f"doc_id long, n_bytes long, media binary, frames {FRAMES}{', payload binary' * joined}")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media, frames, payload) of every row's text: stored as a GIF, read back and joined again.
 
     A null or empty text gives one row of padding. Repeated rows are each stored; a null id stays null; an empty table
-    gives an empty one; other columns are ignored."""
+    gives an empty one; other columns are ignored. A very long text is encoded and decoded in one task, frame by frame."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("payload"))
-    out = media_frames(store_payloads(rows), canvas=False)
-    payload = F.aggregate("frames", F.lit(b""), lambda acc, f: F.concat(acc, f["pixels"]))
-    return out.withColumn("payload", payload)
+    return media_frames(store_payloads(rows), joined=True)
 
 
 def histogram_feature():

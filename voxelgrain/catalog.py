@@ -649,14 +649,20 @@ o AS (SELECT *, least(su, sv)::DOUBLE AS lo, greatest(su, sv)::DOUBLE AS hi, CAS
 SELECT o.u, o.v, round(lo, 6) AS f1, round(ml, 6) AS f2, round(hi, 6) AS f3, round(mh, 6) AS f4, round(o.n::DOUBLE, 6) AS f5, round(m, 6) AS f6, round(hi - lo, 6) AS f7, round(abs(ml - mh), 6) AS f8,
 CAST(CASE WHEN x.g = y.g THEN -1 ELSE 1 END AS INT) AS by_assignment, CAST(CASE WHEN (lo + hi) * log2(lo + hi) - lo * log2(lo) - hi * log2(hi) - 2 * cells < 0 THEN -1 ELSE 1 END AS INT) AS by_vi, CAST(CASE WHEN 2 * shared > lo * hi THEN -1 ELSE 1 END AS INT) AS by_rand,
 round(-(lo / t * log2(lo / t) + hi / t * log2(hi / t) - (lo + hi) / t * log2((lo + hi) / t)), 6) AS w_vi, round(lo * hi / (t * (t - 1) / 2), 6) AS w_rand FROM o JOIN best x ON x.s = o.u JOIN best y ON y.s = o.v""")
-def flat_training(spark, sf_dir):
-    nodes = learning.node_table(events_volume(spark, sf_dir))
-    out = learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
+def flat_training_columns(spark, sf_dir):
+    """flat_training() with a column for each feature."""
+    out = flat_training(spark, sf_dir)
     fs = [f"f{i + 1}" for i in range(8)]
     out = out.select("u", "v", *[F.col("features")[i].alias(f) for i, f in enumerate(fs)], "by_assignment", "by_vi", "by_rand", "w_vi", "w_rand")
     return _round(out, *fs, "w_vi", "w_rand")
 
 
+@query()
+def flat_training(spark, sf_dir):
+    nodes = learning.node_table(events_volume(spark, sf_dir))
+    return learning.flat_training(_edges(spark, sf_dir), nodes, _table(spark, sf_dir))
+
+
 @query("""b AS (SELECT c_custkey AS block, c_custkey % 30 * 10 AS lz, c_custkey // 30 % 30 * 10 AS ly, c_custkey // 900 * 10 AS lx FROM customer)
 SELECT a.block AS a, b.block AS b, CAST(0 AS INT) AS axis FROM b a JOIN b ON a.lz + 10 = b.lz AND a.ly = b.ly AND a.lx = b.lx
 UNION ALL SELECT a.block, b.block, 1 FROM b a JOIN b ON a.lz = b.lz AND a.ly + 10 = b.ly AND a.lx = b.lx

@@ -613,7 +613,7 @@ def merge_history(spark, sf_dir):
 @query()
 def agglomerated_by_count(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes), nodes, merges=200)
+    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes, 3000.0), nodes, merges=50)
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import is_small, keep
+from .common import keep
 
 #: Piece ends become one sign that no word can hold, tabs become spaces.
 _SIGNS = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -154,10 +154,12 @@ def _part(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
 
 
 def longer_phrases(state: DataFrame, least: int, parts: int) -> DataFrame:
-    """(chunk, lang, left, right, f): for each chunk the pairs of its phrases whose lists are ``least`` long in all, with that length.
+    """The pairs of phrases whose lists are ``least`` long in all: (chunk, packed, left, right, id, f).
 
-    Each chunk deals the lengths of its lists into parts by a hash of the pair, packed; a part adds up those of all
-    chunks. A pair is there at most once for each chunk, so no part is much larger than another."""
+    Rows without a chunk hold a part's pairs, with their ids and counts, as arrays; rows with one hold, packed, those
+    of the pairs that the chunk has. Each chunk deals the lengths of its lists into parts by a hash of the pair, packed;
+    a part adds up those of all chunks. A pair is there at most once for each chunk, so no part is much larger than
+    another."""
 
     def deal(batches):
         for batch in batches:
@@ -167,11 +169,11 @@ def longer_phrases(state: DataFrame, least: int, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 left, right, lengths, part = left[order], right[order], lengths[order], part[order]
                 ends = np.searchsorted(part, np.arange(parts + 1))
-                out = [(p, row["chunk"], row["lang"], _pack(left[a:b]), _pack(right[a:b]), _pack(lengths[a:b])) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
+                out = [(p, row["chunk"], _pack(left[a:b]), _pack(right[a:b]), _pack(lengths[a:b])) for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
                 yield _batch(out, schema)
 
-    schema = [("part", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("left", pa.binary()), ("right", pa.binary()), ("lengths", pa.binary())]
-    dealt = state.mapInArrow(deal, "part long, chunk long, lang string, left binary, right binary, lengths binary")
+    schema = [("part", pa.int64()), ("chunk", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("lengths", pa.binary())]
+    dealt = state.mapInArrow(deal, "part long, chunk long, left binary, right binary, lengths binary")
 
     def add(table: pa.Table) -> pa.Table:
         columns = [[_unpack(x, np.int64) for x in table.column(c).to_pylist()] for c in ("left", "right", "lengths")]
@@ -180,33 +182,37 @@ def longer_phrases(state: DataFrame, least: int, parts: int) -> DataFrame:
         order = np.lexsort((right, left))
         starts = np.flatnonzero(np.append(True, (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)))
         sums = np.add.reduceat(lengths[order], starts)
-        total = np.empty_like(lengths)
-        total[order] = np.repeat(sums, np.diff(np.append(starts, len(order))))
-        out, at = [], 0
-        for chunk, lang, size in zip(table.column("chunk").to_pylist(), table.column("lang").to_pylist(), sizes, strict=True):
-            good = at + np.flatnonzero(total[at : at + size] >= least)
-            if len(good):
-                out.append((chunk, lang, left[good], right[good], total[good]))
+        good = np.flatnonzero(sums >= least)
+        number = np.full(len(starts), -1, np.int64)
+        number[good] = (table.column("part")[0].as_py() << 32) + np.arange(len(good))
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(number, np.diff(np.append(starts, len(order))))
+        heads = order[starts[good]]
+        out, at = [(None, None, left[heads], right[heads], number[good], sums[good])], 0
+        for chunk, size in zip(table.column("chunk").to_pylist(), sizes, strict=True):
+            here = at + np.flatnonzero(each[at : at + size] >= 0)
+            if len(here):
+                out.append((chunk, [_pack(left[here]), _pack(right[here]), _pack(each[here])], None, None, None, None))
             at += size
         return pa.Table.from_batches([_batch(out, found)])
 
     longs = pa.list_(pa.int64())
-    found = [("chunk", pa.int64()), ("lang", pa.string()), ("left", longs), ("right", longs), ("f", longs)]
-    return dealt.groupBy("part").applyInArrow(add, "chunk long, lang string, left array<long>, right array<long>, f array<long>")
+    found = [("chunk", pa.int64()), ("packed", pa.list_(pa.binary())), *[(c, longs) for c in ("left", "right", "id", "f")]]
+    return dealt.groupBy("part").applyInArrow(add, "chunk long, packed array<binary>, left array<long>, right array<long>, id array<long>, f array<long>")
 
 
 def extended(state: DataFrame, kept: DataFrame) -> DataFrame:
-    """The lists of the longer phrases kept (chunk, kept: array of left, right, id), as STATE."""
-    rows = state.join(kept.select("chunk", *[F.col(f"kept.{c}").alias(f"k_{c}") for c in ("left", "right", "id")]), "chunk")
+    """The lists of the longer phrases kept (chunk, kept: packed left, right and id of each part), as STATE."""
+    rows = state.join(kept, "chunk")
 
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 left, right, lengths, positions = _joined(row)
-                known, ids = np.unique(np.array(row["ids"], np.int64)), np.array(row["k_id"], np.int64)
+                known, (k_left, k_right, ids) = np.sort(np.array(row["ids"], np.int64)), (np.concatenate([_unpack(p[i], np.int64) for p in row["kept"]]) for i in range(3))
                 key = lambda a, b: np.searchsorted(known, a) * len(known) + np.searchsorted(known, b)  # noqa: E731, B023
-                want = key(np.array(row["k_left"], np.int64), np.array(row["k_right"], np.int64))
+                want = key(k_left, k_right)
                 order = np.argsort(want)
                 want, ids, have = want[order], ids[order], key(left, right)
                 at = np.minimum(np.searchsorted(want, have), len(want) - 1)
@@ -218,7 +224,7 @@ def extended(state: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, STATE)
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, top: int = 2000, chunk: int = 2_000_000, part: int = 2_000_000, broadcast_rows: int = 200_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, top: int = 2000, chunk: int = 2_000_000, part: int = 2_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that occur ``least`` times or more.
 
     Texts are cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words at spaces and tabs, A-Z in lower case. n counts a
@@ -241,11 +247,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
     for _ in range(2, longest + 1):
         occurrences = state.agg(F.sum("n")).first()[0] or 0
         pairs = keep(longer_phrases(state, least, max(1, math.ceil(occurrences / part))), "pairs")
-        pairs = pairs.select("chunk", "lang", F.explode(F.arrays_zip("left", "right", "f")).alias("p")).select("chunk", "lang", "p.*")
-        new = pairs.groupBy("lang", "left", "right").agg(F.max("f").alias("f"))
+        new = pairs.where("chunk is null").select(F.explode(F.arrays_zip("left", "right", "id", "f")).alias("p")).select("p.*")
         ends = lambda k, *cs: found.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cs])  # noqa: E731, B023
-        new = new.join(ends("left", "term", "f", "pre"), "left").join(ends("right", "last", "f", "suf"), "right")
-        new = new.select(F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "left_term", "right_last").alias("term"), F.col("right_last").alias("last"), "f", F.array_append("left_pre", F.col("left_f")).alias("pre"), F.array_append("right_suf", F.col("right_f")).alias("suf"), "left", "right")
+        new = new.join(ends("left", "lang", "term", "f", "pre"), "left").join(ends("right", "last", "f", "suf"), "right")
+        new = new.select("id", F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_term", "right_last").alias("term"), F.col("right_last").alias("last"), "f", F.array_append("left_pre", F.col("left_f")).alias("pre"), F.array_append("right_suf", F.col("right_f")).alias("suf"), "left", "right")
         new = keep(new, "found")
         if shorter is not None:
             inside = new.select(F.col("left").alias("id"), "f").union(new.select("right", "f")).groupBy("id").agg(F.max("f").alias("in_longer"))
@@ -255,8 +260,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, share: int
         shorter = new
         if not new.limit(1).count():
             break
-        ids = new.select("left", "right", "id")
-        kept = pairs.select("chunk", "left", "right").join(F.broadcast(ids) if is_small(ids, broadcast_rows) else ids, ["left", "right"]).groupBy("chunk").agg(F.collect_list(F.struct("left", "right", "id")).alias("kept"))
+        kept = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list("packed").alias("kept"))
         state, found = keep(extended(state, kept), "lists"), new
     last = shorter.select("lang", "term", "f", "pre", "suf")
     phrases = keep(last if phrases is None else phrases.unionByName(last), "phrases").join(total, "lang")

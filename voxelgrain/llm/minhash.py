@@ -71,7 +71,7 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, words: int, size: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, hi, lo, bands, sig) of every row: set size, digest of the set, band keys, and eight bits of each coordinate; those are null for an empty set."""
+    """(doc_id, n, hi, lo, bands, sig) of every row: set size, digest of the set, band keys, and sixteen bits of each coordinate; those are null for an empty set."""
 
     def run(batches):
         for batch in batches:
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, words: int, size: int, rows: int, id_col: str = "d
                 hashes = shingles(text, words)
                 if len(hashes):
                     s = sketch(hashes, size)
-                    out.append((len(hashes), *_digest(hashes), band_keys(s, rows), (s >> np.uint64(20)).astype(np.uint8).tobytes()))
+                    out.append((len(hashes), *_digest(hashes), band_keys(s, rows), (s >> np.uint64(20)).astype(np.uint16).tobytes()))
                 else:
                     out.append((0, None, None, None, None))
             columns = zip(*out, strict=True) if out else [[]] * 5
@@ -90,13 +90,8 @@ def sketches(docs: DataFrame, words: int, size: int, rows: int, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, bands array<long>, sig binary")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes of sets (node, rep, hi, lo) whose full shingle sets are similar enough.
+    """(a, b, distance, linked) of each pair (a, b) of nodes of sets (node, rep, hi, lo): the Jaccard distance of the full shingle sets.
 
     Only texts of nodes in some pair are cut into shingles again; up to broadcast_rows such nodes are broadcast to the
     texts, beyond that both sides are shuffled."""
@@ -119,30 +114,47 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
         for batch in batches:
             a, b, *sides = batch.columns
             x, y = ([np.frombuffer(h.as_buffer(), np.uint64) for h in c] for c in sides)
-            good = pa.array([_similar(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+            common = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - common
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(1 - common / np.maximum(1, union), pa.float64()), pa.array(100 * common >= percent * union)], names=["a", "b", "distance", "linked"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, distance double, linked boolean")
 
 
-def _near(rows: list[dict], percent: int, least: int) -> list[tuple[int, int]]:
-    """Pairs of different components that agree in at least so many coordinates and whose sizes allow the similarity."""
+def _near(rows: list[dict], band: int, width: int, percent: int, least: int, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of different components that agree in at least so many coordinates and whose sizes allow the similarity.
+
+    A pair that shares an earlier band too is left to it. Jaccard distance is a metric: two sets whose known distances
+    from the bucket's least node differ by more than a link's are no pair. With ``most``, of the pairs of two
+    components only that many, those that agree best."""
+    known = np.array([np.nan if r["distance"] is None else r["distance"] for r in rows])
+    far = 1 - percent / 100 + 1e-9
     node, n, component = (np.array([r[k] for r in rows], np.int64) for k in ("node", "n", "component"))
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
-    out = []
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
+    before = sig[:, : band * width].copy().view(f"V{2 * width}") if band else sig[:, :0]
+    found = []
     for i in range(len(rows)):
         j = i + 1 + np.flatnonzero((component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
-        j = j[(sig[j] == sig[i]).sum(1) >= least]
-        out += [(min(int(node[i]), x), max(int(node[i]), x)) for x in node[j].tolist()]
-    return out
-
-
-def other_pairs(members: DataFrame, percent: int, least: int, block: int) -> DataFrame:
-    """(a, b): pairs of members (key, node, n, component, sig) that share a bucket, lie in different components, and may be similar by their sketches.
+        same = (sig[j] == sig[i]).sum(1)
+        stays = (same >= least) & ~(np.abs(known[j] - known[i]) > far)
+        if band:
+            stays &= ~(before[j] == before[i]).any(1)
+        j, same = j[stays], same[stays]
+        found.append(np.c_[np.minimum(component[j], component[i]), np.maximum(component[j], component[i]), -same, np.minimum(node[j], node[i]), np.maximum(node[j], node[i])])
+    pairs = np.concatenate(found)
+    if most is not None and len(pairs):
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        first = np.flatnonzero(np.append(True, (np.diff(pairs[:, :2], axis=0) != 0).any(1)))
+        pairs = pairs[np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs)))) < most]
+    return pairs[:, 3:].tolist()
+
+
+def other_pairs(members: DataFrame, width: int, percent: int, least: int, block: int, most: int | None = None) -> DataFrame:
+    """(a, b): pairs of members (key, band, node, n, component, distance, sig) that share a bucket, lie in different components, and may be similar by their sketches.
 
     A bucket's members are told apart as those of its least node's component and the others, each dealt by hash into
     blocks of about ``block``; two blocks meet in one task, but never two of the first kind, so that a bucket in which
-    a large group meets a few others costs the large group times those few."""
+    a large group meets a few others costs the large group times those few. With ``most``, see _near()."""
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("m"))
     each = counts.groupBy("key").agg(F.min_by("component", "m").alias("lead"), F.min_by("c", "m").alias("first"), F.sum("c").alias("c")).where("c > first")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
@@ -154,11 +166,11 @@ def other_pairs(members: DataFrame, percent: int, least: int, block: int) -> Dat
     mixed = F.transform(upto("nd"), lambda i: cell(0, i, F.col("k")))
     others = F.when(F.col("no") > 1, F.transform(upto("no"), lambda i: cell(1, F.least(i, "k"), F.greatest(i, "k")))).otherwise(F.slice(F.transform(upto("no"), lambda i: cell(1, i, i)), 1, 0))
     cells = F.when(F.col("main"), F.transform(upto("no"), lambda j: cell(0, F.col("k"), j))).otherwise(F.concat(mixed, others))
-    groups = rows.withColumn("cell", F.explode(cells)).groupBy("key", "cell").agg(F.collect_list(F.struct("node", "n", "component", "sig")).alias("rows")).select("rows")
+    groups = rows.withColumn("cell", F.explode(cells)).groupBy("key", "cell").agg(F.collect_list(F.struct("node", "n", "component", "distance", "sig")).alias("rows"), F.first("band").alias("band")).select("rows", "band")
 
     def run(batches):
         for batch in batches:
-            pairs = [p for rows in batch.column(0) for p in _near(rows.as_py(), percent, least)]
+            pairs = [p for r in batch.to_pylist() for p in _near(r["rows"], r["band"], width, percent, least, most)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return groups.mapInArrow(run, "a long, b long").distinct()
@@ -182,21 +194,27 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 80, size: int
     first = [F.first(c).alias(c) for c in ("n", "bands", "sig")]
     sets = all_rows.where("doc_id is not null and n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), *first)
     sets = keep(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    members = sets.select("node", "n", F.explode("bands").alias("key"))
+    members = sets.select("node", "n", F.posexplode("bands").alias("band", "key"))
     lead = F.min(F.struct("node", "n")).alias("lead")
     buckets = keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), lead).where("c > 1").select("key", "c", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")), "buckets")
     allowed = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
     star = keep(members.join(buckets, "key").where((F.col("node") != F.col("a")) & allowed).select("a", F.col("node").alias("b")).distinct(), "stars")
     check = lambda pairs: keep(verified(pairs, sets, docs, words, percent, broadcast_rows, id_col, text_col), "links")
-    links = check(star)
-    parts = keep(connected_components(links), "parts")
-
-    open_ = members.join(buckets.where("c > 2").select("key"), "key").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    known = check(star)
+    pairs = lambda: known.where("linked").select("a", "b")
+    parts = keep(connected_components(pairs()), "parts")
+    from_lead = known.select("a", F.col("b").alias("node"), "distance")
+    open_ = members.join(buckets.where("c > 2").select("key", "a"), "key").join(from_lead, ["a", "node"], "left")
+    distance = F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("distance"))
+    open_ = keep(open_.select("key", "band", "node", "n", distance.alias("distance")).join(sets.select("node", "sig"), "node"), "open")
     least = math.floor(size * (percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / size)))
-    open_ = keep(open_, "open").join(sets.select("node", "sig"), "node")
-    more = keep(other_pairs(open_, percent, least, block).join(star, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        parts = keep(connected_components(links.unionByName(check(more))), "parts")
+    for most in (2, None):  # the likeliest pairs first, as most components meet in them; then all that are left
+        now = open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = keep(other_pairs(now, rows, percent, least, block, most).join(known, ["a", "b"], "left_anti"), "more")
+        if not more.limit(1).count():
+            break
+        known = known.unionByName(check(more))
+        parts = keep(connected_components(pairs()), "parts")
 
     named = keep(sets.select("node", "hi", "lo", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     least_ids = keep(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")

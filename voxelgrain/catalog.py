@@ -17,9 +17,6 @@ VOX = """vox AS (SELECT event_id AS idx, event_id // 100 AS y, event_id % 100 AS
   CAST(round(value * 100) AS BIGINT) AS cents FROM events)"""
 CT = VOX + ", t AS (SELECT label AS s, gt AS g, count(*) AS n FROM vox GROUP BY 1, 2)"
 #: Each voxel with each voxel of its neighbourhood, itself included.
-NEAR = VOX + """, near AS (SELECT a.idx, a.y, a.x, a.label, a.gt, a.cents, b.label AS o, b.cents AS oc FROM vox a JOIN vox b
-  ON (b.y = a.y AND b.x BETWEEN a.x - 1 AND a.x + 1) OR (b.x = a.x AND b.y IN (a.y - 1, a.y + 1)))"""
-FOOT = NEAR.replace("ON (b.y = a.y AND b.x BETWEEN a.x - 1 AND a.x + 1) OR (b.x = a.x AND b.y IN (a.y - 1, a.y + 1))", "ON (b.idx = a.idx OR (b.idx = a.idx + 1 AND b.y = a.y) OR (b.idx = a.idx - 1 AND b.y = a.y) OR b.idx = a.idx + 100 OR b.idx = a.idx - 100)")
 FOOT = VOX + """, d(k) AS (VALUES (0), (1), (-1), (100), (-100)),
 near AS (SELECT a.idx, a.y, a.x, a.label, a.gt, a.cents, b.label AS o, b.cents AS oc FROM (SELECT vox.*, k, idx + k AS j FROM vox, d) a JOIN vox b
   ON b.idx = a.j WHERE abs(a.k) <> 1 OR b.y = a.y),
@@ -223,8 +220,7 @@ def rag_minmax(spark, sf_dir):
 SELECT u, v, count(*) AS n FROM (SELECT lo AS u, label AS v FROM f WHERE lo <> label UNION ALL SELECT label, hi FROM f WHERE hi <> label) GROUP BY 1, 2""")
 def rag_padded(spark, sf_dir):
     v = events_volume(spark, sf_dir)
-    edge = v.agg(F.max("label")).first()[0] + 1
-    return rag.boundary_voxels(v, "minmax", keep=("idx",), boundary=edge).groupBy("u", "v").agg(F.count("*").alias("n"))
+    return rag.boundary_voxels(v, "minmax", keep=("idx",), boundary=True).groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
 @query(EDGES + " SELECT u, v, n, CAST(total AS BIGINT) AS total, CAST(total AS DOUBLE) / CAST(n AS DOUBLE) AS weight FROM e")
@@ -277,10 +273,11 @@ def edge_moments(spark, sf_dir):
     return rag.moment_sums(_exact(spark, sf_dir), ["u", "v"], F.col("cents").cast("double"), 2)
 
 
-@query(VOX + " SELECT label, round(avg(cents / 50000.0), 6) AS mean, round(var_pop(cents / 50000.0), 6) AS c2 FROM vox GROUP BY 1")
+@query(VOX + """, m AS (SELECT label, avg(cents / 50000.0::DOUBLE) AS mean FROM vox GROUP BY 1)
+SELECT label, round(any_value(mean), 6) AS mean, round(avg((cents / 50000.0 - mean) ** 2), 6) AS c2, round(avg((cents / 50000.0 - mean) ** 3), 6) + 0.0 AS c3, round(avg((cents / 50000.0 - mean) ** 4), 6) + 0.0 AS c4 FROM vox JOIN m USING (label) GROUP BY 1""")
 def central_moments(spark, sf_dir):
     sums = rag.moment_sums(events_volume(spark, sf_dir), ["label"], F.col("cents") / 50000.0, 4)
-    return _round(rag.central_moments(sums, 4).select("label", "mean", "c2"), "mean", "c2")
+    return _round(rag.central_moments(sums, 4).select("label", "mean", "c2", "c3", "c4"), "mean", "c2", "c3", "c4")
 
 
 @query(EXACT + """, b AS (SELECT u, v, least(cents * 5 // 50000, 4) AS b FROM bv WHERE cents BETWEEN 0 AND 50000)
@@ -340,11 +337,10 @@ def edge_median(spark, sf_dir):
     return priorities.boundary_median(_exact(spark, sf_dir))
 
 
-@query(EXACT + " SELECT u, v, round(avg(cents) - 6 * stddev_samp(cents) / sqrt(count(*)), 4) AS weight FROM bv GROUP BY 1, 2 HAVING count(*) > 1")
+@query(EXACT + " SELECT u, v, round(avg(cents) - 6 * stddev_samp(cents) / sqrt(count(*)), 4) AS weight FROM bv GROUP BY 1, 2")
 def edge_mean_plus_sem(spark, sf_dir):
-    b = _exact(spark, sf_dir)
-    many = b.groupBy("u", "v").agg(F.count("*").alias("k")).where("k > 1").select("u", "v")
-    return _round(priorities.mean_plus_sem(b).join(many, ["u", "v"]), "weight", digits=4)
+    """The weight of an edge of one voxel is null."""
+    return _round(priorities.mean_plus_sem(_exact(spark, sf_dir)), "weight", digits=4)
 
 
 @query(EDGES + """, b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), dg AS (SELECT u AS node, count(*) AS degree FROM b GROUP BY 1)
@@ -613,7 +609,7 @@ def merge_history(spark, sf_dir):
 @query()
 def agglomerated_by_count(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes, 3000.0), nodes, merges=50)
+    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes), nodes, merges=50)
 
 
 @query()
@@ -629,6 +625,72 @@ def agglomerated_vi(spark, sf_dir):
     return _round(contingency.split_vi(contingency.merged(_table(spark, sf_dir), cut.select(F.col("node").alias("old"), F.col("segment").alias("new")))), "under", "over")
 
 
+def _sums(spark, sf_dir):
+    b = _exact(spark, sf_dir)
+    return b.groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("cents").alias("total"), F.sum(F.col("cents") * F.col("cents")).cast("double").alias("squares"))
+
+
+@query()
+def agglomerated_ladder(spark, sf_dir):
+    """Segments by the mean as long as one of two has under 60 voxels."""
+    weight = lambda e: priorities.ladder_weight(e, 60)
+    return agglomeration.merge_by_priority(_edges(spark, sf_dir), _nodes(spark, sf_dir).select("node", "size"), weight, 4000.0)[2]
+
+
+@query()
+def agglomerated_frozen(spark, sf_dir):
+    """Segments by the mean; every seventh fragment stays alone, and segments that hold a common exclusion stay apart."""
+    state = _nodes(spark, sf_dir).select("node", (F.col("node") % 7 == 0).cast("int").alias("frozen"), F.when(F.col("node") % 5 == 1, F.array(F.col("node") % 3)).otherwise(F.array().cast("array<long>")).alias("exclusions"))
+    return agglomeration.merge_by_priority(_edges(spark, sf_dir), state, priorities.barred_weight, 3500.0, {"frozen": "max", "exclusions": "union"})[2]
+
+
+@query()
+def agglomerated_by_sem(spark, sf_dir):
+    """Segments in rounds by the mean less six standard errors, from sums that merge."""
+    return agglomeration.merge_by_priority(_sums(spark, sf_dir), _nodes(spark, sf_dir).select("node"), priorities.sem_weight, 0.0)[2]
+
+
+@query()
+def agglomerated_by_model(spark, sf_dir):
+    """Segments in rounds by a logistic model of flat training, features and probabilities anew in each round."""
+    edges, nodes = _edges(spark, sf_dir), learning.node_table(events_volume(spark, sf_dir))
+    model = learning.fit(learning.flat_training(edges, nodes, _table(spark, sf_dir)), name="logistic regression")
+    return agglomeration.merge_by_priority(edges, nodes.select("node", "size", "total"), learning.model_weight(model), 0.4)[2]
+
+
+@query()
+def learned_epochs(spark, sf_dir):
+    """How many rows of each label two epochs of learning by agglomeration gather."""
+    edges, nodes = _edges(spark, sf_dir), learning.node_table(events_volume(spark, sf_dir))
+    rows = learning.learn_agglomerate(edges, nodes.select("node", "size", "total"), _table(spark, sf_dir), epochs=2, name="logistic regression")[1]
+    return rows.groupBy("epoch", "label").agg(F.count("*").alias("edges"))
+
+
+_PLACES = "WITH RECURSIVE " + VOX + """, f AS (SELECT idx, y, x, label FROM vox, (SELECT max(y) AS b, max(x) AS d FROM vox) WHERE y IN (0, b) OR x IN (0, d)), d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+l AS (SELECT p.idx AS u, q.idx AS v FROM (SELECT idx, label, y + dy AS yy, x + dx AS xx FROM f, d) p JOIN f q ON q.y = p.yy AND q.x = p.xx AND q.label = p.label),
+reach(a, b) AS (SELECT idx, idx FROM f UNION SELECT r.a, l.v FROM reach r JOIN l ON l.u = r.b), part AS (SELECT a AS idx, min(b) AS component FROM reach GROUP BY 1),
+t AS (SELECT label AS node FROM f JOIN part USING (idx) GROUP BY 1 HAVING count(DISTINCT component) >= 2)"""
+
+
+def _bands(spark, sf_dir):
+    """Bands that cross the volume, cut off in every third, so that some traverse it and some don't."""
+    label = F.expr("IF(x div 10 % 3 = 0 AND y >= 40 AND y < 60, 100L + x, x div 10 + 1L)")
+    return events_volume(spark, sf_dir).withColumn("label", label)
+
+
+_BAND_PLACES = _PLACES.replace("(event_id // 100 // 5) * 20 + (event_id % 100) // 5 + 1 AS label", "CASE WHEN event_id % 100 // 10 % 3 = 0 AND event_id // 100 BETWEEN 40 AND 59 THEN 100 + event_id % 100 ELSE event_id % 100 // 10 + 1 END AS label")
+
+
+@query(_BAND_PLACES + " SELECT node FROM t")
+def traversing_bodies(spark, sf_dir):
+    return rag.traversing(_bands(spark, sf_dir))
+
+
+@query(_BAND_PLACES + " SELECT DISTINCT label AS node FROM vox WHERE label <> 0 AND label NOT IN (SELECT node FROM t)")
+def non_traversing_bodies(spark, sf_dir):
+    return rag.non_traversing(_bands(spark, sf_dir))
+
+
 @query()
 def watershed_planes(spark, sf_dir):
     return kernels.watershed_sequence(events_volume(spark, sf_dir).withColumn("z", F.expr("CAST(y div 25 AS INT)")))

@@ -2,7 +2,8 @@
 
 The mean is the sum of totals over the sum of counts, so merging two edges never gives a weight below the smaller of
 theirs. Hence parts of the graph that no edge under the threshold joins never meet, and each is worked through by
-itself; and pairs of nodes that are each other's best may merge in any order, all in one round."""
+itself; and pairs of nodes that are each other's best may merge in any order, all in one round. Ties are settled by the
+fragments between which an edge runs, so in whatever order merges are made they are the same."""
 
 from __future__ import annotations
 
@@ -21,40 +22,40 @@ LOG = "component long, step long, left long, right long, parent long, weight dou
 def replay(rows: Iterable[tuple[int, int, int, float]], threshold: float, most: int | None = None, excluded: dict[int, set] | None = None, first_id: int | None = None) -> list[tuple[int, int, int, int, float]]:
     """Greedy merges (step, left, right, parent, weight) of one graph of edges (u, v, n, total), lowest weight first.
 
-    Equal weights go by (u, v). A merge takes the next free id. Only edges that two merged nodes have in common get a
-    new weight. Nodes whose exclusion sets meet are not merged."""
+    Equal weights go by the largest pair (u, v) of fragments between which the edge runs, which no merge elsewhere
+    changes. A merge takes the next free id. Only edges that two merged nodes have in common get a new weight. Nodes
+    whose exclusion sets meet are not merged. Rows may end in such a pair (tu, tv) of an edge that stands for several."""
     near: dict[int, dict[int, list]] = {}
-    for u, v, n, total in rows:
-        near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = [n, total, total / n]
+    for u, v, n, total, *tie in rows:
+        near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = [n, total, total / n, tuple(tie) or (min(u, v), max(u, v))]
     sets = {k: set(v) for k, v in (excluded or {}).items()}
-    queue = [(e[2], u, v) for u, es in near.items() for v, e in es.items() if u < v]
+    queue = [(e[2], e[3], u, v) for u, es in near.items() for v, e in es.items() if u < v]
     heapq.heapify(queue)
     free = first_id if first_id is not None else max(near, default=0) + 1
+    name = {k: k for k in near}
     log = []
     while queue and (most is None or len(log) < most):
-        w, u, v = heapq.heappop(queue)
+        w, tie, u, v = heapq.heappop(queue)
         e = near.get(u, {}).get(v)
-        if e is None or e[2] != w:
+        if e is None or (e[2], e[3]) != (w, tie):
             continue
         if not w < threshold:
             break
         if sets.get(u, set()) & sets.get(v, set()):
             continue
-        log.append((len(log), u, v, free, w))
-        a, b = near.pop(u), near.pop(v)
-        del a[v], b[u]
-        sets[free] = sets.pop(u, set()) | sets.pop(v, set())
-        near[free] = {}
-        for k in {*a, *b}:
-            near[k].pop(u, None)
-            near[k].pop(v, None)
-            if k in a and k in b:
-                n, total = a[k][0] + b[k][0], a[k][1] + b[k][1]
-                state = [n, total, total / n]
-            else:
-                state = a.get(k) or b[k]
-            near[free][k] = near[k][free] = state
-            heapq.heappush(queue, (state[2], min(k, free), max(k, free)))
+        log.append((len(log), *sorted((name[u], name[v])), free, w))
+        del near[u][v], near[v][u]
+        # The node with more edges stays, so that a hub's edges aren't moved at each of its merges.
+        stays, goes = (u, v) if len(near[u]) >= len(near[v]) else (v, u)
+        sets[stays] = sets.pop(stays, set()) | sets.pop(goes, set())
+        for k, state in near.pop(goes).items():
+            del near[k][goes]
+            if (other := near[stays].get(k)) is not None:
+                n, total = state[0] + other[0], state[1] + other[1]
+                state = [n, total, total / n, max(state[3], other[3])]
+            near[stays][k] = near[k][stays] = state
+            heapq.heappush(queue, (state[2], state[3], min(k, stays), max(k, stays)))
+        name[stays] = free
         free += 1
     return log
 
@@ -112,50 +113,158 @@ def segments(log: DataFrame, nodes: DataFrame, threshold: float = float("inf"))
     return nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("segment", "node").alias("segment"))
 
 
-def merge_rounds(live: DataFrame, names: DataFrame, threshold: float, most_rounds: int = 200) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Merges all that meets under the threshold: (edges left, (node, segment), the merges of each round).
-
-    Each node points at its best edge, least (weight, u, v); edges that both ends point at and whose weight is under
-    the threshold merge, in one round all over the table. Edges are then renamed and summed, one aggregation a round.
-    A merge is (left, right, weight), named by the least fragments of what it joins; the right one takes the left's
-    name. No task ever holds more than its share of the edges, however much of the graph hangs together."""
-    merges = []
-    for _ in range(most_rounds):
-        scored = live.withColumn("w", F.col("total") / F.col("n"))
-        best = F.min(F.struct("w", "u", "v"))
-        a = scored.groupBy(F.col("u").alias("node")).agg(best.alias("b"))
-        b = scored.groupBy(F.col("v").alias("node")).agg(best.alias("b"))
-        top = a.union(b).groupBy("node").agg(F.min("b").alias("b"))
-        pairs = top.where(F.col("b.w") < threshold).groupBy("b").agg(F.count("*").alias("k")).where("k = 2")
-        pairs = written(pairs.select(F.col("b.u").alias("left"), F.col("b.v").alias("right"), F.col("b.w").alias("weight")), "pairs")
-        if not pairs.limit(1).count():
-            return live, names, merges
+def _renamed(live: DataFrame, to: DataFrame) -> DataFrame:
+    """The edges after nodes take other names (old, new): edges that become one add up, edges within one node go.
+
+    (tu, tv), the largest pair of fragments that an edge stands for, settles ties; the other columns are sums."""
+    side = lambda c: to.select(F.col("old").alias(c), F.col("new").alias(f"_{c}"))
+    sums = [c for c in live.columns if c not in ("u", "v", "tu", "tv")]
+    moved = live.join(side("u"), "u", "left").join(side("v"), "v", "left").select(F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b"), "tu", "tv", *sums).where("a <> b")
+    out = moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max(F.struct("tu", "tv")).alias("t"), *[F.sum(c).alias(c) for c in sums])
+    return written(out.select("u", "v", "t.tu", "t.tv", *sums), "edges")
+
+
+def _named(names: DataFrame, to: DataFrame) -> DataFrame:
+    return written(names.join(to.select(F.col("old").alias("segment"), F.col("new").alias("_s")), "segment", "left").select("node", F.coalesce("_s", "segment").alias("segment")), "names")
+
+
+def _tops(scored: DataFrame) -> DataFrame:
+    """(node, b, degree): each node's best edge, least (w, tu, tv), and how many it has."""
+    ends = scored.select(F.explode(F.array("u", "v")).alias("node"), F.struct("w", "tu", "tv", "u", "v").alias("b"))
+    return ends.groupBy("node").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("degree"))
+
+
+def _mutual(tops: DataFrame, threshold: float) -> DataFrame:
+    """(left, right, weight): the edges under the threshold that are the best of both their ends."""
+    pairs = tops.where(F.col("b.w") < threshold).groupBy("b").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
+    return pairs.select(F.col("b.u").alias("left"), F.col("b.v").alias("right"), F.col("b.w").alias("weight"))
+
+
+def finish_parts(live: DataFrame, threshold: float, most_edges: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Replays every connected part under the threshold that has at most so many edges, each in a task of its own:
+    (the merges, (old, new) names, whether no larger part is left)."""
+    low = written(live.where(F.col("total") / F.col("n") < threshold).select("u", "v"), "low")
+    part = components(low.select(F.col("u").alias("node")).union(low.select("v")).distinct(), low)
+    side = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    inner = written(live.join(side("u"), "u").join(side("v"), "v").where("cu = cv").drop("cv"), "inner")
+    sizes = written(inner.groupBy("cu").agg(F.count(F.lit(1)).alias("c")), "sizes")
+    small = inner.join(sizes.where(F.col("c") <= most_edges).select("cu"), "cu")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = zip(*(pdf[c].tolist() for c in ("u", "v", "n", "total", "tu", "tv")), strict=True)
+        members: dict[int, list[int]] = {}
+        out = []
+        for _, a, b, p, w in replay(rows, threshold):
+            x, y = members.pop(a, [a]), members.pop(b, [b])
+            out.append((min(x[0], y[0]), max(x[0], y[0]), w, True))
+            members[p] = x + y if x[0] < y[0] else y + x  # the least comes first
+        out += [(k, ms[0], 0.0, False) for ms in members.values() for k in ms[1:]]
+        return pd.DataFrame(out, columns=["a", "b", "w", "merge"])
+
+    out = written(small.groupBy("cu").applyInPandas(run, "a long, b long, w double, merge boolean"), "replayed")
+    merges = out.where("merge").select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("w").alias("weight"))
+    return merges, out.where("not merge").select(F.col("a").alias("old"), F.col("b").alias("new")), not sizes.where(F.col("c") > most_edges).limit(1).count()
+
+
+def merge_rounds(live: DataFrame, names: DataFrame, threshold: float, most_edges: int = 20_000, every: int = 8) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Merges all that meets under the threshold: (edges left, (node, segment), the merges).
+
+    Parts of the graph that no edge under the threshold joins never meet, so each of at most most_edges edges is
+    replayed in one task. Larger ones merge in rounds over the whole table: each node points at its best edge, least
+    (weight, tu, tv), and edges that both ends point at merge; so do all nodes with one edge, since nothing can change
+    its weight. After ``every`` rounds what has become small is replayed. There is no last round but that without a
+    merge, and no task ever holds more than its share or most_edges edges, however much of the graph hangs together.
+
+    Both ways give the replay's merges, ties included: a merged edge's (weight, tu, tv) is never below the lesser of
+    the two it comes from, so an edge that is the best of both ends stays so until it is merged. That holds for totals
+    that add up exactly, such as whole numbers.
+
+    A merge is (left, right, weight), named by a fragment of each of the two that it joins; segments are named by one
+    of their fragments, see least_named()."""
+    merges: list[DataFrame] = []
+    done = 0
+    while True:
+        if done % every == 0 and most_edges:
+            log, to, last = finish_parts(live, threshold, most_edges)
+            merges.append(log)
+            live, names = _renamed(live, to), _named(names, to)
+            if last:
+                return live, names, merges
+        tops = written(_tops(live.withColumn("w", F.col("total") / F.col("n"))), "tops")
+        # A node with one edge goes to the other end; of two that have only each other, the larger.
+        ends = tops.where("degree = 1").where(F.col("b.w") < threshold).select("b.*", "node")
+        ends = ends.groupBy("u", "v", "w").agg(F.max("node").alias("leaf")).withColumn("hub", F.when(F.col("leaf") == F.col("u"), F.col("v")).otherwise(F.col("u")))
+        ends = written(ends.select("leaf", "hub", "w"), "leaves")
+        if ends.limit(1).count():
+            # The hub keeps its name: at a lower threshold than the leaf's it is still the one that merged elsewhere.
+            pairs = ends.select(F.least("leaf", "hub").alias("left"), F.greatest("leaf", "hub").alias("right"), F.col("w").alias("weight"))
+            to = ends.select(F.col("leaf").alias("old"), F.col("hub").alias("new"))
+        else:
+            pairs = written(_mutual(tops, threshold), "pairs")
+            to = pairs.select(F.col("right").alias("old"), F.col("left").alias("new"))
+            if not pairs.limit(1).count():
+                return live, names, merges
         merges.append(pairs)
-        to = lambda c: pairs.select(F.col("right").alias(c), F.col("left").alias(f"_{c}"))  # noqa: E731, B023
-        moved = live.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b"), "n", "total").where("a <> b")
-        live = written(moved.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "edges")
-        names = written(names.join(to("segment"), "segment", "left").select("node", F.coalesce("_segment", "segment").alias("segment")), "names")
-    raise RuntimeError("the merges did not end")
+        live, names = _renamed(live, to), _named(names, to)
+        done += 1
+
+
+def least_named(names: DataFrame) -> DataFrame:
+    """(node, segment) with each segment named by its least node."""
+    least = written(names.groupBy("segment").agg(F.min("node").alias("_least")), "least")
+    return names.join(least, "segment").select("node", F.col("_least").alias("segment"))
 
 
 def start(edge_table: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What merge_rounds() begins with: the edges, and every node as its own segment."""
-    edges = written(edge_table.select("u", "v", "n", F.col("total").cast("double").alias("total")), "edges")
+    edges = written(edge_table.select("u", "v", F.col("u").alias("tu"), F.col("v").alias("tv"), "n", F.col("total").cast("double").alias("total")), "edges")
     return edges, written(nodes.select("node", F.col("node").alias("segment")), "names")
 
 
-def rounds(edge_table: DataFrame, nodes: DataFrame, threshold: float, most_rounds: int = 200) -> DataFrame:
-    """(node, segment) as segments(agglomerate()) gives it, by rounds over the whole table instead of a task a part."""
-    return merge_rounds(*start(edge_table, nodes), threshold, most_rounds)[1]
+def merge_by_priority(edge_table: DataFrame, nodes: DataFrame, priority, threshold: float, merging: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Agglomeration by any priority of the state of edges and their ends: (edges left, segments' states, (node, segment), merges).
+
+    All columns of edge_table beside u and v are sums, all of nodes beside node are merged as ``merging`` says: sum
+    (the default), max, min or union (of arrays). Each round ``priority`` gets the edges with those of both ends as
+    u_<column> and v_<column>, and returns them with a weight w, infinite or null where they must not merge; edges
+    under the threshold that are the best of both ends, least (w, tu, tv), merge, and states add up.
+
+    Where a merge never makes a weight lower, as with means, frozen or excluded nodes, or sizes that must be small, the
+    result is that of one merge at a time. Other priorities, such as a classifier's, have no such order: there the
+    rounds are the definition, a batch of merges that no better one at hand speaks against. A merge is (round, left,
+    right, weight), named by the least fragments of what it joins."""
+    merging = merging or {}
+    state = [c for c in nodes.columns if c != "node"]
+    live = written(edge_table.select("u", "v", F.col("u").alias("tu"), F.col("v").alias("tv"), *[c for c in edge_table.columns if c not in ("u", "v")]), "edges")
+    held, names = written(nodes, "nodes"), written(nodes.select("node", F.col("node").alias("segment")), "names")
+    merges, done = None, 0
+    how = {"sum": F.sum, "max": F.max, "min": F.min, "union": lambda c: F.array_distinct(F.flatten(F.collect_list(c)))}
+    while True:
+        side = lambda k: held.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in state])  # noqa: E731, B023
+        scored = priority(live.join(side("u"), "u").join(side("v"), "v") if state else live)
+        pairs = written(_mutual(_tops(scored.where(F.col("w") < threshold)), threshold).select(F.lit(done).alias("round"), "left", "right", "weight"), "pairs")
+        merges = pairs if merges is None else merges.unionByName(pairs)
+        if not pairs.limit(1).count():
+            return live, held, names, merges
+        to = pairs.select(F.col("right").alias("old"), F.col("left").alias("new"))
+        live, names = _renamed(live, to), _named(names, to)
+        moved = held.join(to, held.node == to.old, "left").withColumn("node", F.coalesce("new", "node"))
+        held = written(moved.groupBy("node").agg(*[how[merging.get(c, "sum")](c).alias(c) for c in state]), "nodes") if state else written(moved.select("node").distinct(), "nodes")
+        done += 1
+
+
+def rounds(edge_table: DataFrame, nodes: DataFrame, threshold: float, most_edges: int = 20_000) -> DataFrame:
+    """(node, segment) as segments(agglomerate()) gives it, ties included, whatever the size of a part."""
+    return least_named(merge_rounds(*start(edge_table, nodes), threshold, most_edges)[1])
 
 
-def history(edge_table: DataFrame, nodes: DataFrame, threshold: float = float("inf"), most_rounds: int = 200) -> DataFrame:
-    """(left, right, weight): all merges under the threshold, made in rounds.
+def history(edge_table: DataFrame, nodes: DataFrame, threshold: float = float("inf"), most_edges: int = 20_000) -> DataFrame:
+    """(left, right, weight): all merges under the threshold.
 
     By weight they are in the order in which one merge at a time would make them, since a merge never makes a lower
-    weight; each joins the segments of two fragments, which are the least of theirs. An edge table without an edge
+    weight; each joins the segments of two fragments. An edge table without an edge
     under the threshold gives no row."""
-    merges = merge_rounds(*start(edge_table, nodes), threshold, most_rounds)[2]
+    merges = merge_rounds(*start(edge_table, nodes), threshold, most_edges)[2]
     out = edge_table.sparkSession.createDataFrame([], "left long, right long, weight double")
     for m in merges:
         out = out.unionByName(m)

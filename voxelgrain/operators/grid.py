@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import itertools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,12 +96,23 @@ def faces(voxels: DataFrame, skin: int = 1, axes: tuple[str, ...] = ("y", "x"))
     return voxels.crossJoin(F.broadcast(ends)).where(at).select(voxels.columns)  # ends is one row
 
 
+@functools.cache
+def _own_folder() -> str:
+    root = tempfile.mkdtemp(prefix="voxelgrain-")
+    atexit.register(shutil.rmtree, root, True)
+    return f"file://{root}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of the shared checkpoint folder, or of Spark's cache where none is set: cuts the lineage of a loop."""
+    """df by way of the shared folder spark.checkpoint.dir: cuts the lineage of a loop and survives a lost executor.
+
+    Where it is unset, a folder of this process serves in local mode; on a cluster that is an error."""
     spark: SparkSession = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df.persist()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_folder()
     path = f"{root.rstrip('/')}/voxelgrain/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -122,13 +137,14 @@ def ranked(rows: DataFrame, order: list, name: str, **sums) -> DataFrame:
     return out.select(*columns, *counted)
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the least node that links lead to, for every row of nodes.
 
-    Rounds of two steps: each end takes the least label next to it, then the label of its label, so paths halve."""
+    Rounds of two steps: each end takes the least label next to it, then the label of its label, so paths halve. They
+    go on until no label changes."""
     both = written(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct(), "links")
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("least"))
         step = labels.join(near, labels.node == near.u, "left").select("node", "component", F.least("component", "least").alias("next"))
         jump = step.select(F.col("node").alias("k"), F.col("next").alias("beyond"))
@@ -137,7 +153,6 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
         labels = step.select("node", F.col("next").alias("component"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def connected(voxels: DataFrame, column: str, axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1) -> DataFrame:

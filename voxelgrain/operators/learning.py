@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import priorities, rag
+from .agglomeration import _mutual, _renamed, _tops
 from .contingency import assignment
+from .grid import written
 
 MERGE, SEPARATE = -1, 1
 
@@ -77,5 +79,74 @@ def separate_probability(features: DataFrame, model) -> DataFrame:
     return model.transform(rows).select("u", "v", vector_to_array("probability")[1].alias("weight"))
 
 
+def model_weight(model):
+    """A priority for agglomeration.merge_by_priority(): the model's probability that the ends must stay apart, from the sums of the merged state."""
+
+    def weigh(edges: DataFrame) -> DataFrame:
+        rows = edges.withColumn("features", array_to_vector(_features(edges)))
+        return model.transform(rows).withColumn("w", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+    return weigh
+
+
+def _features(edges: DataFrame) -> Column:
+    """The features of edge_features() from n, total and the sizes and totals of both ends."""
+    first = F.col("u_size") <= F.col("v_size")
+    mean = lambda k: F.col(f"{k}_total") / F.col(f"{k}_size")
+    pick = lambda a, b: F.when(first, a).otherwise(b).cast("double")
+    lo, hi = pick(F.col("u_size"), F.col("v_size")), pick(F.col("v_size"), F.col("u_size"))
+    ml, mh = pick(mean("u"), mean("v")), pick(mean("v"), mean("u"))
+    return F.array(lo, ml, hi, mh, F.col("n").cast("double"), F.col("total") / F.col("n"), hi - lo, F.abs(ml - mh))
+
+
+def epoch(edge_table: DataFrame, nodes: DataFrame, table: DataFrame, priority) -> DataFrame:
+    """(round, u, v, features, label) of the edges that one agglomeration meets, judged by ground truth.
+
+    nodes has (node, size, total), table (s, g, n) the fragments' overlaps with the truth. In each round the edges that
+    are the best of both ends, least (w, tu, tv), are judged: current segments whose overlaps are largest with the same
+    label merge (-1), others stay apart from then on (1). Overlaps, sizes and sums are those of the segments as merged
+    so far. The epoch ends when every edge between two segments has been judged."""
+    live = written(edge_table.select("u", "v", F.col("u").alias("tu"), F.col("v").alias("tv"), "n", F.col("total").cast("double").alias("total"), F.lit(0).alias("apart")), "edges")
+    held, cells = written(nodes, "nodes"), written(table, "cells")
+    rows, done = None, 0
+    while True:
+        side = lambda k: held.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("total").alias(f"{k}_total"))  # noqa: E731, B023
+        scored = priority(live.where("apart = 0").join(side("u"), "u").join(side("v"), "v"))
+        scored = written(scored.withColumn("features", _features(scored)), "scored")
+        met = _mutual(_tops(scored), float("inf")).select(F.col("left").alias("u"), F.col("right").alias("v"))
+        best = assignment(cells)
+        owner = lambda k: best.select(F.col("s").alias(k), F.col("g").alias(f"g{k}"))  # noqa: E731, B023
+        judged = met.join(scored.select("u", "v", "features"), ["u", "v"]).join(owner("u"), "u").join(owner("v"), "v")
+        judged = written(judged.select(F.lit(done).alias("round"), "u", "v", "features", F.when(F.col("gu") == F.col("gv"), MERGE).otherwise(SEPARATE).alias("label")), "judged")
+        rows = judged if rows is None else rows.unionByName(judged)
+        if not judged.limit(1).count():
+            return rows
+        barred = judged.where(F.col("label") == SEPARATE).select("u", "v", F.lit(1).alias("_apart"))
+        to = judged.where(F.col("label") == MERGE).select(F.col("v").alias("old"), F.col("u").alias("new"))
+        # An edge that takes up a barred one is barred too.
+        live = live.join(barred, ["u", "v"], "left").withColumn("apart", F.greatest("apart", F.coalesce("_apart", F.lit(0)))).drop("_apart")
+        live = _renamed(live, to).withColumn("apart", F.least("apart", F.lit(1)))
+        name = lambda df, c: df.join(to.select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: E731, B023
+        held = written(name(held, "node").groupBy("node").agg(F.sum("size").alias("size"), F.sum("total").alias("total")), "nodes")
+        cells = written(name(cells, "s").groupBy("s", "g").agg(F.sum("n").alias("n")), "cells")
+        done += 1
+
+
+def learn_agglomerate(edge_table: DataFrame, nodes: DataFrame, table: DataFrame, epochs: int = 5, enough: int | None = None, name: str = "random forest", seed: int = 0):
+    """(model, rows): a merge classifier learned in epochs, and the rows (epoch, round, u, v, features, label) it was fitted on.
+
+    Epoch 0 agglomerates by the mean, each later one by the model of all rows so far, so that rows come from states
+    that the model itself leads to. It ends after ``epochs`` of them, or once there are ``enough`` distinct rows."""
+    rows, model = None, None
+    for k in range(epochs):
+        new = epoch(edge_table, nodes, table, priorities.mean_weight if model is None else model_weight(model)).withColumn("epoch", F.lit(k))
+        rows = new if rows is None else rows.unionByName(new)
+        distinct = written(unique_rows(rows.where("label is not null"), ["epoch", "round", "u", "v"]), "rows")
+        model = fit(distinct, "label", name, seed)
+        if enough is not None and distinct.count() >= enough:
+            break
+    return model, rows
+
+
 def node_table(voxels: DataFrame, label: str = "label", value: str = "cents") -> DataFrame:
     return rag.nodes(voxels, label).join(voxels.groupBy(F.col(label).alias("node")).agg(F.sum(value).alias("total")), "node")

@@ -21,6 +21,37 @@ def mean_plus_sem(boundary: DataFrame, value: str = "cents", alpha: float = -6.0
     return boundary.groupBy("u", "v").agg((F.avg(value) + alpha * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("weight"))
 
 
+def mean_weight(edges: DataFrame) -> DataFrame:
+    """w, the mean of an edge's boundary, from the sums n and total."""
+    return edges.withColumn("w", boundary_mean())
+
+
+def sem_weight(edges: DataFrame, alpha: float = -6.0) -> DataFrame:
+    """w, the mean plus alpha standard errors, from the sums n, total and squares; null for an edge of one voxel."""
+    mean = boundary_mean()
+    variance = F.greatest(F.lit(0.0), F.col("squares") - mean * F.col("total")) / F.nullif(F.col("n") - 1, F.lit(0))
+    return edges.withColumn("w", mean + alpha * F.sqrt(variance / F.col("n")))
+
+
+def ladder_weight(edges: DataFrame, threshold: int, strictness: int = 1) -> DataFrame:
+    """w, the mean where an end is below the threshold in u_size, v_size; null elsewhere. Strictness as in ladder()."""
+    small_u, small_v = F.col("u_size") < threshold, F.col("v_size") < threshold
+    ok = (small_u != small_v) if strictness >= 2 else small_u | small_v
+    if strictness >= 3:
+        ok = ok & (F.col("n") > 2)
+    return edges.withColumn("w", F.when(ok, boundary_mean()))
+
+
+def barred_weight(edges: DataFrame) -> DataFrame:
+    """w, the mean where neither end is frozen (u_frozen, v_frozen) and their exclusions have nothing in common; else null."""
+    free = F.lit(True)
+    if "u_frozen" in edges.columns:
+        free = free & (F.col("u_frozen") == 0) & (F.col("v_frozen") == 0)
+    if "u_exclusions" in edges.columns:
+        free = free & ~F.arrays_overlap("u_exclusions", "v_exclusions")
+    return edges.withColumn("w", F.when(free, boundary_mean()))
+
+
 def ladder(edge_table: DataFrame, nodes: DataFrame, weight: Column, threshold: int, strictness: int = 1, at_boundary: DataFrame | None = None) -> DataFrame:
     """The weight where a node below the threshold, not at the boundary, is at hand; else infinity.
 

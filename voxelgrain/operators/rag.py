@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .grid import AXES, faces, footprint, offsets
+from .grid import AXES, connected, faces, footprint, offsets
 
 
-def boundary_voxels(voxels: DataFrame, mode: str = "minmax", keep: tuple[str, ...] = ("idx", "cents"), label: str = "label", boundary: int | None = None, **grid) -> DataFrame:
+def boundary_voxels(voxels: DataFrame, mode: str = "minmax", keep: tuple[str, ...] = ("idx", "cents"), label: str = "label", boundary: bool = False, **grid) -> DataFrame:
     """(u, v, keep...): the voxels on each edge u < v, a voxel once for each side on which it is recorded.
 
     minmax looks at the least and the largest label of the neighbourhood: a voxel is recorded under (least, own) and
     (own, largest) where these differ; where more labels meet, those between are lost. exact records a voxel under
-    every other label it touches. With ``boundary``, voxels beyond the grid have that label, the largest of all."""
+    every other label it touches. With ``boundary``, voxels beyond the grid have one more label, the largest of all."""
     keep = tuple(keep)
     if mode == "minmax":
         near = footprint(voxels, [label, *keep], label, **grid)
         hi = F.col("hi")
-        if boundary is not None:
+        if boundary:
+            near = near.crossJoin(F.broadcast(voxels.agg((F.max(label) + 1).alias("_beyond"))))  # one row
             full = len(offsets(grid.get("axes", ("y", "x")), grid.get("connectivity", 1)))
-            hi = F.when(F.col("cells") < full, F.lit(boundary)).otherwise(hi)
+            hi = F.when(F.col("cells") < full, F.col("_beyond")).otherwise(hi)
         near = near.withColumn("hi", hi)
         sides = F.array(F.struct(F.col("lo").alias("u"), F.col(label).alias("v")), F.struct(F.col(label).alias("u"), F.col("hi").alias("v")))
         out = near.where("lo <> hi").select(F.explode(sides).alias("e"), *keep)
@@ -109,11 +110,19 @@ def degrees(edge_table: DataFrame) -> DataFrame:
 
 
 def common_neighbours(edge_table: DataFrame) -> DataFrame:
-    """(u, v, common) of each edge: a join over wedges, from the smaller end's side only, then the edge itself."""
-    both = both_ways(edge_table.select("u", "v"))
-    wedge = edge_table.select("u", "v").join(both.select("u", F.col("v").alias("w")), "u")
-    closed = wedge.join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi").groupBy("u", "v").agg(F.count("*").alias("common"))
-    return edge_table.select("u", "v").join(closed, ["u", "v"], "left").select("u", "v", F.coalesce("common", F.lit(0)).alias("common"))
+    """(u, v, common) of each edge: each edge points from its end of lower (degree, id) to the other, and a triangle is
+    found once, as two edges out of its first node whose ends share an edge. A node has few edges out of it, however
+    many it has in all, so a hub gives no pairs of its neighbours."""
+    pairs = edge_table.select("u", "v")
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    side = lambda k: degree.select(F.col("node").alias(k), F.col("d").alias(f"d{k}"))
+    first = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    out = pairs.join(side("u"), "u").join(side("v"), "v").select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("b"))
+    wedges = out.select("a", F.col("b").alias("x")).join(out.select("a", F.col("b").alias("y")), "a").where("x < y")
+    closed = wedges.join(pairs.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"], "left_semi")
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    found = closed.select(F.explode(F.array(edge("a", "x"), edge("a", "y"), edge("x", "y"))).alias("e")).groupBy("e.u", "e.v").agg(F.count(F.lit(1)).alias("common"))
+    return pairs.join(found, ["u", "v"], "left").select("u", "v", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def inclusiveness(edge_table: DataFrame) -> DataFrame:
@@ -139,6 +148,20 @@ def edge_places(boundary: DataFrame) -> DataFrame:
     return out
 
 
+def traversing(voxels: DataFrame, label: str = "label", axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1, contacts: int = 2) -> DataFrame:
+    """The labels that meet the outside of the volume in at least so many separate places.
+
+    A place is a connected part of a label's voxels on the faces of the grid; on a box of more than one axis those of
+    neighbouring faces hang together over its edges."""
+    places = connected(faces(voxels, 1, axes), label, axes, connectivity)
+    return voxels.select("idx", F.col(label).alias("node")).join(places, "idx").groupBy("node").agg(F.count_distinct("component").alias("places")).where(F.col("places") >= contacts).select("node")
+
+
+def non_traversing(voxels: DataFrame, label: str = "label", **grid) -> DataFrame:
+    """The labels, 0 left out, that don't traverse the volume."""
+    return voxels.where(F.col(label) != 0).select(F.col(label).alias("node")).distinct().join(traversing(voxels, label, **grid), "node", "left_anti")
+
+
 def exclusions(voxels: DataFrame, label: str = "label", excl: str = "excl") -> DataFrame:
     """(node, exclusions): the nonzero exclusion ids inside each label."""
     return voxels.groupBy(F.col(label).alias("node")).agg(F.sort_array(F.collect_set(F.when(F.col(excl) != 0, F.col(excl)))).alias("exclusions"))

@@ -33,7 +33,7 @@ def segment(voxels: DataFrame, options: Options) -> DataFrame:
     out = None
     for t in options.thresholds:
         live, names, _ = agglomeration.merge_rounds(live, names, t)
-        cut = names.select(F.lit(float(t)).alias("threshold"), "node", "segment")
+        cut = agglomeration.least_named(names).select(F.lit(float(t)).alias("threshold"), "node", "segment")
         out = cut if out is None else out.union(cut)
     return out
 

@@ -61,58 +61,59 @@ def units(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
 
 
 def text_units(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, words, hi, lo): every unit of every text, with the digest as two longs."""
+    """(doc_id, text_hash, start, end, words, hi, lo): every unit of every text, with the digest as two longs.
+
+    The hash of the text tells rows of one id, or without an id, apart."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, hashes = (c.to_pylist() for c in batch.columns)
             rows: list[tuple] = []
-            for doc_id, text in zip(ids, texts, strict=True):
+            for doc_id, text, text_hash in zip(ids, texts, hashes, strict=True):
                 for start, end, words, digest in units(text or "", min_words):
-                    rows.append((doc_id, start, end, words, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                    rows.append((doc_id, text_hash, start, end, words, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
                 if len(rows) >= 50_000:
                     yield frame(rows)
                     rows = []
             yield frame(rows)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    names = ["doc_id", "start", "end", "words", "hi", "lo"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["doc_id", "text_hash", "start", "end", "words", "hi", "lo"]
 
     def frame(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, end long, words int, hi long, lo long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, start long, end long, words int, hi long, lo long")
 
 
 def repeated_units(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, words, keep_doc_id, keep_start, copies): one row for each unit to remove, at its place in the text.
+    """(doc_id, text_hash, start, end, words, keep_doc_id, keep_start, copies): one row for each unit to remove, at its place in the text.
 
-    Of units with one digest, the first by (doc_id, start) stays, in keep_doc_id at keep_start; copies counts all of
-    them. Lines shorter than min_words words recur by chance, so they count only with their neighbours, see units();
-    of the whole units of a repeated passage, its last ones of less than min_words words in all may stay for that. The
-    digests are summed before the shuffle; a line that stands in a large part of all texts is one row for each task,
-    and the join back to its places is split by adaptive execution.
+    Of units with one digest, the first by (doc_id, text_hash, start) stays, in keep_doc_id at keep_start; copies counts
+    all of them. Lines shorter than min_words words recur by chance, so they count only with their neighbours, see
+    units(); of the whole units of a repeated passage, its last ones of less than min_words words in all may stay for
+    that. The digests are summed before the shuffle; a line that stands in a large part of all texts is one row for
+    each task, and the join back to its places is split by adaptive execution.
 
-    Null and empty texts have no units. Texts without an id come after all others and are removed like any copy;
-    repeated rows of one id count as one, since their places are the same. An empty table gives an empty one; other
-    columns are ignored."""
+    Null and empty texts have no units. Rows of one id with different texts are different texts; texts without an id
+    come after all others and are removed like any copy. Rows that agree in id and text count as one, since their
+    places are the same. An empty table gives an empty one; other columns are ignored."""
     places = keep(text_units(docs, min_words, id_col, text_col), "units")
-    last = F.lit((1 << 63) - 1)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
     # Written, so that the join stands on two plain shuffles, which adaptive execution can split.
-    seen = places.groupBy("hi", "lo").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc"), "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    seen = keep(seen.select("hi", "lo", F.col("first.doc").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), "copies"), "seen")
-    out = places.join(seen, ["hi", "lo"])
-    out = out.where((F.coalesce("doc_id", last) != F.col("keep_doc_id")) | (F.col("start") != F.col("keep_start")))
-    return out.select("doc_id", "start", "end", "words", F.nullif("keep_doc_id", last).alias("keep_doc_id"), "keep_start", "copies").distinct()
+    seen = places.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    seen = keep(seen.select("hi", "lo", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.text_hash").alias("keep_hash"), F.col("first.start").alias("keep_start"), "copies"), "seen")
+    first = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("text_hash") == F.col("keep_hash")) & (F.col("start") == F.col("keep_start"))
+    return places.join(seen, ["hi", "lo"]).where(~first).select("doc_id", "text_hash", "start", "end", "words", "keep_doc_id", "keep_start", "copies").distinct()
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the spans (doc_id, start, end) taken out of their texts; rows with a null id or text stay as they are.
+    """docs with the spans (doc_id, text_hash, start, end) taken out of their texts; null texts stay as they are.
 
-    Spans hold for every row of their id. Other columns stay as they are, whatever their names; spans beyond a text's
+    Spans hold for the rows of their id, null included, whose text has that hash. Other columns stay as they are, whatever their names; spans beyond a text's
     end take nothing; no spans, or an empty table, change nothing."""
-    c_id, c_spans = unused(docs, "id", "spans")
-    each = spans.groupBy(F.col("doc_id").alias(c_id)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(c_spans))
+    c_id, c_hash, c_spans = unused(docs, "id", "text_hash", "spans")
+    each = spans.groupBy(F.col("doc_id").alias(c_id), F.col("text_hash").alias(c_hash)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(c_spans))
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -130,5 +131,5 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(each, F.col(id_col) == F.col(c_id), "left")
+    joined = docs.join(each, F.col(id_col).cast("long").eqNullSafe(F.col(c_id)) & (F.xxhash64(F.col(text_col)) == F.col(c_hash)), "left")
     return joined.select(*[cut(F.col(text_col), F.col(c_spans)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -152,7 +152,7 @@ class CompressionModel:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2500, most_chars: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> CompressionModel:
     """A model from labelled rows outside the held-out fifth.
 
-    The sample is bounded, for training alone: at most most_rows of each class, those with the smallest hash of the id,
+    The sample is bounded, for training alone: at most most_rows texts of each class, those with the smallest hash of the id,
     of each at most most_chars characters, and of the ordinary windows at most most_train bytes. The odds are those of
     all labelled rows.
 
@@ -162,9 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2500, most_chars:
     all_rows = {r.y: r.n for r in label.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     few = label.where("y = 0").orderBy("h", "i").limit(most_rows).unionByName(label.where("y = 1").orderBy("h", "i").limit(most_rows))
     rows = docs.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, most_chars).alias("t")).where("t is not null")
-    got = rows.join(F.broadcast(few), "i").orderBy("y", "h", "i", "t").collect()  # at most 2 x most_rows x most_chars
-    texts = {y: [r.t for r in got if r.y == y] for y in (0, 1)}
-    del got
+    found = rows.join(F.broadcast(few), "i")  # an id may stand in any number of rows
+    texts = {y: [r.t for r in found.where(F.col("y") == y).orderBy("h", "i", "t").limit(most_rows).select("t").collect()] for y in (0, 1)}
     return CompressionModel(texts[1], texts[0], all_rows.get(1, 0) / max(1, all_rows.get(0, 0)), **options)
 
 

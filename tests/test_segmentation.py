@@ -51,12 +51,12 @@ def test_edges_of_a_small_volume(small):
     assert got == {(1, 2): 3, (1, 3): 4, (1, 4): 2, (2, 4): 4, (3, 4): 3}
 
 
-@pytest.mark.parametrize("exact,boundary", [(True, None), (False, None), (False, 99)])
+@pytest.mark.parametrize("exact,boundary", [(True, None), (False, None), (False, 7)])
 def test_edges_against_brute_force(spark, exact, boundary):
     rng = np.random.default_rng(2)
     a, p = rng.integers(1, 7, (9, 11)), rng.integers(0, 100, (9, 11))
     v = volumes.from_arrays(spark, label=a, cents=p)
-    got = labels_of(rag.edges(rag.boundary_voxels(v, "exact" if exact else "minmax", boundary=boundary)), "u", "v", "n", "total")
+    got = labels_of(rag.edges(rag.boundary_voxels(v, "exact" if exact else "minmax", boundary=boundary is not None)), "u", "v", "n", "total")
     assert got == brute_edges(a, p, exact, boundary)
 
 

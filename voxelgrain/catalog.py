@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .operators import agglomeration, contingency, features, grid, kernels, learning, priorities, rag
+from .operators import agglomeration, contingency, features, grid, kernels, learning, orientation, priorities, rag, search, trees
 from .plans import segmentation
 from .sources import volumes
 from .sources.volumes import events_cube, events_line, events_volume
@@ -752,6 +752,159 @@ def stitched_blocks(spark, sf_dir):
     return segmentation.stitch(v, "x")
 
 
+# Back on the voxels
+
+
+@query("WITH RECURSIVE " + EDGES + ", seg AS (" + _PARTS.format(*["CAST(total AS DOUBLE) / CAST(n AS DOUBLE) < 3000"] * 2).replace(", l AS", "WITH RECURSIVE l AS", 1) + ") SELECT idx, segment FROM vox JOIN seg ON node = label")
+def segment_volume(spark, sf_dir):
+    return rag.build_volume(events_volume(spark, sf_dir), threshold_segments(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + EDGES + ", seg AS (" + _PARTS.format(*["CAST(total AS DOUBLE) / CAST(n AS DOUBLE) < 3000"] * 2).replace(", l AS", "WITH RECURSIVE l AS", 1) + ") SELECT idx, CASE WHEN segment IN (SELECT segment FROM seg GROUP BY 1 HAVING count(*) > 1) THEN segment ELSE 0 END AS segment FROM vox JOIN seg ON node = label")
+def merged_volume(spark, sf_dir):
+    """The voxels of segments of more than one fragment, 0 elsewhere."""
+    seg = grid.written(threshold_segments(spark, sf_dir), "segments")
+    return rag.build_volume(events_volume(spark, sf_dir), seg, seg.groupBy("segment").count().where("count > 1").select("segment"))
+
+
+@query(EDGES + """, m AS (SELECT idx, max(CAST(e.total AS DOUBLE) / CAST(e.n AS DOUBLE)) AS w FROM bv JOIN e USING (u, v) GROUP BY 1)
+SELECT idx, coalesce(w, 0) AS weight FROM vox LEFT JOIN m USING (idx)""")
+def boundary_map(spark, sf_dir):
+    b = grid.written(_exact(spark, sf_dir), "boundary")
+    return rag.boundary_map(events_volume(spark, sf_dir), b, rag.edges(b).withColumn("weight", priorities.boundary_mean()))
+
+
+@query(VOX + _BITS + """, g AS (SELECT idx, y, x, cents // 1000 AS s, truth AS t FROM w JOIN vox USING (idx)), d(k) AS (VALUES (-2), (-1), (0), (1), (2)),
+o AS (SELECT i.k AS dy, j.k AS dx FROM d i, d j WHERE abs(i.k) + abs(j.k) <= 2),
+r AS (SELECT a.idx, any_value(a.s) AS s, any_value(a.t) AS t, max(g.s) AS sd, max(g.t) AS td FROM (SELECT g.*, y + dy AS yy, x + dx AS xx FROM g, o) a JOIN g ON g.y = a.yy AND g.x = a.xx GROUP BY 1),
+k AS (SELECT s AS threshold, count(*) AS n, sum(td) AS hit FROM r GROUP BY 1), f AS (SELECT sd AS threshold, sum(t) AS found FROM r GROUP BY 1)
+SELECT threshold, CAST(sum(hit) OVER q AS DOUBLE) / CAST(sum(n) OVER q AS DOUBLE) AS precision, CAST(sum(coalesce(found, 0)) OVER q AS DOUBLE) / CAST((SELECT sum(t) FROM r) AS DOUBLE) AS recall FROM k LEFT JOIN f USING (threshold) WINDOW q AS (ORDER BY threshold DESC)""".replace("w JOIN vox USING (idx)", "wv").replace("truth AS t FROM wv", "CAST((y % 7 = 0 OR x % 7 = 0) AS BIGINT) AS t FROM vox"))
+def wiggle_room_precision_recall(spark, sf_dir):
+    return contingency.wiggle_room(_predicted(spark, sf_dir).withColumn("score", F.expr("cents div 1000")), "score", "truth", 2)
+
+
+@query(EXACT + """, b AS (SELECT u, v, count(DISTINCT idx) AS n, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM bv GROUP BY 1, 2)
+SELECT u, v, CAST(n AS DOUBLE) / CAST(h * w * 2 AS DOUBLE) AS squiggliness FROM b""")
+def squiggliness(spark, sf_dir):
+    v = events_volume(spark, sf_dir)
+    return rag.squiggliness(rag.edge_boxes(_located(spark, sf_dir).join(v.select("idx", "z", "y", "x"), "idx")))
+
+
+@query(EDGES + NODES + """, s AS (SELECT label, count(*) FILTER (cents > 5000) + 1 AS s FROM vox GROUP BY 1), b AS (SELECT u, v, count(*) FILTER (cents > 5000) + 1 AS b FROM bv GROUP BY 1, 2)
+SELECT u, v, round(b / p.s, 6) AS u0, round(b / p.s / (e.n / a.size), 6) AS u0_rel, round(b / q.s, 6) AS v0, round(b / q.s / (e.n / c.size), 6) AS v0_rel
+FROM b JOIN e USING (u, v) JOIN s p ON p.label = u JOIN s q ON q.label = v JOIN nd a ON a.node = u JOIN nd c ON c.node = v""")
+def contact_ratios(spark, sf_dir):
+    b = grid.written(_exact(spark, sf_dir), "boundary")
+    v = events_volume(spark, sf_dir)
+    out = rag.contact_ratios(rag.contact_features(b, v, (5000,)), rag.edges(b), rag.nodes(v), 1)
+    return _round(out, "u0", "u0_rel", "v0", "v0_rel")
+
+
+# Shapes: fragments of the voxels over 20.00
+
+
+_SHAPES = VOX + """, g AS (SELECT label AS node, count(*) AS n, avg(y) AS cy, avg(x) AS cx, coalesce(var_samp(y), 0) / count(*) AS a, coalesce(var_samp(x), 0) / count(*) AS b, coalesce(covar_samp(y, x), 0) / count(*) AS c FROM vox WHERE cents > 2000 GROUP BY 1),
+s AS (SELECT *, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c ** 2) AS v1, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c ** 2) AS v2, atan2(2 * c, a - b) / 2 AS phi FROM g)"""
+
+
+def _shapes(spark, sf_dir):
+    bright = events_volume(spark, sf_dir).where("cents > 2000").withColumnRenamed("label", "node")
+    return orientation.described(orientation.coordinate_sums(bright, ["node"]), ["node"])
+
+
+@query(_SHAPES + " SELECT node, n, round(v1, 4) + 0.0 AS val1, round(abs(v2), 4) + 0.0 AS val2, CASE WHEN v1 + v2 > 0 THEN round(((v1 - v2) / (v1 + v2)) ** 2, 4) + 0.0 ELSE 0.0 END AS coherence FROM s")
+def node_orientations(spark, sf_dir):
+    s = _shapes(spark, sf_dir).select("node", "n", "val1", F.abs("val2").alias("val2"), "coherence")
+    return _round(s, "val1", "val2", "coherence", digits=4)
+
+
+@query(EXACT + _SHAPES.split("FROM events)", 1)[1] + """, t AS (SELECT *, CASE WHEN v1 - v2 > 1e-9 * v1 THEN cos(phi) ELSE 0 END AS ey, CASE WHEN v1 - v2 > 1e-9 * v1 THEN sin(phi) ELSE 0 END AS ex FROM s),
+p AS (SELECT DISTINCT u, v FROM bv), j AS (SELECT u, v, k.ey AS py, k.ex AS px, q.ey AS qy, q.ex AS qx, k.cy - q.cy AS dy, k.cx - q.cx AS dx FROM p JOIN t k ON k.node = u JOIN t q ON q.node = v),
+m AS (SELECT u, v, acos(least(1, abs(py * qy + px * qx))) AS b, acos(least(1, abs(py * dy + px * dx) / sqrt(dy * dy + dx * dx))) AS p, acos(least(1, abs(qy * dy + qx * dx) / sqrt(dy * dy + dx * dx))) AS q FROM j)
+SELECT u, v, round(b, 4) + 0.0 AS between_axes, round(least(p, q), 4) + 0.0 AS least_angle, round(greatest(p, q), 4) + 0.0 AS most_angle, round((p + q) / 2, 4) + 0.0 AS mean_angle FROM m""")
+def orientation_angles(spark, sf_dir):
+    a = orientation.angles(_edges(spark, sf_dir), _shapes(spark, sf_dir))
+    a = a.select("u", "v", F.col("between").alias("between_axes"), F.col("least").alias("least_angle"), F.col("most").alias("most_angle"), F.col("mean").alias("mean_angle"))
+    return _round(a, "between_axes", "least_angle", "most_angle", "mean_angle", digits=4)
+
+
+# Searches
+
+
+@query(VOX + """, k AS (SELECT idx, y, x, CASE WHEN y % 12 < 5 AND x % 9 < 4 THEN 0 ELSE label END AS label FROM vox), d(k) AS (SELECT range - 5 FROM range(11)),
+near AS (SELECT a.idx, arg_min(k.label, greatest(abs(dy), abs(dx)) * 1000000000 + k.label) AS label FROM (SELECT k.*, i.k AS dy, j.k AS dx, y + i.k AS yy, x + j.k AS xx FROM k, d i, d j WHERE label = 0) a JOIN k ON k.y = a.yy AND k.x = a.xx WHERE k.label <> 0 GROUP BY 1)
+SELECT idx, coalesce(near.label, k.label) AS label FROM k LEFT JOIN near USING (idx)""")
+def undammed(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("label", F.expr("IF(y % 12 < 5 AND x % 9 < 4, 0L, label)"))
+    return search.undam(v)
+
+
+@query("WITH RECURSIVE " + VOX + """, f AS (SELECT idx, y, x FROM vox WHERE least(cents // 1000, 9) IN (0, 1, 2, 3, 4, 5)), d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+r AS (SELECT idx, y, x FROM f WHERE idx % 2500 = 7 UNION SELECT f.idx, f.y, f.x FROM (SELECT y + dy AS yy, x + dx AS xx FROM r, d) s JOIN f ON f.y = yy AND f.x = xx) SELECT CAST(0 AS INT) AS z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM r""")
+def flood_filled(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("level", F.expr("least(cents div 1000, 9L)"))
+    return search.flood_fill(v, v.where("idx % 2500 = 7"), spark.range(6).toDF("level"), "level", ("y", "x")).select("z", "y", "x")
+
+
+@query("WITH RECURSIVE " + VOX + """, k AS (SELECT idx, y, x, cents // 500 AS v FROM vox), d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+near AS (SELECT a.idx, a.v, k.idx AS o, k.v AS ov FROM (SELECT k.*, y + dy AS yy, x + dx AS xx FROM k, d) a JOIN k ON k.y = a.yy AND k.x = a.xx),
+low AS (SELECT idx, any_value(v) AS v, min(ov) AS lv, arg_min(o, ov * 1000000000 + o) AS o FROM near GROUP BY 1), slope AS (SELECT idx, v, o FROM low WHERE lv < v), lvl AS (SELECT idx, v FROM low WHERE lv >= v),
+step AS (SELECT near.idx, near.o FROM near JOIN lvl ON lvl.idx = near.o WHERE near.v = near.ov),
+fr(idx, src, d) AS (SELECT idx, idx, 0 FROM slope UNION SELECT s.o, fr.src, d + 1 FROM fr JOIN step s ON s.idx = fr.idx WHERE d < 14), ex AS (SELECT idx, arg_min(src, CAST(d AS BIGINT) * 1000000000 + src) AS src FROM fr WHERE d > 0 GROUP BY 1),
+fl AS (SELECT idx FROM lvl WHERE idx NOT IN (SELECT idx FROM ex)), part(a, b) AS (SELECT idx, idx FROM fl UNION SELECT p.a, s.o FROM part p JOIN step s ON s.idx = p.b),
+way AS (SELECT idx, o AS t FROM slope UNION ALL SELECT idx, src FROM ex UNION ALL SELECT a, min(b) FROM part GROUP BY 1),
+go(idx, b) AS (SELECT idx, idx FROM way UNION SELECT go.idx, w.t FROM go JOIN way w ON w.idx = go.b) SELECT go.idx, b AS basin FROM go JOIN way w ON w.idx = b WHERE w.t = b""")
+def basins(spark, sf_dir):
+    return search.basins(events_volume(spark, sf_dir).withColumn("level", F.expr("cents div 500")), "level")
+
+
+# Trees and inclusions
+
+
+@query("WITH RECURSIVE " + EDGES + """, k AS (SELECT u, v, row_number() OVER (ORDER BY CAST(total AS DOUBLE) / CAST(n AS DOUBLE), u, v) AS r FROM e), adj AS (SELECT u, v, r FROM k UNION ALL SELECT v, u, r FROM k),
+rc(r, x) AS (SELECT r, u FROM k UNION SELECT rc.r, a.v FROM rc JOIN adj a ON a.u = rc.x AND a.r < rc.r) SELECT u, v FROM k WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.r = k.r AND rc.x = k.v)""")
+def least_spanning_forest(spark, sf_dir):
+    return trees.spanning_forest(_edges(spark, sf_dir).withColumn("weight", priorities.boundary_mean()), ("weight",)).select("u", "v")
+
+
+@query()
+def lowest_common_merges(spark, sf_dir):
+    """For fragments 37 apart, the merge of the history under 3000 that first brings them together, if one does."""
+    nodes = _nodes(spark, sf_dir).select("node")
+    log = grid.written(agglomeration.history(_edges(spark, sf_dir), nodes, 3000.0), "history")
+    pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 37).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+    return agglomeration.joined_by(log, pairs)
+
+
+_RINGED = "WITH RECURSIVE " + FOOT.replace("(event_id // 100 // 5) * 20 + (event_id % 100) // 5 + 1 AS label", """(event_id // 1000 * 10 + event_id % 100 // 10) * 8 +
+  CASE WHEN least(event_id // 100 % 10, 9 - event_id // 100 % 10, event_id % 10, 9 - event_id % 10) = 2 AND event_id % 10 >= 5 THEN 6 ELSE least(event_id // 100 % 10, 9 - event_id // 100 % 10, event_id % 10, 9 - event_id % 10) + 1 END AS label""") + """,
+e0 AS (SELECT DISTINCT least(label, o) AS u, greatest(label, o) AS v FROM near WHERE label <> o UNION SELECT DISTINCT 0, label FROM vox, (SELECT max(y) AS b, max(x) AS d FROM vox) WHERE y IN (0, b) OR x IN (0, d)),
+adj AS (SELECT u, v FROM e0 UNION ALL SELECT v, u FROM e0), nd AS (SELECT DISTINCT label AS node FROM vox)"""
+
+
+def _ringed(spark, sf_dir):
+    """Nested rings in each 10 x 10 voxels, the third one of two halves, and 0 for all beyond the volume: (edges, nodes)."""
+    ring = "least(y % 10, 9 - y % 10, x % 10, 9 - x % 10)"
+    v = events_volume(spark, sf_dir).withColumn("label", F.expr(f"CAST((y div 10 * 10 + x div 10) * 8 + IF({ring} = 2 AND x % 10 >= 5, 6, {ring} + 1) AS BIGINT)"))
+    edges = grid.label_contacts(v).union(rag.face_labels(v).select(F.lit(0).cast("long"), "node"))
+    return grid.written(edges, "edges"), v.select(F.col("label").alias("node")).distinct()
+
+
+@query(_RINGED + """, rc(c, x) AS (SELECT node, 0 FROM nd UNION SELECT r.c, a.v FROM rc r JOIN adj a ON a.u = r.x WHERE a.v <> r.c),
+cut AS (SELECT c.node AS c, w.node AS w FROM nd c, nd w WHERE c.node <> w.node AND NOT EXISTS (SELECT 1 FROM rc WHERE rc.c = c.node AND rc.x = w.node)), l AS (SELECT c AS u, w AS v FROM cut UNION ALL SELECT w, c FROM cut),
+reach(a, b) AS (SELECT node, node FROM nd UNION SELECT r.a, l.v FROM reach r JOIN l ON l.u = r.b) SELECT a AS node, min(b) AS segment FROM reach GROUP BY 1""")
+def inclusions_removed(spark, sf_dir):
+    edges, nodes = _ringed(spark, sf_dir)
+    return trees.inclusions(edges, nodes, 0)
+
+
+@query(_RINGED + """, al AS (SELECT u, min(v) AS v FROM adj GROUP BY 1 HAVING count(*) = 1)
+SELECT node, coalesce((SELECT v FROM al WHERE al.u = node AND NOT EXISTS (SELECT 1 FROM al q WHERE q.u = al.v AND q.v = al.u AND al.u < al.v)), node) AS segment FROM nd""")
+def obvious_inclusions_removed(spark, sf_dir):
+    edges, nodes = _ringed(spark, sf_dir)
+    return trees.obvious_inclusions(edges, nodes)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

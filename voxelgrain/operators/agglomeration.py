@@ -281,6 +281,23 @@ def cut_history(log: DataFrame, nodes: DataFrame, threshold: float | None = None
     return components(nodes.select("node"), kept.select(F.col("left").alias("u"), F.col("right").alias("v"))).select("node", F.col("component").alias("segment"))
 
 
+def joined_by(log: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, weight, left, right): the first merge of a history() after which two fragments are in one segment.
+
+    The merges, as edges between the fragments that name them, are a forest, and what joins a and b is the last of those
+    on the way between them; all pairs are looked up together. Null where a = b or they never meet."""
+    from .trees import heaviest_between
+
+    forest = log.select(F.least("left", "right").alias("u"), F.greatest("left", "right").alias("v"), "weight")
+    out = heaviest_between(pairs.select("a", "b").distinct(), forest, ("weight",))
+    return out.select("a", "b", "best.weight", F.col("best.u").alias("left"), F.col("best.v").alias("right"))
+
+
+def without_merges(log: DataFrame, undone: DataFrame) -> DataFrame:
+    """A history() without the merges (left, right) of a table; cut_history() of it splits what they held together."""
+    return log.join(undone.select("left", "right").distinct(), ["left", "right"], "left_anti").select(log.columns)
+
+
 def vi_history(log: DataFrame, nodes: DataFrame, table: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, under, over) along a history(): split VI of its cuts against a ground truth."""
     from .contingency import vi_by_threshold

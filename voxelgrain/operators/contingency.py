@@ -176,6 +176,30 @@ def precision_recall(scores: DataFrame, score: str, truth: str) -> DataFrame:
     return s.crossJoin(F.broadcast(total)).select("threshold", (F.col("above_p") / F.col("above_n")).alias("precision"), (F.col("above_p") / F.col("all_p")).alias("recall"))
 
 
+def wiggle_room(voxels: DataFrame, score: str, truth: str, margin: int = 2, axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1) -> DataFrame:
+    """(threshold, precision, recall) at each distinct score, with hits up to ``margin`` steps away allowed.
+
+    Precision is the share of voxels at or above the threshold within reach of a true one (truth 1, else 0); recall that
+    of true voxels within reach of one at or above it. Both sides grow by the largest value in reach before the sweep,
+    so no pairs of voxels are made. Recall is null without a true voxel."""
+    from .grid import own, ranked, seen_by
+
+    grown = voxels.select("z", "y", "x", F.col(score).alias("_score"), F.col(truth).alias("_truth"), F.col(score).alias("_s"), F.col(truth).alias("_t"))
+    for _ in range(margin):
+        near = seen_by(grown, ["_score", "_truth", "_s", "_t"], axes, connectivity).groupBy("z", "y", "x")
+        grown = near.agg(own("_score"), own("_truth"), F.max("_s").alias("_s"), F.max("_t").alias("_t"), F.max("here").alias("_is")).where("_is").drop("_is")
+    zero = F.lit(0).cast("long")
+    votes = F.array(
+        F.struct(F.col("_score").alias("threshold"), F.lit(1).cast("long").alias("n"), F.col("_t").cast("long").alias("hit"), zero.alias("found")),
+        F.struct(F.col("_s").alias("threshold"), zero.alias("n"), zero.alias("hit"), F.col("_truth").cast("long").alias("found")),
+    )
+    sums = grown.select(F.explode(votes).alias("w")).groupBy("w.threshold").agg(*[F.sum(f"w.{c}").alias(c) for c in ("n", "hit", "found")])
+    swept = ranked(sums, [F.desc("threshold")], "_rank", above="n", hits="hit", upto="found")
+    whole = voxels.agg(F.sum(F.col(truth)).cast("double").alias("_all"))  # one row
+    share = lambda p, q: F.when(q != 0, p.cast("double") / q.cast("double"))
+    return swept.crossJoin(F.broadcast(whole)).select("threshold", share(F.col("hits"), F.col("above")).alias("precision"), share(F.col("upto"), F.col("_all")).alias("recall"))
+
+
 def pixel_precision_recall(voxels: DataFrame, pred: str, truth: str) -> DataFrame:
     tp = F.sum(F.col(pred) * F.col(truth))
     return voxels.agg((tp / F.sum(pred)).alias("precision"), (tp / F.sum(truth)).alias("recall"))

@@ -138,6 +138,14 @@ def edge_boxes(boundary: DataFrame) -> DataFrame:
     return boundary.groupBy("u", "v").agg(F.count_distinct("idx").alias("voxels"), *ends)
 
 
+def squiggliness(boxes: DataFrame, pad: float = 1.0) -> DataFrame:
+    """(u, v, squiggliness) from edge_boxes(): an edge's voxels to the area of the two longer sides of its box, times
+    (3 - pad), the layers in which a padded or unpadded volume records a flat edge."""
+    sides = [F.col(f"hi_{a}") - F.col(f"lo_{a}") + 1 for a in AXES]
+    area = (sides[0] * sides[1] * sides[2]) / F.least(*sides)
+    return boxes.select("u", "v", (F.col("voxels") / (area * (3.0 - pad))).alias("squiggliness"))
+
+
 def edge_places(boundary: DataFrame) -> DataFrame:
     """(u, v, z, y, x): on each axis the most frequent coordinate of the edge's voxels, of equals the least."""
     out = None
@@ -175,3 +183,30 @@ def contact_features(boundary: DataFrame, voxels: DataFrame, thresholds: tuple[i
     side = lambda k, p: node.select(F.col(label).alias(k), *[F.col(f"s{i}").alias(f"{p}{i}") for i in range(len(thresholds))])
     out = b.join(side("u", "p"), "u").join(side("v", "q"), "v")
     return out.select("u", "v", *[(F.col(f"{c}{i}") + 1).alias(f"{c}{i}") for c in "bpq" for i in range(len(thresholds))])
+
+
+def contact_ratios(features: DataFrame, edge_table: DataFrame, node_table: DataFrame, thresholds: int) -> DataFrame:
+    """(u, v, u_t, u_t_rel, v_t, v_t_rel ...) from contact_features(): the voxels above a threshold on the edge to those
+    in either node, and the same over the ratio of all voxels of edge (u, v, n) and node (node, size)."""
+    side = lambda k: node_table.select(F.col("node").alias(k), F.col("size").alias(f"_{k}"))
+    rows = features.join(edge_table.select("u", "v", "n"), ["u", "v"]).join(side("u"), "u").join(side("v"), "v")
+    out = []
+    for i in range(thresholds):
+        for k, p in (("u", "p"), ("v", "q")):
+            ratio = F.col(f"b{i}") / F.col(f"{p}{i}")
+            out += [ratio.alias(f"{k}{i}"), (ratio / (F.col("n") / F.col(f"_{k}"))).alias(f"{k}{i}_rel")]
+    return rows.select("u", "v", *out)
+
+
+def build_volume(voxels: DataFrame, segments: DataFrame, only: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """(idx, segment): a segmentation (node, segment) back on its voxels; segments that ``only`` (segment) doesn't list,
+    and labels without a segment, are 0."""
+    kept = segments if only is None else segments.join(only.select("segment").distinct(), "segment", "left_semi")
+    painted = voxels.select("idx", F.col(label).alias("node")).join(kept.select("node", "segment"), "node", "left")
+    return painted.select("idx", F.coalesce("segment", F.lit(0)).alias("segment"))
+
+
+def boundary_map(voxels: DataFrame, boundary: DataFrame, weights: DataFrame) -> DataFrame:
+    """(idx, weight): on each voxel the largest weight of the edges (u, v, weight) that it lies on, elsewhere 0."""
+    on = boundary.select("u", "v", "idx").join(weights.select("u", "v", "weight"), ["u", "v"]).groupBy("idx").agg(F.max("weight").alias("weight"))
+    return voxels.select("idx").join(on, "idx", "left").select("idx", F.coalesce("weight", F.lit(0.0)).alias("weight"))

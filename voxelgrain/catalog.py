@@ -439,6 +439,47 @@ def local_changes(spark, sf_dir):
     return _round(_round(e, "local_vi", digits=9), "local_rand", digits=12)
 
 
+@query(EDGES + NODES + """, tt AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM vox), w AS (SELECT u, v, least(1, CAST(e.total AS DOUBLE) / CAST(n AS DOUBLE) / 10000) AS p, CAST(p.size AS DOUBLE) AS a, CAST(q.size AS DOUBLE) AS b, t FROM e JOIN nd p ON p.node = u JOIN nd q ON q.node = v, tt),
+c AS (SELECT u, v, p, -(a / t * log2(a / t) + b / t * log2(b / t) - (a + b) / t * log2((a + b) / t)) AS vi, a * b / (t * (t - 1) / 2) AS rand FROM w)
+SELECT u, v, round(p * 2 * vi - (1 - p) * 0.5 * vi, 8) + 0.0 AS expected_vi, round((p - (1 - p)) * rand, 12) + 0.0 AS expected_rand FROM c""")
+def expected_changes(spark, sf_dir):
+    e = _edges(spark, sf_dir).select("u", "v", F.least(F.lit(1.0), priorities.boundary_mean() / 10000).alias("p"))
+    n = _nodes(spark, sf_dir)
+    vi_change = priorities.expected_change(e, n, "p", "vi", 2.0, 0.5).withColumnRenamed("weight", "expected_vi")
+    out = priorities.expected_change(vi_change, n, "p", "rand").withColumnRenamed("weight", "expected_rand")
+    return _round(_round(out.select("u", "v", "expected_vi", "expected_rand"), "expected_vi", digits=8), "expected_rand", digits=12)
+
+
+@query(EDGES + """, k AS (SELECT u, v, row_number() OVER (ORDER BY n DESC, total, u, v) - 1 AS i, count(*) OVER () AS c FROM e WHERE (u + v) % 3 = 0)
+SELECT e.u, e.v, coalesce(CAST(i AS DOUBLE) / CAST(c AS DOUBLE), CAST('inf' AS DOUBLE)) AS weight FROM e LEFT JOIN k ON k.u = e.u AND k.v = e.v""")
+def ordered_priority(spark, sf_dir):
+    e = grid.written(_edges(spark, sf_dir), "edges")
+    return priorities.ordered(e, e.where("(u + v) % 3 = 0"), [F.desc("n"), "total", "u", "v"])
+
+
+@query(EXACT + """, c AS (SELECT u, v, CASE idx % 3 WHEN 0 THEN cents WHEN 1 THEN cents // 2 ELSE cents % 1000 END AS o, greatest(cents, cents // 2, cents % 1000) AS s FROM bv)
+SELECT u, v, CAST(sum(o) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS oriented_mean, CAST(sum(s) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS strongest_mean FROM c GROUP BY 1, 2""")
+def oriented_boundary_mean(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumns({"half": F.expr("cents div 2"), "rest": F.expr("cents % 1000"), "other": F.lit(0), "angle": F.expr("idx % 3")})
+    v = volumes.oriented(v, ["cents", "half", "other", "rest"], [True, True, False, True], "angle")
+    b = rag.boundary_voxels(v, "exact", keep=("idx", "oriented", "strongest"))
+    mean = lambda c: (F.sum(c).cast("double") / F.count("*")).alias(f"{c}_mean")
+    return b.groupBy("u", "v").agg(mean("oriented"), mean("strongest"))
+
+
+@query(VOX + " SELECT idx, CAST(cents - (SELECT min(cents) FROM vox) AS DOUBLE) / CAST((SELECT max(cents) - min(cents) FROM vox) AS DOUBLE) AS cents FROM vox")
+def scaled_probabilities(spark, sf_dir):
+    return volumes.scaled(events_volume(spark, sf_dir), "cents").select("idx", "cents")
+
+
+@query(EDGES + " SELECT u, v FROM e")
+def real_edges(spark, sf_dir):
+    """The edges of a graph with the outside as a node, without those to the outside."""
+    v = events_volume(spark, sf_dir)
+    edges = _edges(spark, sf_dir).select("u", "v").union(rag.face_labels(v).select(F.lit(0).cast("long"), "node"))
+    return rag.real_edges(edges, spark.range(1).select(F.col("id").alias("node")))
+
+
 # Maps and morphology
 
 

@@ -127,3 +127,26 @@ def mito_merge(edge_table: DataFrame, nodes: DataFrame, frozen_nodes: DataFrame)
     v_ok = F.col("frozen_v") & ~F.col("frozen_u") & (F.col("size_v") <= F.col("size_u"))
     w = F.when(u_ok, 1 - F.col("n") / F.col("length_u")).when(v_ok, 1 - F.col("n") / F.col("length_v")).otherwise(INFINITY)
     return e.select("u", "v", w.alias("weight"))
+
+
+def expected_change(edge_table: DataFrame, nodes: DataFrame, probability: str = "p", measure: str = "vi", alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """edge_table with a weight: the expected change of VI or Rand by a merge, where the column ``probability`` tells that
+    the two should stay apart. alpha weighs a false merge, beta a missed one; nodes has (node, size)."""
+    change = {"vi": local_vi_change, "rand": local_rand_change}[measure]
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").cast("double").alias(f"_{k}"))
+    whole = nodes.agg(F.sum("size").cast("double").alias("_all"))  # one row
+    rows = edge_table.join(side("u"), "u").join(side("v"), "v").crossJoin(F.broadcast(whole))
+    c, p = change(F.col("_u"), F.col("_v"), F.col("_all")), F.col(probability)
+    return rows.withColumn("weight", p * alpha * c - (1 - p) * beta * c).drop("_u", "_v", "_all")
+
+
+def ordered(edge_table: DataFrame, listed: DataFrame, order: list) -> DataFrame:
+    """(u, v, weight): the place of an edge in a list (u, v in either order, and columns to order by) from 0 up to but not
+    1, infinity where it isn't listed. An edge listed more than once counts at its last place."""
+    from .grid import ranked
+
+    placed = ranked(listed, order, "_place")
+    whole = listed.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    at = placed.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("_place").alias("_place"))
+    at = at.crossJoin(F.broadcast(whole)).select("u", "v", ((F.col("_place") - 1) / F.col("_all")).alias("_w"))
+    return edge_table.select("u", "v").join(at, ["u", "v"], "left").select("u", "v", F.coalesce("_w", F.lit(INFINITY)).alias("weight"))

@@ -210,3 +210,11 @@ def boundary_map(voxels: DataFrame, boundary: DataFrame, weights: DataFrame) ->
     """(idx, weight): on each voxel the largest weight of the edges (u, v, weight) that it lies on, elsewhere 0."""
     on = boundary.select("u", "v", "idx").join(weights.select("u", "v", "weight"), ["u", "v"]).groupBy("idx").agg(F.max("weight").alias("weight"))
     return voxels.select("idx").join(on, "idx", "left").select("idx", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def real_edges(edge_table: DataFrame, outside: DataFrame) -> DataFrame:
+    """The edges within the volume: neither end is a node of ``outside`` (node), which stands for all beyond it."""
+    out = edge_table
+    for k in "uv":
+        out = out.join(outside.select(F.col("node").alias(k)), k, "left_anti")
+    return out.select(edge_table.columns)

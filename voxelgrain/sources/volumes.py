@@ -72,6 +72,23 @@ def crop(voxels: DataFrame, bounds: dict[str, tuple[int | None, int | None]]) ->
     return voxels
 
 
+def oriented(voxels: DataFrame, channels: Sequence[str], is_oriented: Sequence[bool], orientation: str) -> DataFrame:
+    """voxels with ``oriented``, the value of that oriented channel whose number (from 0) the column orientation holds,
+    and ``strongest``, the largest of the oriented channels. A number without a channel gives null."""
+    kept = [F.col(c) for c, o in zip(channels, is_oriented, strict=True) if o]
+    if not kept:
+        raise ValueError("no channel is oriented")
+    picked = F.coalesce(*[F.when(F.col(orientation).cast("int") == i, c) for i, c in enumerate(kept)])
+    return voxels.withColumns({"oriented": picked, "strongest": F.greatest(*kept) if len(kept) > 1 else kept[0]})
+
+
+def scaled(voxels: DataFrame, column: str) -> DataFrame:
+    """voxels with the column as a double from 0 to 1 over the whole volume; 0 where all values are equal."""
+    ends = voxels.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))  # one row
+    width = F.col("_hi") - F.col("_lo")
+    return voxels.crossJoin(F.broadcast(ends)).withColumn(column, F.when(width > 0, (F.col(column) - F.col("_lo")) / width).otherwise(0.0)).drop("_lo", "_hi")
+
+
 def write_volume(voxels: DataFrame, path: str, planes: int = 64, compression: str = "zstd") -> None:
     """A Parquet volume in slabs of so many planes, sorted so that crops skip row groups."""
     slab = F.floor(F.col("z") / planes).cast("int")

@@ -166,3 +166,12 @@ def test_first_common_merge_and_undoing_one(spark):
     cut = {x.node: x.segment for x in agglomeration.cut_history(fewer, nodes).collect()}
     whole = {x.node: x.segment for x in agglomeration.cut_history(log, nodes).collect()}
     assert cut[a] != cut[b] and whole[a] == whole[b] and fewer.count() == len(merges) - 1
+    apart = [(x, y) for x, y in itertools.combinations(range(25), 2) if (x * y) % 11 == 3]
+    cut = {x.node: x.segment for x in agglomeration.separate(log, nodes, spark.createDataFrame([*apart, (4, 4)], "a long, b long")).collect()}
+    gone = {expected[p] for p in apart if p in expected}
+    part = {i: {i} for i in range(25)}
+    for m in merges:
+        if m not in gone:
+            for x in (both := part[m[1]] | part[m[2]]):
+                part[x] = both
+    assert gone and cut == {i: min(p) for i, p in part.items()} and all(cut[x] != cut[y] for x, y in apart)

@@ -917,6 +917,16 @@ def lowest_common_merges(spark, sf_dir):
     return agglomeration.joined_by(log, pairs)
 
 
+@query()
+def separated_fragments(spark, sf_dir):
+    """Segments of the history under 3000 after fragments side by side that belong to different bodies are set apart."""
+    nodes, edges = _nodes(spark, sf_dir).select("node"), grid.written(_edges(spark, sf_dir), "edges")
+    best = grid.written(contingency.assignment(_table(spark, sf_dir)), "assignment")
+    side = lambda k: best.select(F.col("s").alias(k), F.col("g").alias(f"g{k}"))
+    wrong = edges.join(side("u"), "u").join(side("v"), "v").where("gu <> gv").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    return agglomeration.separate(agglomeration.history(edges, nodes, 3000.0), nodes, wrong)
+
+
 _RINGED = "WITH RECURSIVE " + FOOT.replace("(event_id // 100 // 5) * 20 + (event_id % 100) // 5 + 1 AS label", """(event_id // 1000 * 10 + event_id % 100 // 10) * 8 +
   CASE WHEN least(event_id // 100 % 10, 9 - event_id // 100 % 10, event_id % 10, 9 - event_id % 10) = 2 AND event_id % 10 >= 5 THEN 6 ELSE least(event_id // 100 % 10, 9 - event_id // 100 % 10, event_id % 10, 9 - event_id % 10) + 1 END AS label""") + """,
 e0 AS (SELECT DISTINCT least(label, o) AS u, greatest(label, o) AS v FROM near WHERE label <> o UNION SELECT DISTINCT 0, label FROM vox, (SELECT max(y) AS b, max(x) AS d FROM vox) WHERE y IN (0, b) OR x IN (0, d)),

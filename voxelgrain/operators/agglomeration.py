@@ -298,6 +298,16 @@ def without_merges(log: DataFrame, undone: DataFrame) -> DataFrame:
     return log.join(undone.select("left", "right").distinct(), ["left", "right"], "left_anti").select(log.columns)
 
 
+def separate(log: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, segment) after a history() without the merge that first brought each pair (a, b) together.
+
+    Each pair is apart afterwards, since merges are the edges of a forest: without one on the way no other way is left.
+    Pairs that share that merge undo it once; pairs of one fragment, or never joined, undo nothing."""
+    log = written(log, "log")
+    undone = joined_by(log, pairs).where("left IS NOT NULL").select("left", "right")
+    return cut_history(without_merges(log, undone), nodes)
+
+
 def vi_history(log: DataFrame, nodes: DataFrame, table: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, under, over) along a history(): split VI of its cuts against a ground truth."""
     from .contingency import vi_by_threshold

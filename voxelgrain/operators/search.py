@@ -86,13 +86,20 @@ def basins(voxels: DataFrame, value: str = "cents", axes: tuple[str, ...] = ("y"
     floor = level.where("_exit IS NULL")
     lows = _plateaus(floor, axes, connectivity)
     ways = near.where("to IS NOT NULL").select("idx", "to").union(level.where("_exit IS NOT NULL").select("idx", F.col("_exit").alias("to"))).union(lows)
-    ways = written(ways, "ways")
+    return followed(ways).select("idx", F.col("to").alias("basin"))
+
+
+def followed(ways: DataFrame) -> DataFrame:
+    """(idx, to): where each way (idx, to) ends, on an idx that goes to itself. Every ``to`` is an idx too.
+
+    Ways are followed by doubling, so their number of steps costs its logarithm in rounds."""
+    ways = written(ways.select("idx", "to"), "ways")
     while True:
         beyond = ways.select(F.col("idx").alias("to"), F.col("to").alias("_to"))
         step = written(ways.join(beyond, "to").select("idx", F.col("_to").alias("to"), (F.col("_to") != F.col("to")).alias("moved")), "ways")
         ways = step.select("idx", "to")
         if not step.where("moved").limit(1).count():
-            return ways.select("idx", F.col("to").alias("basin"))
+            return ways
 
 
 def _plateaus(cells: DataFrame, axes: tuple[str, ...], connectivity: int) -> DataFrame:

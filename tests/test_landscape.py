@@ -151,7 +151,7 @@ def test_regional_minima(spark):
                     queue.append(r)
         low = any(a[r] < a[p] for q in seen for r in near(q, a.shape))
         expected[p[0] * 10 + p[1]] = None if low else min(q[0] * 10 + q[1] for q in seen)
-    out = landscape.regional_minima(from_arrays(spark, cents=a)).collect()
+    out = landscape.regional_minima(from_arrays(spark, height=a), "height").collect()  # a name of its own tables
     assert {r.idx: r.minimum for r in out} == expected
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .operators import agglomeration, contingency, features, grid, kernels, learning, orientation, priorities, rag, search, trees
+from .operators import agglomeration, contingency, features, grid, kernels, landscape, learning, orientation, priorities, rag, search, trees
 from .plans import segmentation
 from .sources import volumes
 from .sources.volumes import events_cube, events_line, events_volume
@@ -899,6 +899,74 @@ def basins(spark, sf_dir):
     return search.basins(events_volume(spark, sf_dir).withColumn("level", F.expr("cents div 500")), "level")
 
 
+# Floods and minima, on the intensity in steps of 20.00
+
+
+#: lv has the volume's voxels with a height and a marker; sunk the least height by which markers, let down, reach each.
+_LAND = "WITH RECURSIVE " + VOX + """, lv AS (SELECT idx, y, x, least(cents // 2000, 7) AS h, {marker} AS m FROM vox), t(t) AS (SELECT range FROM range(20)), d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+r(t, y, x) AS (SELECT t, y, x FROM lv, t WHERE m <= t AND h <= t UNION SELECT s.t, lv.y, lv.x FROM (SELECT t, y + dy AS yy, x + dx AS xx FROM r, d) s JOIN lv ON lv.y = s.yy AND lv.x = s.xx AND lv.h <= s.t),
+sunk AS (SELECT y, x, min(t) AS value FROM r GROUP BY 1, 2)"""
+
+
+def _land(spark, sf_dir):
+    return events_volume(spark, sf_dir).withColumn("height", F.expr("least(cents div 2000, 7L)"))
+
+
+@query(_LAND.format(marker="idx % 11 + 2") + " SELECT idx, CAST(value AS BIGINT) AS value FROM lv LEFT JOIN sunk USING (y, x)")
+def reconstructed(spark, sf_dir):
+    return landscape.reconstruct_down(_land(spark, sf_dir).withColumn("marker", F.expr("idx % 11 + 2")), "marker", "height")
+
+
+@query(_LAND.format(marker="least(cents // 2000, 7) + 2") + " SELECT idx, CAST(value AS BIGINT) AS value FROM lv LEFT JOIN sunk USING (y, x)")
+def hminima(spark, sf_dir):
+    return landscape.hminima(_land(spark, sf_dir), "height", 2)
+
+
+@query(_LAND.format(marker="CASE WHEN idx % 997 = 5 THEN least(cents // 2000, 7) END") + " SELECT idx, CAST(coalesce(value, (SELECT max(h) FROM lv)) AS BIGINT) AS value FROM lv LEFT JOIN sunk USING (y, x)")
+def imposed_minima(spark, sf_dir):
+    return landscape.impose_minima(_land(spark, sf_dir), "height", F.expr("idx % 997 = 5"))
+
+
+@query(_LAND.format(marker="NULL::BIGINT").split(", t(t)")[0] + """, d(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)), near AS (SELECT a.idx, a.h, b.idx AS o, b.h AS oh FROM (SELECT lv.*, y + dy AS yy, x + dx AS xx FROM lv, d) a JOIN lv b ON b.y = a.yy AND b.x = a.xx),
+dry(idx) AS (SELECT idx FROM near WHERE oh < h UNION SELECT n.o FROM dry JOIN near n ON n.idx = dry.idx WHERE n.h = n.oh), part(a, b) AS (SELECT idx, idx FROM lv WHERE idx NOT IN (SELECT idx FROM dry) UNION SELECT p.a, n.o FROM part p JOIN near n ON n.idx = p.b WHERE n.h = n.oh)
+SELECT idx, m.b AS minimum FROM lv LEFT JOIN (SELECT a, min(b) AS b FROM part GROUP BY 1) m ON m.a = idx""")
+def regional_minima(spark, sf_dir):
+    return landscape.regional_minima(_land(spark, sf_dir), "height")
+
+
+@query(_LAND.format(marker="CASE WHEN idx % 997 = 5 THEN least(cents // 2000, 7) END") + " SELECT idx, CAST(value AS BIGINT) AS height FROM lv LEFT JOIN sunk USING (y, x)")
+def flood_heights(spark, sf_dir):
+    """How high the water stands where a flood from every 997th voxel first reaches a voxel."""
+    v = _land(spark, sf_dir)
+    return landscape.flood(v, v.where("idx % 997 = 5").select("idx", F.col("idx").alias("label")), "height").select("idx", "height")
+
+
+@query()
+def flooded(spark, sf_dir):
+    """A watershed of the whole volume from its regional minima of full intensity."""
+    v = events_volume(spark, sf_dir)
+    seeds = grid.written(landscape.regional_minima(v).where("minimum IS NOT NULL").select("idx", F.col("minimum").alias("label")), "seeds")
+    return landscape.flood(v, seeds).select("idx", "label")
+
+
+_SEEDS = VOX + """, k AS (SELECT idx, y, x, CASE WHEN y % 9 < 2 AND x % 13 < 3 THEN label ELSE 0 END AS seed FROM vox), p AS (SELECT * FROM k WHERE idx % 17 = 3), d(dy, dx) AS (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)),
+b AS (SELECT p.idx, max(k.seed) AS s FROM (SELECT p.*, y + dy AS yy, x + dx AS xx FROM p, d) p JOIN k ON k.y = p.yy AND k.x = p.xx GROUP BY 1), gone AS (SELECT s FROM b WHERE s <> 0 GROUP BY 1 HAVING count(*) > 1),
+kept AS (SELECT idx, CASE WHEN seed IN (SELECT s FROM gone) THEN 0 ELSE seed END AS seed FROM k), n AS (SELECT idx, row_number() OVER (ORDER BY idx) AS r FROM b WHERE s = 0)"""
+
+
+@query(_SEEDS + " SELECT idx, CAST(coalesce(r + (SELECT max(seed) FROM kept), seed) AS BIGINT) AS seed FROM kept LEFT JOIN n USING (idx)")
+def minimum_seeds(spark, sf_dir):
+    v = events_volume(spark, sf_dir).withColumn("seed", F.expr("IF(y % 9 < 2 AND x % 13 < 3, label, 0L)"))
+    return landscape.minimum_seeds(v, v.where("idx % 17 = 3"))
+
+
+@query()
+def exclusions_split(spark, sf_dir):
+    """Fragments with voxels of two bright spots, flooded anew from the spots."""
+    v = events_volume(spark, sf_dir).withColumn("exclusion", F.expr("IF(cents > 20000, gt, 0L)"))
+    return landscape.split_exclusions(v)
+
+
 # Trees and inclusions
 
 

@@ -129,12 +129,12 @@ def impose_minima(voxels: DataFrame, value: str, minima: Column, **grid) -> Data
 
 def regional_minima(voxels: DataFrame, value: str = "cents", axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1) -> DataFrame:
     """(idx, minimum): the least idx of a voxel's plateau where no voxel next to the plateau is lower, null elsewhere."""
-    cells = written(voxels.where(F.col(value).isNotNull()).select("idx", value), "cells")
+    cells = written(voxels.where(F.col(value).isNotNull()).select("idx", F.col(value).alias("_v")), "cells")
     edges = written(voxel_edges(voxels, value, axes, connectivity), "edges")
     plateaus = components(cells.select(F.col("idx").alias("node")), edges.where("height = low").select("u", "v"))
     plateaus = written(plateaus.join(cells.withColumnRenamed("idx", "node"), "node"), "plateaus")
     higher = edges.where("height > low").select(F.explode(F.array("u", "v")).alias("node"), "height")
-    drained = plateaus.join(higher, "node").where(F.col(value) == F.col("height")).select("component", F.lit(True).alias("_drained")).distinct()
+    drained = plateaus.join(higher, "node").where("_v = height").select("component", F.lit(True).alias("_drained")).distinct()
     return plateaus.join(drained, "component", "left").select(F.col("node").alias("idx"), F.when(F.col("_drained").isNull(), F.col("component")).alias("minimum"))
 
 

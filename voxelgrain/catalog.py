@@ -557,8 +557,7 @@ SELECT r.z, old, CAST(k + o AS BIGINT) AS new FROM r JOIN o USING (z)""")
 def serial_section_map(spark, sf_dir):
     planes = events_volume(spark, sf_dir).select(F.col("y").cast("long").alias("z"), F.col("gt").alias("old")).distinct()
     r = planes.withColumn("k", F.row_number().over(W.Window.partitionBy("z").orderBy("old")))
-    before = W.Window.orderBy("z").rowsBetween(W.Window.unboundedPreceding, -1)
-    o = r.groupBy("z").agg(F.max("k").alias("top")).select("z", F.coalesce(F.sum("top").over(before), F.lit(0)).alias("o"))
+    o = grid.ranked(r.groupBy("z").agg(F.max("k").alias("top")), ["z"], "plane", upto="top").select("z", (F.col("upto") - F.col("top")).alias("o"))
     return r.join(o, "z").select("z", "old", (F.col("k") + F.col("o")).cast("long").alias("new"))
 
 
@@ -967,6 +966,14 @@ def exclusions_split(spark, sf_dir):
     return landscape.split_exclusions(v)
 
 
+@query()
+def manually_split(spark, sf_dir):
+    """The body of the first voxel, cut in two by seeds in its corners."""
+    v = events_volume(spark, sf_dir)
+    seeds = v.where("idx IN (0, 606)").select("idx", (F.col("idx") + 1000000).alias("label"))
+    return landscape.manual_split(v, 1, seeds, label="gt").withColumnRenamed("gt", "body")
+
+
 # Trees and inclusions
 
 

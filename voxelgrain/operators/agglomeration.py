@@ -68,7 +68,7 @@ def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | N
     a part only. This keeps the exact order and takes exclusions; rounds() and history() need no task for a part."""
     low = edge_table.where(F.col("total") / F.col("n") < threshold)
     nodes = low.select(F.col("u").alias("node")).union(low.select("v")).distinct()
-    part = components(nodes, low.select("u", "v"))
+    part = components(nodes, low.select("u", "v"), within=True)
     side = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     inner = edge_table.join(side("u"), "u").join(side("v"), "v").where("cu = cv").select(F.col("cu").alias("component"), "u", "v", "n", F.col("total").cast("double").alias("total"))
 
@@ -144,7 +144,7 @@ def finish_parts(live: DataFrame, threshold: float, most_edges: int) -> tuple[Da
     """Replays every connected part under the threshold that has at most so many edges, each in a task of its own:
     (the merges, (old, new) names, whether no larger part is left)."""
     low = written(live.where(F.col("total") / F.col("n") < threshold).select("u", "v"), "low")
-    part = components(low.select(F.col("u").alias("node")).union(low.select("v")).distinct(), low)
+    part = components(low.select(F.col("u").alias("node")).union(low.select("v")).distinct(), low, within=True)
     side = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     inner = written(live.join(side("u"), "u").join(side("v"), "v").where("cu = cv").drop("cv"), "inner")
     sizes = written(inner.groupBy("cu").agg(F.count(F.lit(1)).alias("c")), "sizes")

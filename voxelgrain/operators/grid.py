@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,22 +139,99 @@ def ranked(rows: DataFrame, order: list, name: str, **sums) -> DataFrame:
     return out.select(*columns, *counted)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the least node that links lead to, for every row of nodes.
-
-    Rounds of two steps: each end takes the least label next to it, then the label of its label, so paths halve. They
-    go on until no label changes."""
-    both = written(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct(), "links")
-    labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
+#: Rows of which a task works out what hangs together at once, in some 100 bytes for each.
+CHUNK = 1_000_000
+
+
+def chunked(rows: DataFrame, by: str, run, columns: list[str], chunk: int = CHUNK) -> DataFrame:
+    """run() over arrays of the two long columns of rows, dealt by ranges of one of them, at most about ``chunk`` rows at a time."""
+
+    def each(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield done(held)
+                held, n = [], 0
+        if n:
+            yield done(held)
+
+    def done(held):
+        out = run(*[np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for batch in held]) for i in (0, 1)])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=columns)
+
+    kinds = [f"{c} {'boolean' if c == 'ends' else 'long'}" for c in columns]
+    return rows.repartitionByRange(by).mapInArrow(each, ", ".join(kinds))
+
+
+def least_joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, and for each the least node that these links lead to."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top != (beyond := top[top])).any():
+            top = beyond
+        a, b = top[a], top[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return ids, ids[top]
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a link, by large and small stars: rounds that grow with the logarithm of the longest way."""
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    state = lambda e: e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+    mark = state(edges)
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels.node == near.u, "left").select("node", "component", F.least("component", "least").alias("next"))
-        jump = step.select(F.col("node").alias("k"), F.col("next").alias("beyond"))
-        step = written(step.join(jump, F.col("next") == F.col("k")).select("node", "component", F.least("next", "beyond").alias("next")), "labels")
-        changed = step.where("next <> component").limit(1).count()
-        labels = step.select("node", F.col("next").alias("component"))
-        if not changed:
-            return labels
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        tied = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(tied.union(least.select("u", "m")).where("u <> v").distinct(), "links")
+        now = state(edges)
+        if now == mark:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        mark = now
+
+
+def components(nodes: DataFrame, links: DataFrame, within: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(node, component): the least node that links lead to, for every row of nodes; nodes are whole numbers.
+
+    Links are dealt by ranges of their nodes. Each task ties its own to the least node they lead to, a chunk at a time;
+    only nodes that meet several of those link them, and go on to the next round. So where neighbours have near numbers,
+    as on a grid, little but the borders of ranges goes on. Where that halves nothing any more, rounds of stars finish.
+    With ``within``, both ends of all links are known to be nodes; otherwise links to others don't count."""
+    kind = nodes.schema["node"].dataType
+    if not within:
+        for k in "uv":
+            links = links.join(nodes.select(F.col("node").alias(k)).distinct(), k, "left_semi")
+    rest = written(links.where("u <> v").select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v")), "links")
+    levels, many = [], None
+    found = None
+    while now := rest.count():
+        if many is not None and 2 * now > many:
+            found = _starred(rest)
+            break
+        many = now
+        tops = chunked(rest, "u", least_joined, ["node", "top"], chunk).groupBy("node")
+        some = F.when(F.min("top") < F.max("top"), F.collect_set("top")).alias("tops")  # at most one from each chunk
+        level = written(tops.agg(F.min("top").alias("component"), some), "level")
+        levels.append(level.select("node", "component"))
+        rest = level.where("tops IS NOT NULL").select(F.col("component").alias("u"), F.explode("tops").alias("v")).where("u <> v")
+        rest = written(rest.distinct(), "links")
+    for level in reversed(levels):
+        if found is not None:
+            later = found.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            level = level.join(later, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        found = level
+    if found is None:
+        return written(nodes.select("node", F.col("node").alias("component")), "labels")
+    out = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("component"))
+    return written(out, "labels")
 
 
 def connected(voxels: DataFrame, column: str, axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1) -> DataFrame:
@@ -164,5 +243,5 @@ def connected(voxels: DataFrame, column: str, axes: tuple[str, ...] = ("y", "x")
             shifted = solid.select(*[(F.col(a) + d).alias(a) for a, d in zip(AXES, s, strict=True)], F.col("idx").alias("u"), F.col(column).alias("_v"))
             p = shifted.join(solid.select(*AXES, F.col("idx").alias("v"), F.col(column).alias("_w")), list(AXES)).where("_v = _w").select("u", "v")
             pairs = p if pairs is None else pairs.union(p)
-    out = components(solid.select(F.col("idx").alias("node")), pairs)
+    out = components(solid.select(F.col("idx").alias("node")), pairs, within=True)
     return out.select(F.col("node").alias("idx"), "component")

@@ -131,7 +131,7 @@ def regional_minima(voxels: DataFrame, value: str = "cents", axes: tuple[str, ..
     """(idx, minimum): the least idx of a voxel's plateau where no voxel next to the plateau is lower, null elsewhere."""
     cells = written(voxels.where(F.col(value).isNotNull()).select("idx", F.col(value).alias("_v")), "cells")
     edges = written(voxel_edges(voxels, value, axes, connectivity), "edges")
-    plateaus = components(cells.select(F.col("idx").alias("node")), edges.where("height = low").select("u", "v"))
+    plateaus = components(cells.select(F.col("idx").alias("node")), edges.where("height = low").select("u", "v"), within=True)
     plateaus = written(plateaus.join(cells.withColumnRenamed("idx", "node"), "node"), "plateaus")
     higher = edges.where("height > low").select(F.explode(F.array("u", "v")).alias("node"), "height")
     drained = plateaus.join(higher, "node").where("_v = height").select("component", F.lit(True).alias("_drained")).distinct()
@@ -170,7 +170,7 @@ def split_exclusions(voxels: DataFrame, value: str = "cents", label: str = "labe
     inside = written(cells.join(split, "_l", "left_semi"), "inside")
     marked = inside.where("_e <> 0")
     links = voxel_edges(marked, "_v", axes, connectivity, ("_l", "_e")).select("u", "v")
-    starts = components(marked.select(F.col("idx").alias("node")), links).select(F.col("node").alias("idx"), F.col("component").alias("label"))
+    starts = components(marked.select(F.col("idx").alias("node")), links, within=True).select(F.col("node").alias("idx"), F.col("component").alias("label"))
     top = cells.agg(F.max("_l").cast("long").alias("_top"))  # one row
     got = flood(inside, starts, "_v", ("_l",), axes=axes, connectivity=connectivity).select("idx", F.col("label").alias("_new"))
     out = cells.join(got, "idx", "left").crossJoin(F.broadcast(top))

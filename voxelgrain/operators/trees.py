@@ -30,7 +30,7 @@ def spanning_forest(edge_table: DataFrame, order: tuple[str, ...] = ()) -> DataF
         ends = live.select(F.explode(F.array("a", "b")).alias("part"), F.struct("e", "a", "b").alias("m"))
         chosen = written(ends.groupBy("part").agg(F.min("m").alias("m")).select("m.*").distinct(), "chosen")
         taken = taken.union(chosen.select("e.*"))
-        parts = components(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), chosen.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        parts = components(chosen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), chosen.select(F.col("a").alias("u"), F.col("b").alias("v")), within=True)
         side = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))  # noqa: E731, B023
         moved = live.join(side("a"), "a").join(side("b"), "b").where("_a <> _b")
         live = written(moved.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "live")
@@ -46,7 +46,7 @@ def rooted(forest: DataFrame) -> DataFrame:
     both = forest.select(F.col("u").alias("a"), F.col("v").alias("b")).union(forest.select("v", "u"))
     darts = written(ranked(both, ["a", "b"], "at"), "darts")
     span = darts.groupBy("a").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    part = components(span.select(F.col("a").alias("node")), forest)
+    part = components(span.select(F.col("a").alias("node")), forest, within=True)
     twin = darts.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("at").alias("back"))
     turn = darts.join(twin, ["a", "b"]).join(span.withColumnRenamed("a", "b"), "b")
     turn = turn.select("at", F.when(F.col("back") < F.col("hi"), F.col("back") + 1).otherwise(F.col("lo")).alias("to"))
@@ -133,7 +133,7 @@ def blocks(edge_table: DataFrame) -> DataFrame:
     over = tree.where("parent IS NOT NULL").select(F.col("node").alias("parent"), F.col("first").alias("p_first"), F.col("last").alias("p_last"))
     leaving = tree.select("node", "parent").join(over, "parent").join(reach, "node").where("lo < p_first OR hi >= p_last").select(F.col("parent").alias("u"), F.col("node").alias("v"))
     apart = ~((F.col("u_first") <= F.col("v_first")) & (F.col("v_first") < F.col("u_last"))) & ~((F.col("v_first") <= F.col("u_first")) & (F.col("u_first") < F.col("v_last")))
-    part = components(tree.where("parent IS NOT NULL").select("node"), leaving.union(rest.where(apart).select("u", "v")))
+    part = components(tree.where("parent IS NOT NULL").select("node"), leaving.union(rest.where(apart).select("u", "v")), within=True)
     lower = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", F.when(F.col("u_first") < F.col("v_first"), F.col("v")).otherwise(F.col("u")).alias("node"))
     return lower.join(part, "node").select("u", "v", F.col("component").alias("block"))
 

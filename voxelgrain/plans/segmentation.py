@@ -42,7 +42,8 @@ def adjacent_blocks(blocks: DataFrame) -> DataFrame:
     """(a, b, axis): blocks (block, lo, hi arrays, hi included) that touch: next to each other on one axis, overlapping on the others.
 
     An equi-join on the touching faces and, on the other two axes, on cells as wide as the widest block: blocks that
-    overlap start in the same cell or in neighbouring ones."""
+    overlap start in the same cell or in neighbouring ones. Both sides are all the blocks, so both are shuffled: none is
+    broadcast by way of the driver, however small a few narrow columns look in a plan."""
     lo, hi = [f"lo{i}" for i in range(3)], [f"hi{i}" for i in range(3)]
     flat = blocks.select("block", *[F.element_at("lo", i + 1).alias(lo[i]) for i in range(3)], *[F.element_at("hi", i + 1).alias(hi[i]) for i in range(3)])
     wide = flat.agg(*[F.max(F.col(hi[i]) - F.col(lo[i]) + 1) for i in range(3)]).first()
@@ -53,7 +54,7 @@ def adjacent_blocks(blocks: DataFrame) -> DataFrame:
         around = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
         a = flat.withColumn("s", around).select(F.col("block").alias("a"), (F.col(hi[axis]) + 1).alias("touch"), (cell[i] + F.col("s.p")).alias("ci"), (cell[j] + F.col("s.q")).alias("cj"), *[F.col(c).alias(f"a_{c}") for c in lo + hi])
         b = flat.select(F.col("block").alias("b"), F.col(lo[axis]).alias("touch"), cell[i].alias("ci"), cell[j].alias("cj"), *[F.col(c).alias(f"b_{c}") for c in lo + hi])
-        pairs = a.join(b, ["touch", "ci", "cj"])
+        pairs = a.join(b.hint("merge"), ["touch", "ci", "cj"])
         for k in (i, j):
             pairs = pairs.where((F.col(f"a_hi{k}") >= F.col(f"b_lo{k}")) & (F.col(f"b_hi{k}") >= F.col(f"a_lo{k}")))
         pairs = pairs.select("a", "b", F.lit(axis).alias("axis"))
@@ -87,4 +88,4 @@ def near_points(points: DataFrame, distance: float) -> DataFrame:
     later = points.withColumns({f"k{a}": c for a, c in zip(AXES, cell, strict=True)}).withColumn("s", shift)
     later = later.select("region", "id", *AXES, *[(F.col(f"k{a}") + F.col(f"s.d{a}")).alias(f"c{a}") for a in AXES])
     far = sum((F.col(a) - F.col(f"p{a}")) ** 2 for a in AXES)
-    return later.join(first, [f"c{a}" for a in AXES]).where((F.col("r0") < F.col("region")) & (far <= distance**2)).select("region", "id").distinct()
+    return later.join(first.hint("merge"), [f"c{a}" for a in AXES]).where((F.col("r0") < F.col("region")) & (far <= distance**2)).select("region", "id").distinct()

@@ -8,9 +8,12 @@ fragments between which an edge runs, so in whatever order merges are made they
 from __future__ import annotations
 
 import heapq
+import itertools
+import operator
 from collections.abc import Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,30 @@ def replay(rows: Iterable[tuple[int, int, int, float]], threshold: float, most:
     return log
 
 
+def by_part(rows: DataFrame, key: str, run, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """run(part, rows) for the rows, as tuples without the key, of each part; a list of tuples comes back.
+
+    Parts are dealt to tasks by hash and lie one after the other there, so thousands of small ones cost no call of their own."""
+    dealt = rows.select(key, *[c for c in rows.columns if c != key]).repartition(key).sortWithinPartitions(key, *order)
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [c.split() for c in schema.split(", ")]
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+    def each(batches):
+        flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out = []
+        for part, group in itertools.groupby(flat, key=operator.itemgetter(0)):
+            out += run(part, [row[1:] for row in group])
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return dealt.mapInArrow(each, schema)
+
+
 def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | None = None) -> DataFrame:
     """The merges with weight < threshold: (component, step, left, right, parent, weight).
 
@@ -72,14 +99,8 @@ def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | N
     side = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
     inner = edge_table.join(side("u"), "u").join(side("v"), "v").where("cu = cv").select(F.col("cu").alias("component"), "u", "v", "n", F.col("total").cast("double").alias("total"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        log = replay(zip(pdf.u.tolist(), pdf.v.tolist(), pdf.n.tolist(), pdf.total.tolist(), strict=True), threshold)
-        out = pd.DataFrame(log, columns=["step", "left", "right", "parent", "weight"])
-        out.insert(0, "component", int(pdf.component.iloc[0]))
-        return out
-
     if excluded is None:
-        return inner.groupBy("component").applyInPandas(run, LOG)
+        return by_part(inner, "component", lambda part, rows: [(part, *merge) for merge in replay(rows, threshold)], LOG)
     sets = excluded.join(part, "node").select("component", "node", F.explode(F.col("exclusions").cast("array<bigint>")).alias("e"))
 
     def run_with(pdf: pd.DataFrame, ex: pd.DataFrame) -> pd.DataFrame:
@@ -96,6 +117,13 @@ def agglomerate(edge_table: DataFrame, threshold: float, excluded: DataFrame | N
     return inner.groupBy("component").cogroup(sets.groupBy("component")).applyInPandas(run_with, LOG)
 
 
+def _together(x: list[int], y: list[int]) -> list[int]:
+    """Both lists in the longer one."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    x += y
+    return x
+
+
 def segments(log: DataFrame, nodes: DataFrame, threshold: float = float("inf")) -> DataFrame:
     """(node, segment): each fragment's segment after the merges under the threshold, named by its least fragment.
 
@@ -103,13 +131,13 @@ def segments(log: DataFrame, nodes: DataFrame, threshold: float = float("inf"))
     key = lambda c: F.struct("component", F.col(c).alias("id"))
     kept = log.where(F.col("weight") < threshold)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(part, rows):
         least: dict[int, list[int]] = {}
-        for a, b, p in pdf.sort_values("step")[["left", "right", "parent"]].itertuples(index=False):
-            least[p] = least.pop(a, [a]) + least.pop(b, [b])
-        return pd.DataFrame([(n, min(ns)) for ns in least.values() for n in ns], columns=["node", "segment"])
+        for _, a, b, p in rows:
+            least[p] = _together(least.pop(a, [a]), least.pop(b, [b]))
+        return [(n, min(ns)) for ns in least.values() for n in ns]
 
-    merged = kept.groupBy("component").applyInPandas(run, "node long, segment long")
+    merged = by_part(kept.select("component", "step", "left", "right", "parent"), "component", run, "node long, segment long", ("step",))
     return nodes.select("node").join(merged, "node", "left").select("node", F.coalesce("segment", "node").alias("segment"))
 
 
@@ -150,18 +178,17 @@ def finish_parts(live: DataFrame, threshold: float, most_edges: int) -> tuple[Da
     sizes = written(inner.groupBy("cu").agg(F.count(F.lit(1)).alias("c")), "sizes")
     small = inner.join(sizes.where(F.col("c") <= most_edges).select("cu"), "cu")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(*(pdf[c].tolist() for c in ("u", "v", "n", "total", "tu", "tv")), strict=True)
-        members: dict[int, list[int]] = {}
+    def run(part, rows):
+        members: dict[int, tuple[int, list[int]]] = {}
         out = []
         for _, a, b, p, w in replay(rows, threshold):
-            x, y = members.pop(a, [a]), members.pop(b, [b])
-            out.append((min(x[0], y[0]), max(x[0], y[0]), w, True))
-            members[p] = x + y if x[0] < y[0] else y + x  # the least comes first
-        out += [(k, ms[0], 0.0, False) for ms in members.values() for k in ms[1:]]
-        return pd.DataFrame(out, columns=["a", "b", "w", "merge"])
+            (x, xs), (y, ys) = members.pop(a, (a, [a])), members.pop(b, (b, [b]))
+            out.append((min(x, y), max(x, y), w, True))
+            members[p] = min(x, y), _together(xs, ys)
+        return out + [(k, least, 0.0, False) for least, ms in members.values() for k in ms if k != least]
 
-    out = written(small.groupBy("cu").applyInPandas(run, "a long, b long, w double, merge boolean"), "replayed")
+    rows = small.select("cu", "u", "v", "n", "total", "tu", "tv")
+    out = written(by_part(rows, "cu", run, "a long, b long, w double, merge boolean"), "replayed")
     merges = out.where("merge").select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("w").alias("weight"))
     return merges, out.where("not merge").select(F.col("a").alias("old"), F.col("b").alias("new")), not sizes.where(F.col("c") > most_edges).limit(1).count()
 

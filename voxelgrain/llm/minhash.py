@@ -90,12 +90,8 @@ def sketches(docs: DataFrame, words: int, size: int, rows: int, id_col: str = "d
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, hi long, lo long, bands array<long>, sig binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, distance, linked) of each pair (a, b) of nodes of sets (node, rep, hi, lo): the Jaccard distance of the full shingle sets.
-
-    Only texts of nodes in some pair are cut into shingles again; up to broadcast_rows such nodes are broadcast to the
-    texts, beyond that both sides are shuffled."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_sets(ends: DataFrame, sets: DataFrame, docs: DataFrame, words: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes) of the nodes of ends: their full shingle sets, cut from the texts again."""
     ends = keep(ends.join(sets.select("node", "rep", "hi", "lo"), "node"), "ends")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(ends) if is_small(ends, broadcast_rows) else ends, "rep").select("node", "hi", "lo", "text")
@@ -107,7 +103,16 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "hashes"])
 
     # An id may stand in several rows.
-    full = keep(texts.mapInArrow(cut, "node long, hashes binary"), "full").dropDuplicates(["node"])
+    return keep(texts.mapInArrow(cut, "node long, hashes binary"), "full").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, broadcast_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, distance, linked) of each pair (a, b) of nodes of sets (node, rep, hi, lo): the Jaccard distance of the full shingle sets.
+
+    Only texts of nodes in some pair are cut into shingles again; up to broadcast_rows such nodes are broadcast to the
+    texts, beyond that both sides are shuffled."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = full_sets(ends, sets, docs, words, broadcast_rows, id_col, text_col)
     side = lambda k: full.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
 
     def compare(batches):
@@ -149,12 +154,12 @@ def _near(rows: list[dict], band: int, width: int, percent: int, least: int, mos
     return pairs[:, 3:].tolist()
 
 
-def other_pairs(members: DataFrame, width: int, percent: int, least: int, block: int, most: int | None = None) -> DataFrame:
-    """(a, b): pairs of members (key, band, node, n, component, distance, sig) that share a bucket, lie in different components, and may be similar by their sketches.
+def _cells(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
+    """(key, rows, band): members of buckets with several components, in the blocks that meet in a task.
 
     A bucket's members are told apart as those of its least node's component and the others, each dealt by hash into
     blocks of about ``block``; two blocks meet in one task, but never two of the first kind, so that a bucket in which
-    a large group meets a few others costs the large group times those few. With ``most``, see _near()."""
+    a large group meets a few others costs the large group times those few."""
     counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("m"))
     each = counts.groupBy("key").agg(F.min_by("component", "m").alias("lead"), F.min_by("c", "m").alias("first"), F.sum("c").alias("c")).where("c > first")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
@@ -166,14 +171,59 @@ def other_pairs(members: DataFrame, width: int, percent: int, least: int, block:
     mixed = F.transform(upto("nd"), lambda i: cell(0, i, F.col("k")))
     others = F.when(F.col("no") > 1, F.transform(upto("no"), lambda i: cell(1, F.least(i, "k"), F.greatest(i, "k")))).otherwise(F.slice(F.transform(upto("no"), lambda i: cell(1, i, i)), 1, 0))
     cells = F.when(F.col("main"), F.transform(upto("no"), lambda j: cell(0, F.col("k"), j))).otherwise(F.concat(mixed, others))
-    groups = rows.withColumn("cell", F.explode(cells)).groupBy("key", "cell").agg(F.collect_list(F.struct("node", "n", "component", "distance", "sig")).alias("rows"), F.first("band").alias("band")).select("rows", "band")
+    return rows.withColumn("cell", F.explode(cells)).groupBy("key", "cell").agg(F.collect_list(F.struct(*columns)).alias("rows"), F.first("band").alias("band")).select("key", "rows", "band")
+
+
+def likely(members: DataFrame, width: int, percent: int, least: int, block: int, most: int | None = None) -> DataFrame:
+    """(key, node): members (key, band, node, n, component, distance, sig) that by their sketches may be similar to one of
+    another component in their bucket. A row for each member, not for each pair. With ``most``, see _near()."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(r["key"], node) for r in batch.to_pylist() for node in sorted({k for p in _near(r["rows"], r["band"], width, percent, least, most) for k in p})]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["key", "node"])
+
+    return _cells(members, block, ["node", "n", "component", "distance", "sig"]).mapInArrow(run, "key long, node long").distinct()
+
+
+def _linked(rows: list[dict], pairs: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Those of the pairs that link by their full sets, without links between components that earlier ones join."""
+    full = {r["node"]: np.frombuffer(r["hashes"], np.uint64) for r in rows}
+    top = {r["component"]: r["component"] for r in rows}
+    component = {r["node"]: r["component"] for r in rows}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for a, b in pairs:
+        x, y = find(component[a]), find(component[b])
+        if x != y:
+            p, q = full[a], full[b]
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * common >= percent * (len(p) + len(q) - common):
+                top[max(x, y)] = min(x, y)
+                out.append((a, b))
+    return out
+
+
+def links_between(members: DataFrame, full: DataFrame, width: int, percent: int, least: int, block: int, most: int | None = None) -> DataFrame:
+    """(a, b): links between components of members, each checked on full sets (node, hashes) in the task where both meet.
+
+    Only links leave a task, and of them no more than join its components, so rows grow with members, not pairs."""
 
     def run(batches):
         for batch in batches:
-            pairs = [p for r in batch.to_pylist() for p in _near(r["rows"], r["band"], width, percent, least, most)]
+            pairs = []
+            for i in range(batch.num_rows):  # one cell at a time, as full sets are large
+                r = batch.slice(i, 1).to_pylist()[0]
+                pairs += _linked(r["rows"], _near(r["rows"], r["band"], width, percent, least, most), percent)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    columns = ["node", "n", "component", "distance", "sig", "hashes"]
+    return _cells(members.join(full, "node"), block, columns).mapInArrow(run, "a long, b long").distinct()
 
 
 def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 128, rows: int = 4, block: int = 1024, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,13 +258,16 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 80, size: int
     distance = F.when(F.col("node") == F.col("a"), 0.0).otherwise(F.col("distance"))
     open_ = keep(open_.select("key", "band", "node", "n", distance.alias("distance")).join(sets.select("node", "sig"), "node"), "open")
     least = math.floor(size * (percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / size)))
+    links = pairs()
     for most in (2, None):  # the likeliest pairs first, as most components meet in them; then all that are left
-        now = open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = keep(other_pairs(now, rows, percent, least, block, most).join(known, ["a", "b"], "left_anti"), "more")
-        if not more.limit(1).count():
+        now = keep(open_.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
+        some = keep(likely(now, rows, percent, least, block, most), "likely")
+        if not some.limit(1).count():
             break
-        known = known.unionByName(check(more))
-        parts = keep(connected_components(pairs()), "parts")
+        full = full_sets(some.select("node").distinct(), sets, docs, words, broadcast_rows, id_col, text_col)
+        # Where pairs are counted out, those counted are of all members; the others only lose pairs that can't link.
+        links = links.unionByName(keep(links_between(now.join(some, ["key", "node"], "left_semi"), full, rows, percent, least, max(1, block // 4), most), "more"))
+        parts = keep(connected_components(links), "parts")
 
     named = keep(sets.select("node", "hi", "lo", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     least_ids = keep(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rag
+from .grid import written
+from .rag import let
 
 
 def shares(counts: Column) -> Column:
     """A histogram's counts as shares of their sum; an empty one stays empty."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
+    return let(total, lambda t: F.transform(counts, lambda x: x / F.greatest(t, F.lit(1))))
 
 
 def percentiles(counts: Column, wanted: tuple[float, ...], lo: float, hi: float, bins: int) -> Column:
@@ -22,17 +24,24 @@ def percentiles(counts: Column, wanted: tuple[float, ...], lo: float, hi: float,
     A percentile lies in the first bin up to whose end that share of the counts is reached, in the middle of that bin
     if it holds none."""
     step = (hi - lo) / bins
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    upto = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda a, x: a + x) / total)
+    start = F.array(F.lit(0).cast("long"))
+    sums = F.slice(F.aggregate(counts, start, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 2, bins)
+
+    def one(upto: Column, p: float) -> Column:
+        found = F.array_position(F.transform(upto, lambda c: c >= p), True)
+        return let(F.when(found > 0, found).otherwise(bins).cast("int"), lambda at: within(upto, p, at))
 
-    def one(p: float) -> Column:
-        at = F.array_position(F.transform(upto, lambda c: c >= p), True)
-        at = F.when(at > 0, at).otherwise(bins).cast("int")
+    def within(upto: Column, p: float, at: Column) -> Column:
         before = F.when(at > 1, F.element_at(upto, F.greatest(at - 1, F.lit(1)))).otherwise(0.0)
-        held, start = F.element_at(upto, at) - before, F.lit(lo) + (at - 1) * step
-        return F.when(total == 0, F.lit(float(lo))).when(held == 0, start + step / 2).otherwise(start + step * (p - before) / held)
+        held, left = F.element_at(upto, at) - before, F.lit(lo) + (at - 1) * step
+        return F.when(held == 0, left + step / 2).otherwise(left + step * (p - before) / held)
+
+    def all_of(sums: Column) -> Column:
+        total = F.element_at(sums, -1)
+        upto = let(total, lambda t: F.transform(sums, lambda c: c / t))
+        return F.when(total == 0, F.array(*[F.lit(float(lo)) for _ in wanted])).otherwise(let(upto, lambda u: F.array(*[one(u, p) for p in wanted])))
 
-    return F.array(*[one(p) for p in wanted])
+    return let(sums, all_of)
 
 
 def moment_features(sums: DataFrame, keys: list[str], moments: int = 4, root: bool = False) -> DataFrame:
@@ -47,10 +56,10 @@ def moment_features(sums: DataFrame, keys: list[str], moments: int = 4, root: bo
 
 def described(rows: DataFrame, keys: list[str], value: str, bins: int, lo: float, hi: float, wanted: tuple[float, ...], moments: int = 4, root: bool = False) -> DataFrame:
     """keys, moments, h and features (moments, shares, percentiles) of the rows of each key."""
-    m = moment_features(rag.moment_sums(rows, keys, F.col(value).cast("double"), moments), keys, moments, root)
-    out = m.join(rag.histogram(rows, keys, value, bins, lo, hi), keys, "left")
-    h = F.coalesce("h", F.array_repeat(F.lit(0).cast("long"), bins))
-    return out.withColumn("h", h).withColumn("features", F.concat("moments", shares(F.col("h")), percentiles(F.col("h"), wanted, lo, hi, bins)))
+    sums = rows.withColumn("_b", rag.bin_of(value, bins, lo, hi)).groupBy(*keys)
+    sums = sums.agg(*rag.power_sums(F.col(value).cast("double"), moments), rag.bin_counts(bins).alias("h"))
+    out = moment_features(sums, [*keys, "h"], moments, root).select(*keys, "moments", "h")
+    return out.withColumn("features", F.concat("moments", shares(F.col("h")), percentiles(F.col("h"), wanted, lo, hi, bins)))
 
 
 def difference_features(m1: Column, m2: Column, h1: Column, h2: Column) -> Column:
@@ -66,13 +75,14 @@ def edge_features(voxels: DataFrame, boundary: DataFrame, value: str = "cents",
     neighbours its ends have in common. ``extra`` (u, v, array extra) is appended. Of
     nodes of one size the one with the lower id is first."""
     node = described(voxels, [label], value, bins, lo, hi, wanted, moments, root).join(voxels.groupBy(label).agg(F.count(F.lit(1)).alias("size")), label)
-    edge = described(boundary, ["u", "v"], value, bins, lo, hi, wanted, moments, root).select("u", "v", F.col("features").alias("own"))
+    edge = written(described(boundary, ["u", "v"], value, bins, lo, hi, wanted, moments, root).select("u", "v", F.col("features").alias("own")), "own")
     pairs = edge.select("u", "v")
     if neighbours:
         degree = F.array(F.col("degree").cast("double"), F.col("neighbour_degree_sum") / F.col("degree"))
         node = node.join(rag.degrees(pairs).select(F.col("node").alias(label), degree.alias("graph")), label)
         node = node.withColumn("features", F.concat("features", "graph"))
         edge = edge.join(rag.common_neighbours(pairs), ["u", "v"]).withColumn("own", F.concat("own", F.array(F.col("common").cast("double"))))
+    node = written(node, "nodes")
     columns = ["size", "moments", "h", "features", *(["graph"] if neighbours else [])]
     side = lambda k: node.select(F.col(label).alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns])
     e = edge.join(side("u"), "u").join(side("v"), "v")

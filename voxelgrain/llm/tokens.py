@@ -105,7 +105,7 @@ class Encoder:
     another than the two that cut_mode() knows. What is remembered is bounded: beyond ``remember`` pieces, or as many
     times 8 ids, all is forgotten and learned again."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -239,7 +239,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_column(path: str, texts: pa.Array, end_id: int | None = None, most_bytes: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode_column(path: str, texts: pa.Array, end_id: int | None = None, most_bytes: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids side by side, number of ids by row) of a string column, in lots of about most_bytes, one text at least.
 
     Null is the empty text. With end_id, each row's ids end with it."""

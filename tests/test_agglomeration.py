@@ -247,3 +247,17 @@ def test_registered_agglomerations(spark, sf):
     table = spark.createDataFrame([(s, g, n) for (s, g), n in merged.items()], "s long, g long, n long")
     vi, got = contingency.split_vi(table).first(), q("agglomerated_vi").first()
     assert (got.under, got.over) == pytest.approx((vi.under, vi.over), abs=1e-5)
+
+
+@pytest.mark.parametrize("merges", [0, 1, 7, 60, 10_000])
+def test_first_merges_are_those_of_the_whole_history(spark, merges):
+    r = random.Random(merges)
+    pairs = {tuple(sorted(r.sample(range(120), 2))) for _ in range(400)}
+    rows = [(u, v, r.randrange(1, 5), r.randrange(1, 10_000)) for u, v in sorted(pairs)]
+    edges = spark.createDataFrame(rows, "u long, v long, n long, total long")
+    nodes = spark.range(120).withColumnRenamed("id", "node")
+    want = agglomeration.history(edges, nodes).orderBy("weight", "left", "right").limit(merges).collect()
+    log = agglomeration.first_merges(edges, nodes, merges)
+    assert log.orderBy("weight", "left", "right").limit(merges).collect() == want
+    if merges == 1:
+        assert log.count() < 100

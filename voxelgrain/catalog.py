@@ -649,7 +649,7 @@ def merge_history(spark, sf_dir):
 @query()
 def agglomerated_by_count(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    return agglomeration.cut_history(agglomeration.history(_edges(spark, sf_dir), nodes), nodes, merges=50)
+    return agglomeration.cut_history(agglomeration.first_merges(_edges(spark, sf_dir), nodes, 50), nodes, merges=50)
 
 
 @query()

@@ -298,6 +298,25 @@ def history(edge_table: DataFrame, nodes: DataFrame, threshold: float = float("i
     return out
 
 
+def first_merges(edge_table: DataFrame, nodes: DataFrame, merges: int, most_edges: int = 20_000) -> DataFrame:
+    """(left, right, weight): a history() at least as far as its first so many merges.
+
+    Merges under a threshold are the first of all merges, and what no edge under it joins needs no work. So the
+    threshold rises, each time to where eight times as many edges are under it, until there are enough merges under it
+    or all edges are."""
+    edge_table = written(edge_table, "edges")
+    weights = edge_table.select((F.col("total") / F.col("n")).alias("w"))
+    many = 4 * merges
+    while True:
+        tops = weights.orderBy("w").limit(many).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).first()
+        if tops.n < many:
+            return history(edge_table, nodes, most_edges=most_edges)
+        log = written(history(edge_table, nodes, tops.w, most_edges), "history")
+        if log.limit(merges).count() == merges:
+            return log
+        many *= 8
+
+
 def cut_history(log: DataFrame, nodes: DataFrame, threshold: float | None = None, merges: int | None = None) -> DataFrame:
     """(node, segment) after the merges of a history() under a threshold, or after its first so many."""
     kept = log

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import EDGES, settled
 from .grid import components, ranked, written
 
 #: Wider than any place in a tour.
@@ -18,14 +19,16 @@ def _once(edge_table: DataFrame, rest: list[str]) -> DataFrame:
     return edge_table.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *rest)
 
 
-def spanning_forest(edge_table: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+def spanning_forest(edge_table: DataFrame, order: tuple[str, ...] = (), chunk: int = EDGES) -> DataFrame:
     """(u, v, order...): the least spanning forest by (order..., u, v), u < v.
 
     In each round every part of the forest takes its least edge to another part, so parts at least halve. No two edges
-    are equal in that order, so the edges taken never close a circle. Loops and repeated edges don't count."""
+    are equal in that order, so the edges taken never close a circle. The first rounds are made in chunks. Loops and repeated edges don't count."""
     e = F.struct(*order, "u", "v")
-    live = written(_once(edge_table, list(order)).select(F.col("u").alias("a"), F.col("v").alias("b"), e.alias("e")).groupBy("a", "b").agg(F.min("e").alias("e")), "live")
-    taken = live.select("e.*").limit(0)
+    live = written(_once(edge_table, list(order)).select(F.col("u").alias("a"), F.col("v").alias("b"), e.alias("e")), "live")
+    _, live, taken = settled(live, False, chunk)
+    live = live.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+    live, taken = written(live, "live"), taken.select("e.*")
     while live.limit(1).count():
         ends = live.select(F.explode(F.array("a", "b")).alias("part"), F.struct("e", "a", "b").alias("m"))
         chosen = written(ends.groupBy("part").agg(F.min("m").alias("m")).select("m.*").distinct(), "chosen")
@@ -34,7 +37,7 @@ def spanning_forest(edge_table: DataFrame, order: tuple[str, ...] = ()) -> DataF
         side = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))  # noqa: E731, B023
         moved = live.join(side("a"), "a").join(side("b"), "b").where("_a <> _b")
         live = written(moved.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("e").alias("e")), "live")
-    return written(taken.select("u", "v", *order), "forest")
+    return written(taken.select("u", "v", *order).distinct(), "forest")
 
 
 def rooted(forest: DataFrame) -> DataFrame:

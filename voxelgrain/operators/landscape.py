@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import EDGES, settled
 from .grid import AXES, components, footprint, offsets, ranked, written
 from .search import followed
 
@@ -28,7 +29,7 @@ def voxel_edges(voxels: DataFrame, value: str = "cents", axes: tuple[str, ...] =
     return met.select("u", "v", F.greatest("_a", "_v").alias("height"), F.least("_a", "_v").alias("low"))
 
 
-def claimed(edge_table: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("height", "low")) -> DataFrame:
+def claimed(edge_table: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("height", "low"), chunk: int = EDGES) -> DataFrame:
     """(node, label, height) of each node with an edge or a seed: the label whose seed claims it, and the height of the
     least way there, null on the seed itself. Both are null where no way leads to a seed.
 
@@ -36,7 +37,8 @@ def claimed(edge_table: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("
     least label. Edges are taken in the order (order..., u, v), never one that would join two labels: the forest that
     remains is the one that taking them one at a time leaves. In each round every part without a label takes its least
     edge to another part. No way from a part to a seed avoids an edge as high as that, so a node's height is the highest
-    that its parts took. Parts at least halve in each round, and only edges between parts go on to the next.
+    that its parts took. Parts at least halve in each round, and only edges between parts go on to the next. What a chunk of
+    nodes can settle by itself comes first, see chunks.py.
 
     Parts are named by a node, those with a label by -1 - label."""
     e = F.struct(*order, "u", "v")
@@ -44,8 +46,9 @@ def claimed(edge_table: DataFrame, seeds: DataFrame, order: tuple[str, ...] = ("
     near = written(edge_table.where("u <> v").select("u", "v", *order), "edges")
     named = lambda k: starts.select(F.col("node").alias(k), F.col("part").alias(f"_{k}"))
     live = near.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b"), e.alias("e"))
-    live = written(_between(live), "live")
-    rounds = []
+    live = written(live.where("a <> b AND (a >= 0 OR b >= 0)"), "live")
+    step, live, _ = settled(live, True, chunk)
+    live, rounds = written(_between(live), "live"), [step]
     while live.limit(1).count():
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("part"), F.col("b").alias("to")), F.struct(F.col("b").alias("part"), F.col("a").alias("to")))).alias("p"), "e")
         took = ends.where("p.part >= 0").groupBy(F.col("p.part").alias("part")).agg(F.min(F.struct("e", F.col("p.to").alias("to"))).alias("m"))

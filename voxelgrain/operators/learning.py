@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from . import priorities, rag
+from . import ahead, priorities, rag
 from .agglomeration import _mutual, _renamed, _tops
 from .contingency import assignment
 from .grid import written
@@ -86,6 +87,14 @@ def model_weight(model):
         rows = edges.withColumn("features", array_to_vector(_features(edges)))
         return model.transform(rows).withColumn("w", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
+    if hasattr(model, "coefficientMatrix") and model.coefficientMatrix.numRows == 1:
+        slopes, level = model.coefficients.toArray().tolist(), model.intercept
+
+        def arrays(e: dict) -> np.ndarray:
+            margin = sum(c * f for c, f in zip(slopes, _feature_arrays(e).T, strict=True)) + level
+            return 1 - 1 / (1 + np.exp(margin))
+
+        weigh.arrays = arrays
     return weigh
 
 
@@ -99,16 +108,46 @@ def _features(edges: DataFrame) -> Column:
     return F.array(lo, ml, hi, mh, F.col("n").cast("double"), F.col("total") / F.col("n"), hi - lo, F.abs(ml - mh))
 
 
+def _feature_arrays(e: dict) -> np.ndarray:
+    """_features() of arrays of the same names, a row for each edge."""
+    first = e["u_size"] <= e["v_size"]
+    pick = lambda a, b: np.where(first, a, b).astype(float)
+    mu, mv = e["u_total"] / e["u_size"], e["v_total"] / e["v_size"]
+    lo, hi, ml, mh = pick(e["u_size"], e["v_size"]), pick(e["v_size"], e["u_size"]), pick(mu, mv), pick(mv, mu)
+    return np.stack([lo, ml, hi, mh, e["n"].astype(float), e["total"] / e["n"], hi - lo, np.abs(ml - mh)], axis=1)
+
+
 def epoch(edge_table: DataFrame, nodes: DataFrame, table: DataFrame, priority) -> DataFrame:
     """(round, u, v, features, label) of the edges that one agglomeration meets, judged by ground truth.
 
     nodes has (node, size, total), table (s, g, n) the fragments' overlaps with the truth. In each round the edges that
     are the best of both ends, least (w, tu, tv), are judged: current segments whose overlaps are largest with the same
     label merge (-1), others stay apart from then on (1). Overlaps, sizes and sums are those of the segments as merged
-    so far. The epoch ends when every edge between two segments has been judged."""
+    so far. The epoch ends when every edge between two segments has been judged. Many rounds are made at once where the
+    priority is also a function of arrays, see ahead.py."""
     live = written(edge_table.select("u", "v", F.col("u").alias("tu"), F.col("v").alias("tv"), "n", F.col("total").cast("double").alias("total"), F.lit(0).alias("apart")), "edges")
     held, cells = written(nodes, "nodes"), written(table, "cells")
     rows, done = None, 0
+
+    def after(judged: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        name = lambda df, c: df.join(to.select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        barred = name(name(judged.where(F.col("label") == SEPARATE).select("u", "v"), "u"), "v")
+        barred = barred.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(1).alias("_apart")).distinct()
+        # An edge that takes up a barred one is barred too.
+        left = _renamed(live, to).join(barred, ["u", "v"], "left").withColumn("apart", F.greatest(F.least("apart", F.lit(1)), F.coalesce("_apart", F.lit(0)))).drop("_apart")
+        nodes = written(name(held, "node").groupBy("node").agg(F.sum("size").alias("size"), F.sum("total").alias("total")), "nodes")
+        return written(left, "edges"), nodes, written(name(cells, "s").groupBy("s", "g").agg(F.sum("n").alias("n")), "cells")
+
+    at_once = hasattr(priority, "arrays") and all(dict(cells.dtypes)[c] in ("int", "bigint") for c in "sgn")
+    while at_once:
+        judged, many = ahead.advanced(live, held, priority.arrays, float("inf"), cells, _feature_arrays)
+        told = judged.select((F.col("round") + done).alias("round"), "u", "v", "features", "label")
+        rows = told if rows is None else rows.unionByName(told)
+        if many == ahead.FOREVER:
+            return rows
+        live, held, cells = after(judged, ahead.joined(judged))
+        done += many
+        at_once = many >= 8
     while True:
         side = lambda k: held.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("total").alias(f"{k}_total"))  # noqa: E731, B023
         scored = priority(live.where("apart = 0").join(side("u"), "u").join(side("v"), "v"))
@@ -121,14 +160,7 @@ def epoch(edge_table: DataFrame, nodes: DataFrame, table: DataFrame, priority) -
         rows = judged if rows is None else rows.unionByName(judged)
         if not judged.limit(1).count():
             return rows
-        barred = judged.where(F.col("label") == SEPARATE).select("u", "v", F.lit(1).alias("_apart"))
-        to = judged.where(F.col("label") == MERGE).select(F.col("v").alias("old"), F.col("u").alias("new"))
-        # An edge that takes up a barred one is barred too.
-        live = live.join(barred, ["u", "v"], "left").withColumn("apart", F.greatest("apart", F.coalesce("_apart", F.lit(0)))).drop("_apart")
-        live = _renamed(live, to).withColumn("apart", F.least("apart", F.lit(1)))
-        name = lambda df, c: df.join(to.select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: E731, B023
-        held = written(name(held, "node").groupBy("node").agg(F.sum("size").alias("size"), F.sum("total").alias("total")), "nodes")
-        cells = written(name(cells, "s").groupBy("s", "g").agg(F.sum("n").alias("n")), "cells")
+        live, held, cells = after(judged, judged.where(F.col("label") == MERGE).select(F.col("v").alias("old"), F.col("u").alias("new")))
         done += 1
 
 
@@ -137,6 +169,7 @@ def learn_agglomerate(edge_table: DataFrame, nodes: DataFrame, table: DataFrame,
 
     Epoch 0 agglomerates by the mean, each later one by the model of all rows so far, so that rows come from states
     that the model itself leads to. It ends after ``epochs`` of them, or once there are ``enough`` distinct rows."""
+    edge_table, nodes, table = written(edge_table, "edges"), written(nodes, "nodes"), written(table, "table")
     rows, model = None, None
     for k in range(epochs):
         new = epoch(edge_table, nodes, table, priorities.mean_weight if model is None else model_weight(model)).withColumn("epoch", F.lit(k))

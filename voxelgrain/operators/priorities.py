@@ -26,6 +26,9 @@ def mean_weight(edges: DataFrame) -> DataFrame:
     return edges.withColumn("w", boundary_mean())
 
 
+mean_weight.arrays = lambda e: e["total"] / e["n"]
+
+
 def sem_weight(edges: DataFrame, alpha: float = -6.0) -> DataFrame:
     """w, the mean plus alpha standard errors, from the sums n, total and squares; null for an edge of one voxel."""
     mean = boundary_mean()

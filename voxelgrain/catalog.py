@@ -693,8 +693,9 @@ def agglomerated_by_sem(spark, sf_dir):
 @query()
 def agglomerated_by_model(spark, sf_dir):
     """Segments in rounds by a logistic model of flat training, features and probabilities anew in each round."""
-    edges, nodes = _edges(spark, sf_dir), learning.node_table(events_volume(spark, sf_dir))
-    model = learning.fit(learning.flat_training(edges, nodes, _table(spark, sf_dir)), name="logistic regression")
+    edges, nodes = grid.written(_edges(spark, sf_dir), "edges"), grid.written(learning.node_table(events_volume(spark, sf_dir)), "nodes")
+    table = grid.written(_table(spark, sf_dir), "table")
+    model = learning.fit(grid.written(learning.flat_training(edges, nodes, table), "training"), name="logistic regression")
     return agglomeration.merge_by_priority(edges, nodes.select("node", "size", "total"), learning.model_weight(model), 0.4)[2]
 
 

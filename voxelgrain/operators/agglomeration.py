@@ -259,13 +259,34 @@ def merge_by_priority(edge_table: DataFrame, nodes: DataFrame, priority, thresho
     Where a merge never makes a weight lower, as with means, frozen or excluded nodes, or sizes that must be small, the
     result is that of one merge at a time. Other priorities, such as a classifier's, have no such order: there the
     rounds are the definition, a batch of merges that no better one at hand speaks against. A merge is (round, left,
-    right, weight), named by the least fragments of what it joins."""
+    right, weight), named by the least fragments of what it joins.
+
+    A priority of n, total and both ends' size and total that is also a function of arrays (``arrays``) makes many rounds at
+    once, see ahead.py."""
+    from . import ahead
+
     merging = merging or {}
     state = [c for c in nodes.columns if c != "node"]
     live = written(edge_table.select("u", "v", F.col("u").alias("tu"), F.col("v").alias("tv"), *[c for c in edge_table.columns if c not in ("u", "v")]), "edges")
     held, names = written(nodes, "nodes"), written(nodes.select("node", F.col("node").alias("segment")), "names")
     merges, done = None, 0
     how = {"sum": F.sum, "max": F.max, "min": F.min, "union": lambda c: F.array_distinct(F.flatten(F.collect_list(c)))}
+
+    def renamed(to: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        moved = held.join(to, held.node == to.old, "left").withColumn("node", F.coalesce("new", "node"))
+        after = written(moved.groupBy("node").agg(*[how[merging.get(c, "sum")](c).alias(c) for c in state]), "nodes") if state else written(moved.select("node").distinct(), "nodes")
+        return _renamed(live, to), _named(names, to), after
+
+    at_once = hasattr(priority, "arrays") and sorted(state) == ["size", "total"] and not merging and sorted(live.columns[4:]) == ["n", "total"]
+    while at_once:
+        rows, many = ahead.advanced(live, held, priority.arrays, threshold)
+        pairs = rows.select((F.col("round") + done).alias("round"), F.col("u").alias("left"), F.col("v").alias("right"), F.col("w").alias("weight"))
+        merges = pairs if merges is None else merges.unionByName(pairs)
+        live, names, held = renamed(ahead.joined(rows))
+        if many == ahead.FOREVER:
+            return live, held, names, merges
+        done += many
+        at_once = many >= 8
     while True:
         side = lambda k: held.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in state])  # noqa: E731, B023
         scored = priority(live.join(side("u"), "u").join(side("v"), "v") if state else live)
@@ -274,9 +295,7 @@ def merge_by_priority(edge_table: DataFrame, nodes: DataFrame, priority, thresho
         if not pairs.limit(1).count():
             return live, held, names, merges
         to = pairs.select(F.col("right").alias("old"), F.col("left").alias("new"))
-        live, names = _renamed(live, to), _named(names, to)
-        moved = held.join(to, held.node == to.old, "left").withColumn("node", F.coalesce("new", "node"))
-        held = written(moved.groupBy("node").agg(*[how[merging.get(c, "sum")](c).alias(c) for c in state]), "nodes") if state else written(moved.select("node").distinct(), "nodes")
+        live, names, held = renamed(to)
         done += 1
 
 

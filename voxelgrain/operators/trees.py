@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import EDGES, settled
+from .cuts import EDGES as CUT_EDGES
+from .cuts import cut_off
 from .grid import components, ranked, written
 
 #: Wider than any place in a tour.
@@ -141,14 +143,13 @@ def blocks(edge_table: DataFrame) -> DataFrame:
     return lower.join(part, "node").select("u", "v", F.col("component").alias("block"))
 
 
-def inclusions(edge_table: DataFrame, nodes: DataFrame, outside: int) -> DataFrame:
+def inclusions(edge_table: DataFrame, nodes: DataFrame, outside: int, chunk: int = CUT_EDGES) -> DataFrame:
     """(node, segment): everything that one node cuts off from ``outside`` merges with that node, named by its least node.
 
     outside is a node that stands for all beyond the volume. Biconnected parts without it merge, each into one segment
-    and those with a common node together; parts of the graph that don't hang together with outside do so too."""
-    of = written(blocks(edge_table), "blocks")
-    open_blocks = of.where((F.col("u") == outside) | (F.col("v") == outside)).select("block").distinct()
-    inner = of.join(open_blocks, "block", "left_anti").select("u", "v")
+    and those with a common node together; parts of the graph that don't hang together with outside do so too. Chunks of
+    edges settle what they can by themselves, see cuts.py."""
+    inner = cut_off(_once(edge_table, []).distinct(), outside, chunk)
     return components(nodes.select("node"), inner).select("node", F.col("component").alias("segment"))
 
 

@@ -987,7 +987,7 @@ def least_spanning_forest(spark, sf_dir):
 @query()
 def lowest_common_merges(spark, sf_dir):
     """For fragments 37 apart, the merge of the history under 3000 that first brings them together, if one does."""
-    nodes = _nodes(spark, sf_dir).select("node")
+    nodes = grid.written(_nodes(spark, sf_dir).select("node"), "fragments")
     log = grid.written(agglomeration.history(_edges(spark, sf_dir), nodes, 3000.0), "history")
     pairs = nodes.select(F.col("node").alias("a"), (F.col("node") + 37).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
     return agglomeration.joined_by(log, pairs)
@@ -996,7 +996,7 @@ def lowest_common_merges(spark, sf_dir):
 @query()
 def separated_fragments(spark, sf_dir):
     """Segments of the history under 3000 after fragments side by side that belong to different bodies are set apart."""
-    nodes, edges = _nodes(spark, sf_dir).select("node"), grid.written(_edges(spark, sf_dir), "edges")
+    nodes, edges = grid.written(_nodes(spark, sf_dir).select("node"), "fragments"), grid.written(_edges(spark, sf_dir), "edges")
     best = grid.written(contingency.assignment(_table(spark, sf_dir)), "assignment")
     side = lambda k: best.select(F.col("s").alias(k), F.col("g").alias(f"g{k}"))
     wrong = edges.join(side("u"), "u").join(side("v"), "v").where("gu <> gv").select(F.col("u").alias("a"), F.col("v").alias("b"))

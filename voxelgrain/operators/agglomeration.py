@@ -64,7 +64,7 @@ def replay(rows: Iterable[tuple[int, int, int, float]], threshold: float, most:
 
 
 def by_part(rows: DataFrame, key: str, run, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """run(part, rows) for the rows, as tuples without the key, of each part; a list of tuples comes back.
+    """run(part, rows) for the rows, as tuples without the key, of each part; tuples come back.
 
     Parts are dealt to tasks by hash and lie one after the other there, so thousands of small ones cost no call of their own."""
     dealt = rows.select(key, *[c for c in rows.columns if c != key]).repartition(key).sortWithinPartitions(key, *order)
@@ -78,10 +78,11 @@ def by_part(rows: DataFrame, key: str, run, schema: str, order: tuple[str, ...]
         flat = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         out = []
         for part, group in itertools.groupby(flat, key=operator.itemgetter(0)):
-            out += run(part, [row[1:] for row in group])
-            if len(out) >= 10_000:
-                yield batch(out)
-                out = []
+            for row in run(part, [row[1:] for row in group]):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
         yield batch(out)
 
     return dealt.mapInArrow(each, schema)

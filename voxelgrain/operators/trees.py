@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .agglomeration import by_part
 from .chunks import EDGES, settled
 from .cuts import EDGES as CUT_EDGES
 from .cuts import cut_off
@@ -87,11 +88,57 @@ def ancestors(tree: DataFrame, best: DataFrame | None = None) -> list[DataFrame]
     return out
 
 
-def heaviest_between(pairs: DataFrame, forest: DataFrame, order: tuple[str, ...]) -> DataFrame:
+def heaviest_between(pairs: DataFrame, forest: DataFrame, order: tuple[str, ...], most_rows: int = 20_000) -> DataFrame:
     """(a, b, best): for distinct pairs of nodes, the largest edge, a struct of (order..., u, v), on the way between
     them in a forest; null where a = b or no way leads from one to the other.
 
-    All pairs climb together, one join for each power of two that the trees are deep."""
+    Trees that have at most most_rows edges and pairs are looked through in one task each; in larger ones all pairs climb
+    together, one join for each power of two that the trees are deep."""
+    pairs, forest = written(pairs.select("a", "b"), "pairs"), written(forest, "forest")
+    nodes = forest.select(F.col("u").alias("node")).union(forest.select("v")).distinct()
+    part = components(nodes, forest.select("u", "v"), within=True)
+    side = lambda k: part.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    none = [F.lit(None).cast(forest.schema[c].dataType).alias(c) for c in order]
+    rows = forest.join(side("u"), "u").select(F.col("cu").alias("part"), F.lit(0).alias("kind"), *order, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    asked = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("ca = cb")
+    rows = written(rows.union(asked.select(F.col("ca").alias("part"), F.lit(1).alias("kind"), *none, F.col("a").cast("long"), F.col("b").cast("long"))), "rows")
+    large = written(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).select("part"), "large")
+
+    def run(part, rows):
+        top: dict[int, int] = {}
+        size: dict[int, int] = {}
+        joined: dict[int, tuple[int, int, int]] = {}  # the edge, with its place, by which a top went below another
+        for i, (kind, *_, a, b) in enumerate(rows):
+            x, y, last = a, b, None
+            if kind == 0:
+                while x in top:
+                    x = top[x]
+                while y in top:
+                    y = top[y]
+                x, y = (x, y) if size.get(x, 1) <= size.get(y, 1) else (y, x)
+                top[x], joined[x], size[y] = y, (i, a, b), size.get(x, 1) + size.get(y, 1)
+                continue
+            while x != y:
+                # The one that left its place earlier moves up; the last move is the edge that joined both.
+                if y not in top or (x in top and joined[x] < joined[y]):
+                    x, last = top[x], joined[x]
+                else:
+                    y, last = top[y], joined[y]
+            yield a, b, *last[1:]
+
+    small = rows.join(large, "part", "left_anti")
+    found = by_part(small, "part", run, "a long, b long, u long, v long", ("kind", *order, "u", "v"))
+    edge = forest.select("u", "v", F.struct(*order, "u", "v").alias("best"))
+    found = found.join(edge, ["u", "v"]).select("a", "b", "best")
+    if large.limit(1).count():
+        inside = part.join(large, F.col("component") == F.col("part"), "left_semi")
+        of = lambda t, k: t.join(inside.select(F.col("node").alias(k)), k, "left_semi")
+        found = found.union(_climbed(of(of(pairs, "a"), "b"), of(forest, "u"), order).where("best IS NOT NULL"))
+    return pairs.join(found, ["a", "b"], "left")
+
+
+def _climbed(pairs: DataFrame, forest: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """heaviest_between() for all pairs at once, by joins over whole tables."""
     tree = rooted(forest)
     edge = forest.select(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v"), F.struct(*order, "u", "v").alias("best"))
     ends = tree.where("parent IS NOT NULL").select("node", F.least("node", "parent").alias("_u"), F.greatest("node", "parent").alias("_v"))

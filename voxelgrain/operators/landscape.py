@@ -7,12 +7,14 @@ Voxels with a null value are outside the volume."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import EDGES, settled
 from .grid import AXES, components, footprint, offsets, ranked, written
 from .search import followed
+from .tiles import NO_NAME, Tiles, comparable, least_named, plateaus, tiled
 
 
 def voxel_edges(voxels: DataFrame, value: str = "cents", axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1, same: tuple[str, ...] = ()) -> DataFrame:
@@ -131,14 +133,35 @@ def impose_minima(voxels: DataFrame, value: str, minima: Column, **grid) -> Data
 
 
 def regional_minima(voxels: DataFrame, value: str = "cents", axes: tuple[str, ...] = ("y", "x"), connectivity: int = 1) -> DataFrame:
-    """(idx, minimum): the least idx of a voxel's plateau where no voxel next to the plateau is lower, null elsewhere."""
-    cells = written(voxels.where(F.col(value).isNotNull()).select("idx", F.col(value).alias("_v")), "cells")
-    edges = written(voxel_edges(voxels, value, axes, connectivity), "edges")
-    plateaus = components(cells.select(F.col("idx").alias("node")), edges.where("height = low").select("u", "v"), within=True)
-    plateaus = written(plateaus.join(cells.withColumnRenamed("idx", "node"), "node"), "plateaus")
-    higher = edges.where("height > low").select(F.explode(F.array("u", "v")).alias("node"), "height")
-    drained = plateaus.join(higher, "node").where("_v = height").select("component", F.lit(True).alias("_drained")).distinct()
-    return plateaus.join(drained, "component", "left").select(F.col("node").alias("idx"), F.when(F.col("_drained").isNull(), F.col("component")).alias("minimum"))
+    """(idx, minimum): the least idx of a voxel's plateau where no voxel next to the plateau is lower, null elsewhere.
+
+    A tile tells its plateaus apart by itself; of those that reach beyond it, only the parts in tiles are linked."""
+
+    def run(c: Tiles) -> list:
+        idx = c.column("idx")
+        top, goes_on, higher = plateaus(c, comparable(c.column("_v")), half)
+        drained = np.zeros(len(c), bool)
+        drained[top[higher]] = True
+        name = least_named(c, top, idx)
+        # A voxel beyond the tile tells where its plateau goes on.
+        rows = c.own | (name < NO_NAME)
+        return [idx[rows], name[rows], c.own[rows], goes_on[rows], drained[top][rows]]
+
+    kind = voxels.schema["idx"].dataType
+    half = [s for s in offsets(axes, connectivity)[1:] if s > (0, 0, 0)]
+    cells = voxels.where(F.col(value).isNotNull()).select(*AXES, F.col("idx").cast("long").alias("idx"), F.col(value).alias("_v"))
+    schema = cells.select("idx", F.col("idx").alias("part"), *[F.lit(None).cast("boolean").alias(k) for k in ("own", "goes_on", "drained")]).schema
+    for f in schema.fields:
+        f.nullable = True
+    rows = written(tiled(cells, ["idx", "_v"], run, schema, axes), "plateaus")
+    crossing = written(rows.where("own AND goes_on").select("idx", "part", "drained"), "crossing")
+    links = crossing.join(rows.where("NOT own").select("idx", F.col("part").alias("u")), "idx").select("u", F.col("part").alias("v"))
+    parts = components(crossing.select(F.col("part").alias("node")).distinct(), links, within=True).withColumnRenamed("node", "part")
+    dry = crossing.join(parts, "part").groupBy("component").agg(F.max("drained").alias("drained"))
+    whole = parts.join(dry, "component").select("part", F.when(~F.col("drained"), F.col("component")).alias("minimum"))
+    out = rows.where("own AND NOT goes_on").select("idx", F.when(~F.col("drained"), F.col("part")).alias("minimum"))
+    out = out.union(crossing.join(whole, "part").select("idx", "minimum"))
+    return out.select(F.col("idx").cast(kind).alias("idx"), F.col("minimum").cast(kind).alias("minimum"))
 
 
 def minimum_seeds(voxels: DataFrame, points: DataFrame, column: str = "seed", refill: bool = False, **grid) -> DataFrame:
